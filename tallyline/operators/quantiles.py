@@ -1,0 +1,37 @@
+"""Exact medians by way of a value histogram.
+
+Equal values are counted before the shuffle and the middle is found by running
+counts, so a key with very many rows is never sorted in one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyline.operators.scan import running
+from tallyline.staging import stage
+
+
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column], width: float = 1.0) -> DataFrame:
+    """One row per key and one column per value; ``width`` is the span of one running unit."""
+    keys = list(keys)
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("__name"), value.cast("double").alias("__value"))
+        for name, value in values.items()])).alias("v")).select(*keys, "v.*").where(F.col("__value").isNotNull())
+    group = [*keys, "__name"]
+    counts = stage(long.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__n")), "histogram")
+    placed = running(counts, group, ["__value"], {"__before": ("sum", F.col("__n"))},
+                     units=[F.floor(F.col("__value") / F.lit(width))])
+    totals = counts.groupBy(*group).agg(F.sum("__n").alias("__all"))
+    start = F.coalesce("__before", F.lit(0))
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((start <= position) & (position < start + F.col("__n")), F.col("__value")))
+
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    middle = placed.join(totals, group).groupBy(*group).agg(((at(low) + at(high)) / 2).alias("__median"))
+    return middle.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__name") == name, F.col("__median"))).alias(name) for name in values])

@@ -106,6 +106,10 @@ def last_n(df: DataFrame, keys: Sequence[str], ordinal: str, valid: Column, n: i
             .where(F.col("__block") == home).drop("__block"))
 
 
+def _tidy(value: Column) -> Column:
+    return F.rint(value * 1e10) / 1e10
+
+
 def ema(df: DataFrame, keys: Sequence[str], ordinal: str, valid: Column, values: dict[str, Column],
         alpha: float) -> DataFrame:
     """Exponential moving average of the valid rows, seeded by the first one.
@@ -113,6 +117,7 @@ def ema(df: DataFrame, keys: Sequence[str], ordinal: str, valid: Column, values:
     Adds ``<name>_before`` (state a row may read) and ``<name>_after`` (state it
     leaves, null unless valid).  A value m rows back weighs (1-alpha)**m, which is
     below double precision after ``reach`` rows, so a block needs only those.
+    States are rounded to ten decimals so that thresholds see 3 as 3.
     """
     keep = 1.0 - alpha
     reach = math.ceil(math.log(1e-20) / math.log(keep))
@@ -128,8 +133,9 @@ def ema(df: DataFrame, keys: Sequence[str], ordinal: str, valid: Column, values:
     states = []
     for name, value in values.items():
         term = F.when(valid, weight * value * F.pow(F.lit(keep), -position))
-        states.append((F.pow(F.lit(keep), position - 1) * F.sum(term).over(before)).alias(f"{name}_before"))
+        states.append(_tidy(F.pow(F.lit(keep), position - 1) * F.sum(term).over(before)).alias(f"{name}_before"))
     read = blocked.select("*", *states).where(F.col("__block") == home).drop("__block")
     return read.select("*", *[
-        F.when(valid, F.when(k == 0, value).otherwise(F.lit(alpha) * value + F.lit(keep) * F.col(f"{name}_before")))
+        F.when(valid, F.when(k == 0, value).otherwise(
+            _tidy(F.lit(alpha) * value + F.lit(keep) * F.col(f"{name}_before"))))
         .alias(f"{name}_after") for name, value in values.items()])
