@@ -351,13 +351,24 @@ POISSON_1 = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.9
              0.999916758851, 0.999989750804, 0.999998874797)
 
 
-def _draw(row_id: Column, rep: Column) -> Column:
-    """Uniform number of (row, replicate): squarings modulo a prime, the same in any SQL engine."""
+def _with_draws(df: DataFrame, row_id: str, reps: int) -> DataFrame:
+    """Each row in each replicate with ``times``, its Poisson(1) draw.
+
+    The uniform number comes from squarings modulo a prime, the same in any SQL
+    engine.  Each step is a column of its own, so it is computed once.
+    """
     prime = 2147483647
-    h = (row_id * 48271 + rep * 69621 + 12345) % prime
-    for _ in range(3):
-        h = (h * h + rep * 16807 + row_id) % prime
-    return h / float(prime)
+    rep, row = F.col("rep"), F.col(row_id)
+    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)).cast("array<bigint>")))
+    out = out.withColumn("__h0", (row * 48271 + rep * 69621 + 12345) % prime)
+    for i in range(3):
+        h = F.col(f"__h{i}")
+        out = out.withColumn(f"__h{i + 1}", (h * h + rep * 16807 + row) % prime)
+    out = out.withColumn("__u", F.col("__h3") / float(prime))
+    times = F.lit(0)
+    for bound in POISSON_1:
+        times = times + (F.col("__u") > bound).cast("int")
+    return out.withColumn("times", times).drop("__u", *[f"__h{i}" for i in range(4)])
 
 
 def bootstrap_roi(bets: DataFrame, keys: Sequence[str], row_id: str = "game_id", reps: int = 2000,
@@ -368,12 +379,7 @@ def bootstrap_roi(bets: DataFrame, keys: Sequence[str], row_id: str = "game_id",
     drawing n bets with replacement: no row numbers, no join, and sums combine
     before the shuffle.
     """
-    u = _draw(F.col(row_id), F.col("rep").cast("bigint"))
-    times = F.lit(0)
-    for bound in POISSON_1:
-        times = times + (u > bound).cast("int")
-    drawn = bets.select(*keys, row_id, "profit", "bet_amount", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-                        .alias("rep")).select(*keys, "rep", "profit", "bet_amount", times.alias("times"))
+    drawn = _with_draws(bets.select(*keys, row_id, "profit", "bet_amount"), row_id, reps)
     rois = drawn.where("times > 0").groupBy(*keys, "rep").agg(
         F.sum(F.col("profit") * F.col("times")).alias("p"), F.sum(F.col("bet_amount") * F.col("times")).alias("w"))
     roi = F.when(F.col("w") > 0, F.col("p") / F.col("w") * 100.0).otherwise(0.0)
