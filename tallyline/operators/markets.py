@@ -380,11 +380,11 @@ def bootstrap_roi(bets: DataFrame, keys: Sequence[str], row_id: str = "game_id",
     before the shuffle.
     """
     drawn = _with_draws(bets.select(*keys, row_id, "profit", "bet_amount"), row_id, reps)
-    rois = drawn.where("times > 0").groupBy(*keys, "rep").agg(
+    # no filter on ``times`` here: pushed below the draws it would repeat them
+    rois = drawn.groupBy(*keys, "rep").agg(
         F.sum(F.col("profit") * F.col("times")).alias("p"), F.sum(F.col("bet_amount") * F.col("times")).alias("w"))
-    roi = F.when(F.col("w") > 0, F.col("p") / F.col("w") * 100.0).otherwise(0.0)
-    tail = (1 - level) / 2
-    return rois.groupBy(*keys).agg(F.percentile(roi, tail).alias("roi_ci_low"),
+    roi, tail = F.col("p") / F.col("w") * 100.0, (1 - level) / 2
+    return rois.where("w > 0").groupBy(*keys).agg(F.percentile(roi, tail).alias("roi_ci_low"),
                                    F.percentile(roi, 1 - tail).alias("roi_ci_high"))
 
 
