@@ -1 +1,228 @@
+"""Model training, evaluation and serving queries (M).
 
+Trees are few and shallow to keep runs short; every row of the fold years is used.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyline.functions import scalars as s
+from tallyline.learning import models as m
+from tallyline.operators import history, joins, markets, metrics, ratings
+from tallyline.plans.lookups import prediction_history
+from tallyline.plans.registry import Tables, query, rounded
+from tallyline.sources import ingest
+from tallyline.staging import stage
+
+FORM = ["win_rate_diff_5", "avg_margin_diff_5", "score_for_diff_5", "score_against_diff_5"]
+RATING = ["elo_diff", "elo_expected"]
+MARKET = ["implied_home_open", "overround_open", "home_line_close"]
+MOVES = ["implied_home_open", "overround_open", "odds_move", "odds_move_magnitude", "overround_change"]
+BASE = RATING + FORM + ["rest_diff", "home_had_bye", "away_had_bye"]
+
+
+def featured(t: Tables) -> DataFrame:
+    """History, ratings and prices of every game, stored; the label is null for upcoming games."""
+    rows = history.numbered(t.games)
+    parts = [history.rolling_form(rows), ratings.elo(t.games), history.rest_days(rows),
+             markets.add_moves(markets.add_implied(t.prices))]
+    joined = reduce(lambda a, b: a.join(b, "game_id", "left"), parts, t.games)
+    done = history.is_done()
+    doubles = [F.col(c).cast("double").alias(c) for c in dict.fromkeys([*BASE, *MARKET, *MOVES])]
+    return stage(joined.select(
+        *t.games.columns, *doubles, F.when(done, s.home_win(F.col("home_score"), F.col("away_score"))).alias(m.LABEL),
+        F.when(done, (F.col("home_score") - F.col("away_score")).cast("double")).alias("margin"),
+        "home_odds_open", "away_odds_open"), "features")
+
+
+def known(df: DataFrame) -> DataFrame:
+    return df.where(F.col(m.LABEL).isNotNull())
+
+
+def fold_years(df: DataFrame, n: int = 2) -> list[int]:
+    """The last n years with results."""
+    last = known(df).agg(F.max("year")).first()[0]
+    return list(range(last - n + 1, last + 1)) if last else []
+
+
+@query("m1_chronological_split", "contests", """select game_id, case when year <= 1996 then 'train' when year = 1997 then 'validate' else 'test' end as part,
+  row_number() over (order by date desc, game_id desc) <= 207 as in_last_207 from contests where home_score is not null""")
+def chronological_split(t: Tables) -> DataFrame:
+    done = t.games.where("home_score is not null")
+    parts = zip(("train", "validate", "test"), m.split_by_year(done, 1996, 1997))
+    rows = reduce(DataFrame.unionByName, [df.select("game_id", F.lit(name).alias("part")) for name, df in parts])
+    last = m.last_rows(done, 207).select("game_id", F.lit(True).alias("l"))
+    return rows.join(last, "game_id", "left").select("game_id", "part", F.coalesce("l", F.lit(False)).alias("in_last_207"))
+
+
+@query("m2_feature_matrix")
+def feature_matrix(t: Tables) -> DataFrame:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    rows = m.with_missing_flags(featured(t), BASE + MARKET)
+    out = Pipeline(stages=m.matrix_stages(BASE + MARKET)).fit(rows).transform(rows)
+    return out.select("game_id", vector_to_array("features").alias("v")).select(
+        "game_id", F.size("v").alias("width"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("m3_classifier_early_stop")
+def classifier_early_stop(t: Tables) -> DataFrame:
+    df = featured(t)
+    year = fold_years(df, 1)[0]
+    train = known(df).where(F.col("year") < year)
+    model = m.classifier(train, BASE, iterations=8, validate_on=F.col("year") == year - 1)
+    test = m.score(model, known(df).where(F.col("year") == year), BASE, "prob")
+    return rounded(metrics.classification(test, "prob", m.LABEL).withColumn("trees", F.lit(model.stages[-1].getNumTrees)))
+
+
+@query("m4_margin_regressor")
+def margin_regressor(t: Tables) -> DataFrame:
+    df = featured(t)
+    year = fold_years(df, 1)[0]
+    model = m.margin_model(known(df).where(F.col("year") < year), BASE)
+    return rounded(metrics.regression(m.score(model, known(df).where(F.col("year") == year), BASE, "pred"), "pred", "margin"))
+
+
+@query("m5_walk_forward")
+def walk_forward(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.fold_metrics(m.walk_forward(df, BASE, fold_years(df, 3))))
+
+
+@query("m6_seed_ensemble")
+def seed_ensemble(t: Tables) -> DataFrame:
+    df = featured(t)
+    oof = m.walk_forward(df, BASE, fold_years(df, 1), seeds=m.SEEDS[:2])
+    return rounded(metrics.fold_dispersion(oof, "prob", m.LABEL, "year", "seed", "game_id"))
+
+
+@query("m7_isotonic_calibration")
+def isotonic_calibration(t: Tables) -> DataFrame:
+    """Hand-made forecasts of every finished game, calibrated."""
+    df = t.games.where("home_score is not null").join(t.forecasts, "game_id").withColumn(
+        m.LABEL, s.home_win(F.col("home_score"), F.col("away_score")))
+    out = m.calibrate(m.fit_isotonic(df, "model_prob"), df, "model_prob", "calibrated")
+    return rounded(out.select("game_id", "model_prob", "calibrated"))
+
+
+@query("m8_grid_search")
+def grid_search(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.grid_search(df, {"form": FORM, "form+rating": FORM + RATING}, [{"depth": 2}, {"depth": 3}], fold_years(df, 1)))
+
+
+@query("m9_feature_ablation")
+def feature_ablation(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.compare_features(df, {"base": BASE, "no rating": [c for c in BASE if c not in RATING], "+market": BASE + MARKET},
+                                      fold_years(df, 1), m.SEEDS[:2], "base"))
+
+
+@query("m10_stacking")
+def stacking(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.stacking(df, BASE, fold_years(df, 2)))
+
+
+@query("m11_two_stage_margin")
+def two_stage_margin(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(metrics.regression(m.two_stage_margin(df, BASE, fold_years(df, 1)), "pred", "margin"))
+
+
+@query("m12_conditioned_margin")
+def conditioned_margin(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.conditioned_margin(df, BASE, fold_years(df, 2)))
+
+
+@query("m13_loss_comparison")
+def loss_comparison(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.loss_comparison(df, BASE, fold_years(df, 1)))
+
+
+@query("m14_market_variants")
+def market_variants(t: Tables) -> DataFrame:
+    """Price-only models against the market itself on the games all of them cover."""
+    df = featured(t)
+    years = fold_years(df, 1)
+    common = joins.common_sample(df, MARKET + MOVES)
+    variants = {"open+line": MARKET, "open+movement": MOVES}
+    rows = [metrics.classification(m.walk_forward(common, fs, years), "prob", m.LABEL).withColumn("config", F.lit(name))
+            for name, fs in variants.items()]
+    market = known(common).where(F.col("year").isin(years))
+    rows.append(metrics.classification(market, "implied_home_open", m.LABEL).withColumn("config", F.lit("market")))
+    return rounded(metrics.delta_verdict(reduce(DataFrame.unionByName, rows), "config", "log_loss", "market", 0.00174))
+
+
+@query("m15_feature_importance")
+def feature_importance(t: Tables) -> DataFrame:
+    df = featured(t)
+    return m.importances(m.classifier(known(df), BASE), BASE, t.spark)
+
+
+@query("m16_contributions")
+def contributions(t: Tables) -> DataFrame:
+    df = featured(t)
+    return rounded(m.contributions(known(df), df.where(F.col(m.LABEL).isNull()), BASE, top=5))
+
+
+@query("m17_score_upcoming")
+def score_upcoming(t: Tables) -> DataFrame:
+    df = featured(t)
+    upcoming = df.where(F.col(m.LABEL).isNull())
+    return rounded(m.score_upcoming(known(df), upcoming, BASE, fold_years(df, 1)).withColumn("date", s.day_key(F.col("date"))))
+
+
+@query("m18_model_comparison")
+def model_comparison(t: Tables) -> DataFrame:
+    df = featured(t)
+    years = fold_years(df, 1)
+    old, new = (metrics.classification(m.walk_forward(df, fs, years), "prob", m.LABEL) for fs in (FORM, BASE))
+    return rounded(m.compare_models(old, new, ["accuracy", "log_loss", "brier"]))
+
+
+@query("m19_backfill", "history contests", """
+select h.game_id, h.snapshot_date from (select game_id, max(snapshot_date) as snapshot_date from history where game_id in (
+    select game_id from contests where home_score is not null) group by 1) h
+where not exists (select 1 from history e where e.game_id = h.game_id and e.snapshot_date = h.snapshot_date and e.game_id % 3 = 0)""")
+def backfill(t: Tables) -> DataFrame:
+    """Finished games whose newest prediction has no stored explanation (a third have one)."""
+    done = t.games.where("home_score is not null").select("game_id")
+    rows = prediction_history(t)
+    explained = rows.where("game_id % 3 = 0")
+    return m.missing_snapshots(rows.join(done, "game_id", "left_semi"), explained).select("game_id", "snapshot_date")
+
+
+@query("m19_backfill_scores")
+def backfill_scores(t: Tables) -> DataFrame:
+    """Past games scored by the current model, dated by their day, put over the stored history."""
+    df = featured(t)
+    scored = m.score(m.classifier(known(df), BASE), known(df), BASE, "home_win_prob").select(
+        "game_id", s.day_key(F.col("date")).alias("snapshot_date"), "home_win_prob")
+    return rounded(ingest.upsert(prediction_history(t), scored, ["game_id", "snapshot_date"]))
+
+
+@query("m20_walk_forward_betting")
+def walk_forward_betting(t: Tables) -> DataFrame:
+    """Out-of-fold probabilities, calibrated on earlier years, staked at opening and closing prices."""
+    df = featured(t)
+    years = fold_years(df, 2)
+    oof = m.walk_forward(df, BASE, years)
+    calibrator = m.fit_isotonic(oof.where(F.col("year") < years[-1]), "prob")
+    probs = m.calibrate(calibrator, oof, "prob", "model_prob").select("game_id", "model_prob")
+    market = t.games.join(t.prices, "game_id").join(probs, "game_id")
+    parts = []
+    for kind in ("open", "close"):
+        bets = markets.with_outcome(markets.candidate_bets(market, 0.05, 1.0, kind=kind)).withColumn("source", F.lit(kind))
+        parts.append(bets.select("source", "league", "year", "date", "game_id", "bet_fraction", "odds", "won", "edge"))
+    bets = stage(parts[0].unionByName(parts[1]), "bets")
+    keys = ["source", "league", "year"]
+    placed = stage(markets.ledger(bets, keys).join(bets.drop("bet_fraction"), [*keys, "game_id"]), "ledger")
+    fall = markets.max_drawdown(placed, keys, ["date", "game_id"]).groupBy("source").agg(F.max("max_drawdown").alias("max_drawdown"))
+    return rounded(markets.bet_stats(placed, ["source"]).join(markets.yearly_roi(placed, ["source"]), "source").join(fall, "source"))

@@ -69,8 +69,13 @@ with o as (select match_id, home_odds, row_number() over (partition by match_id
 select match_id, max(n) as n, {q('sum(home_odds * (case when i = 1 then 1e0 else 0.3e0 end) * power(0.7e0, n - i))')} as ema from o group by 1""")
 def stateful_ema(t: Tables) -> DataFrame:
     stream = prices.snapshot_stream(t.spark, t.sf_dir, t.raw("events").schema)
-    path = new_path(t.spark, "t4")
-    return rounded(prices.run_upsert(prices.moving_average(stream), path, ["match_id"], f"{path}/checkpoint"))
+    path, store = new_path(t.spark, "t4"), "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, prices.ROCKSDB)
+    try:
+        return rounded(prices.run_upsert(prices.moving_average(stream), path, ["match_id"], f"{path}/checkpoint"))
+    finally:
+        t.spark.conf.set(store, before)
 
 
 @query("t5_stream_ingest", "snapshots", f"select event_id, match_id, {q('home_odds')} as home_odds from snapshots")

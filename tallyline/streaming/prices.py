@@ -13,12 +13,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyline.functions import scalars as s
+from tallyline.operators.joins import keep_first, keep_last
 from tallyline.sources import ingest
 
 
-def snapshot_stream(spark, sf_dir: str, schema: T.StructType) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def snapshot_stream(spark, sf_dir: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
     """Event files of a folder as a stream of price snapshots."""
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+              .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
     return events.select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("fetched_at"), "event_id",
                          (1.2 + F.col("value") % 5.0).alias("home_odds"),
                          (1.2 + (F.col("event_id") % 37) / 10.0).alias("away_odds"))
@@ -67,7 +72,10 @@ EMA_SCHEMA = T.StructType([T.StructField("match_id", T.LongType()), T.StructFiel
 
 
 class PriceEma(StatefulProcessor):
-    """Moving average of the home price per match; one number and a count are kept."""
+    """Moving average of the home price per match; one number and a count are kept.
+
+    Rows of a key are ordered inside a micro-batch, whose size the source limits.
+    """
 
     def __init__(self, alpha: float = 0.3):
         self.alpha = alpha
@@ -89,6 +97,7 @@ class PriceEma(StatefulProcessor):
 
 
 def moving_average(stream: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
     return stream.groupBy("match_id").transformWithStateInPandas(
         statefulProcessor=PriceEma(alpha), outputStructType=EMA_SCHEMA, outputMode="Update", timeMode="None")
 
@@ -102,28 +111,20 @@ def run_append(df: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def run_upsert(df: DataFrame, root: str, keys: list[str], checkpoint: str, mode: str = "update") -> DataFrame:
-    """Drain the stream into a keyed table: each batch writes the next version of it.
+    """Drain the stream into a keyed table, given back as the newest row of each key.
 
-    A version is a folder of its own, named by the batch, so a repeated batch
-    rewrites the same folder and readers never see a half-written table.
+    A batch writes only its changed rows, into a folder of its own, so a repeated
+    batch rewrites the same folder and the cost of a batch is its own size.
     """
     spark, schema = df.sparkSession, df.schema
-    seen = {"last": None}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        previous = f"{root}/v{batch_id - 1}"
-        if batch_id and ingest.path_exists(spark, previous):
-            current = batch.sparkSession.read.schema(schema).parquet(previous)
-        else:
-            current = batch.sparkSession.createDataFrame([], schema)
-        ingest.upsert(current, batch, keys).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-        seen["last"] = batch_id
+        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
 
     (df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
-    if seen["last"] is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v{seen['last']}")
+    changes = ingest.scan_optional(spark, f"{root}/changes", T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    return keep_last(changes, keys, ["batch"]).drop("batch")
 
 
 def run_ingest(df: DataFrame, root: str, key: str, order: list[str], checkpoint: str) -> DataFrame:
@@ -133,7 +134,7 @@ def run_ingest(df: DataFrame, root: str, key: str, order: list[str], checkpoint:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = ingest.scan_optional(batch.sparkSession, path, schema)
-        fresh = ingest.keep_first(batch, [key], order).join(known.select(key).distinct(), key, "left_anti")
+        fresh = keep_first(batch, [key], order).join(known.select(key).distinct(), key, "left_anti")
         fresh.write.mode("append").parquet(path)
 
     (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
