@@ -186,22 +186,26 @@ def ledger_rows(t: Tables) -> DataFrame:
         bets.drop("bet_fraction"), [*LEDGER_KEYS, "game_id"])
 
 
-@query("w21_staking_ledger", "numbered_bets", f"""{_LEDGER} select filter, league, year, game_id, {q('bet_amount')} as bet_amount,
-  {q('profit')} as profit, {q('bankroll')} as bankroll from ledger""")
+@query("w21_staking_ledger", "numbered_bets", f"""{_LEDGER} select filter, league, year, game_id, {q('log10(bet_amount)')} as log_amount,
+  {q('profit / bet_amount')} as bet_return, {q('log10(bankroll)')} as log_bankroll from ledger""")
 def staking_ledger(t: Tables) -> DataFrame:
+    """Amounts compound to many digits, so they are compared by their logarithm."""
     bets = filtered_bets(t).select(*LEDGER_KEYS, "date", "game_id", "bet_fraction", "odds", "won")
-    return rounded(markets.ledger(bets, LEDGER_KEYS))
+    return rounded(markets.ledger(bets, LEDGER_KEYS).select(
+        *LEDGER_KEYS, "game_id", F.log10("bet_amount").alias("log_amount"),
+        (F.col("profit") / F.col("bet_amount")).alias("bet_return"), F.log10("bankroll").alias("log_bankroll")))
 
 
 @query("w21_compound_ledger", "flat", f"""
-select game_id, league, {q('1000 * exp(sum(ln(1 + bet_fraction * case when won then odds - 1 else -1 end)) over (partition by league, year order by date, game_id))')} as bankroll from flat""")
+select game_id, league, {q('3 + sum(log10(1 + bet_fraction * case when won then odds - 1 else -1 end)) over (partition by league, year order by date, game_id)')} as log_bankroll from flat""")
 def compound_ledger(t: Tables) -> DataFrame:
     bets = stage(flat_bets(t).select("league", "year", "date", "game_id", "bet_fraction", "odds", "won"), "bets")
-    return rounded(markets.ledger_compound(bets, ["league", "year"]).select("game_id", "league", "bankroll"))
+    return rounded(markets.ledger_compound(bets, ["league", "year"]).select(
+        "game_id", "league", F.log10("bankroll").alias("log_bankroll")))
 
 
 @query("w22_cumulative_profit", "settled", f"""select game_id, row_number() over (order by date, game_id) as idx,
-  round(sum(profit_loss) over (order by date, game_id) + 1e-9, 2) + 0e0 as cumulative from settled where status in ('won', 'lost')""")
+  round(sum(profit_loss) over (order by date, game_id) + 1.2345e-9, 2) + 0e0 as cumulative from settled where status in ('won', 'lost')""")
 def cumulative_profit(t: Tables) -> DataFrame:
     bets = stage(settled_bets(t).select("date", "game_id", "status", "profit_loss"), "settled")
     return rounded(markets.cumulative_profit(bets, ["date", "game_id"]).select("game_id", "idx", "cumulative"), 2)
@@ -251,10 +255,10 @@ ci as (select filter, quantile_cont(roi, 0.025) as lo, quantile_cont(roi, 0.975)
 fl as (select st.filter, case when n_bets >= 100 then 'N' else '' end || case when roi >= 5 then 'R' else '' end ||
   case when profitable_years >= 5 then 'Y' else '' end || case when lo > 0 then 'C' else '' end || case when hroi > 0 then 'H' else '' end as flags
   from st join yr using (filter) join ci using (filter) join ho using (filter))
-select st.* exclude (wins), {q('(p + 3.8416/(2*n) - 1.96 * sqrt(p*(1-p)/n + 3.8416/(4*n*n))) / (1 + 3.8416/n)')} as wilson_low,
+select st.* exclude (wins, profit, total_wagered), {q('(p + 3.8416/(2*n) - 1.96 * sqrt(p*(1-p)/n + 3.8416/(4*n*n))) / (1 + 3.8416/n)')} as wilson_low,
   {q('(p + 3.8416/(2*n) + 1.96 * sqrt(p*(1-p)/n + 3.8416/(4*n*n))) / (1 + 3.8416/n)')} as wilson_high,
   {q('lo')} as roi_ci_low, {q('hi')} as roi_ci_high, profitable_years, total_years, holdout_n, {q('hroi')} as holdout_roi, {q('dd')} as max_drawdown,
   flags, case when len(flags) = 5 then 'PASS' else len(flags) || '/5' end as verdict, len(flags) = 5 as passes
 from st join wi using (filter) join yr using (filter) join ho using (filter) join dd using (filter) join ci using (filter) join fl using (filter)""")
 def strategy_scorecard(t: Tables) -> DataFrame:
-    return rounded(markets.strategy_report(ledger_rows(t)))
+    return rounded(markets.strategy_report(ledger_rows(t)).drop("profit", "total_wagered"))

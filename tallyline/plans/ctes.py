@@ -96,4 +96,4 @@ def with_tables(needs: str, sql: str, recursive: bool = False, materialized: boo
 
 def r6(expr: str) -> str:
     """Six decimals, ties moved off the boundary, never a negative zero."""
-    return f"(round(({expr}) + 1e-9, 6) + 0e0)"
+    return f"(round(({expr}) + 1.2345e-9, 6) + 0e0)"

@@ -90,7 +90,7 @@ def query(name: str, needs: str = "", sql: str | None = None):
 def r6(column: Column | str, digits: int = 6) -> Column:
     """Rounded for comparison, ties moved off the boundary, never a negative zero."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + F.lit(1e-9), digits) + F.lit(0.0)
+    return F.round(c + F.lit(1.2345e-9), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
