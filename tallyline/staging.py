@@ -27,8 +27,19 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root.name
 
 
+def session_folder(spark: SparkSession) -> str:
+    """All staged tables of this application lie below one folder."""
+    return f"{shared_root(spark)}/tallyline/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/tallyline/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's staged tables; results must be stored or read by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
