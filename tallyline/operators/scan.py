@@ -4,9 +4,10 @@ A plain ``Window.partitionBy(key)`` puts a whole key into one task.  One team,
 league or pair may own a third of all rows, so every history operator is built
 from the two scans below, which split a key into bounded pieces and stay exact:
 
-* ``running`` - running aggregates.  The key is cut into calendar units, each
-  unit is aggregated on its own, and the totals of the earlier units (one small
-  row per key and unit) are joined back as the carry.
+* ``running`` - running aggregates.  The key is cut into calendar units (days, or
+  months while the whole table is small), each unit is aggregated on its own, and
+  the totals of the earlier units (one small row per key and unit) are joined
+  back as the carry.
 * ``last_n`` - frames over the last n valid rows.  The key is cut into blocks
   of valid-row ordinals; the n valid rows before a block are copied into it.
 
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+# up to this estimated size a month of one key is small enough for one task
+SMALL_TABLE = 16 << 30
 
 # kind -> (aggregate, how a carried value joins the local one)
 _AGGREGATE = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
@@ -56,15 +59,26 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate: exact file sizes for stored tables, upper bounds after joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def calendar_units(df: DataFrame, column: str) -> list[Column]:
+    """Months of a small table, days of any other."""
+    day = F.to_date(F.col(column))
+    return [F.trunc(day, "month")] if estimated_bytes(df) <= SMALL_TABLE else [day]
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             aggregates: dict[str, tuple[str, Column]], units: Sequence[Column] | None = None,
             inclusive: bool = False) -> DataFrame:
     """Add running aggregates over the rows before each row (or up to it).
 
     ``order`` must be total within a key.  ``units`` are coarser, monotone
-    functions of ``order``; the default is the calendar day of its first column.
+    functions of ``order``; the default is a calendar unit of its first column.
     """
-    units = list(units or [F.to_date(F.col(order[0]))])
+    units = list(units or calendar_units(df, order[0]))
     unit_names = [f"__unit{i}" for i in range(len(units))]
     cut = df.select("*", *[u.alias(n) for u, n in zip(units, unit_names)])
     rows = (Window.partitionBy(*keys, *unit_names).orderBy(*order)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plain import GAME_SCHEMA, elo, ledger, make_games, team_features
-from tallyline.operators import history, markets, quantiles, ratings
+from tallyline.operators import history, markets, quantiles, ratings, scan
 from tallyline.operators.scan import ema, last_n, running
 
 
@@ -27,7 +27,10 @@ def series(spark):
     return df, by_key
 
 
-def test_running_matches_plain_prefixes(series):
+@pytest.mark.parametrize("small_table", [1 << 40, 0])
+def test_running_matches_plain_prefixes(series, monkeypatch, small_table):
+    """Month units and day units give the same answer."""
+    monkeypatch.setattr(scan, "SMALL_TABLE", small_table)
     df, by_key = series
     got = {r["id"]: r for r in running(df, ["key"], ["date", "id"], {
         "n": ("count", F.col("v")), "s": ("sum", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v")),
