@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as s
 from tallyline.operators import joins, markets, metrics
-from tallyline.sources import ingest, pages
+from tallyline.sources import dimensions, ingest, pages
 from tallyline.staging import new_path
 
 
@@ -174,3 +174,14 @@ def test_sinks(spark):
     assert sorted(map(tuple, up.collect())) == [(1, "a"), (2, "new"), (3, "c")]
     more = ingest.add_new(df, spark.createDataFrame([(2, "x"), (3, "z"), (3, "y")], "id bigint, v string"), "id", ["v"])
     assert sorted(map(tuple, more.collect())) == [(1, "a"), (2, "b"), (3, "y")]
+
+
+def test_league_dimensions(spark):
+    games = spark.createDataFrame([(1, "M.C.G.", "sydney swans", "Carlton"), (2, "Nowhere", "GWS", "West Coast")],
+                                  "game_id int, venue string, raw string, away_team string")
+    named = joins.canonical_names(games, "raw", dimensions.names(spark), "home_team")
+    out = joins.attach_home_ground(joins.attach_travel(named, dimensions.teams(spark), dimensions.venues(spark)), dimensions.teams(spark))
+    got = {r["game_id"]: r for r in out.collect()}
+    assert got[1]["home_team"] == "Sydney" and got[1]["home_interstate"] == 1 and got[1]["away_at_home_ground"] == 1
+    assert 700 < got[1]["home_travel_km"] < 730 and got[1]["away_interstate"] == 0
+    assert got[2]["home_travel_km"] is None and got[2]["home_interstate"] == 0 and got[2]["home_at_home_ground"] == 0
