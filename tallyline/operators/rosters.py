@@ -91,13 +91,16 @@ def roster_features(states: DataFrame, stats: Sequence[str] = ROLE_STATS) -> Dat
     teams = running(stage(teams, "rosters"), TEAM, ORDER, {"k": ("count", F.when(F.col("done"), 1))})
     teams = last_n(teams, TEAM, "k", F.col("done"), 1, lambda frame: {
         "prev": F.last(F.when(F.col("done"), F.col("left")), ignorenulls=True).over(frame(1))})
-    now, prev = F.col("now"), F.col("prev")
-    now_names, prev_names = (F.transform(c, lambda p: p["player"]) for c in (now, prev))
-    missing, gained = _without(prev, now_names), _without(now, prev_names)
+    # each list is a column of its own, so it is built once for all sums over it
+    named = teams.select("game_id", "side", "now", "prev",
+                         *[F.transform(c, lambda p: p["player"]).alias(f"{c}_names") for c in ("now", "prev")])
+    now, prev, now_names, prev_names = (F.col(c) for c in ("now", "prev", "now_names", "prev_names"))
+    moved = named.select("*", _without(prev, now_names).alias("missing"), _without(now, prev_names).alias("gained"))
+    missing, gained = F.col("missing"), F.col("gained")
     # highest hit-out average of the previous roster; the first name on a tie
     lead = F.aggregate(prev, F.struct(F.lit("").alias("player"), F.lit(0.0).alias("ho")), lambda best, p: F.when(
         p["ho"] > best["ho"], F.struct(p["player"].alias("player"), p["ho"].alias("ho"))).otherwise(best))
-    one = teams.select(
+    one = moved.select(
         "game_id", "side",
         F.size(F.array_except(prev_names, now_names)).alias("lineup_changes"),
         F.size(F.array_except(now_names, prev_names)).alias("lineup_ins"),
