@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyline.llm.language_id import identify
 from tallyline.llm.mixing import mix
 from tallyline.llm.near_dup import near_duplicates
+from tallyline.llm.neighbours import neighbours
 from tallyline.llm.packing import pack
 from tallyline.llm.token_counts import token_counts
+from tallyline.llm.vector_dup import vector_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
+
+
+@query("op5_vector_duplicates", sql="""
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and len(embedding) > 0 and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as (
+  select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, l.y from reach r join links l on l.x = r.y),
+parts as (select x as vec_id, min(y) as component_id from reach group by x),
+counts as (select x as vec_id, count(*) as n from links group by x)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, p.component_id, e.vec_id = p.component_id as kept
+from embeddings e join parts p using (vec_id) left join counts c using (vec_id)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(embeddings(spark, sf_dir))
+
+
+@query("op8_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(embeddings(spark, sf_dir))
