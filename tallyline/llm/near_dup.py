@@ -13,7 +13,7 @@ from tallyline.llm.graph import components
 from tallyline.llm.text import few_at_a_time, hashed_words, mix, shingles, utf8
 from tallyline.staging import stage
 
-SLOTS, ROWS, BLOCK = 128, 4, 64
+SLOTS, ROWS, BLOCK = 128, 4, 256
 #: Pairs of different components whose signatures agree on fewer slots than this share are not verified: with 128
 #: slots it is more than five standard deviations below the agreement of a pair at the threshold.
 LEAST_AGREEMENT = 0.55
@@ -168,9 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = stage(members.where("id != lead").where(similar_sizes("n", "lead_n"))
                  .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
 
+    # every document in a bucket with others, once; its text is the only one that moves
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = stage(plain.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+                 .mapInArrow(_sets(width), "doc_id long, members binary"), "sets")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = stage(plain.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, members binary"), "sets")
         side = {k: sets.select(F.col("doc_id").alias(k), F.col("members").alias(f"members_{k}")) for k in "ab"}
         return stage(pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "members_a", "members_b")
                      .mapInArrow(_verify(numerator, denominator), "a long, b long"), name)
