@@ -11,6 +11,7 @@ from tallyline.llm.mixing import mix
 from tallyline.llm.near_dup import near_duplicates
 from tallyline.llm.neighbours import neighbours
 from tallyline.llm.packing import pack
+from tallyline.llm.passages import repeated_passages
 from tallyline.llm.pii import personal_data
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.vector_dup import vector_duplicates
@@ -111,3 +112,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_personal_data")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
+
+
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
