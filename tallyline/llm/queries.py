@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyline.llm.katz import score
 from tallyline.llm.language_id import identify
 from tallyline.llm.mixing import mix
 from tallyline.llm.near_dup import near_duplicates
@@ -117,3 +118,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
+
+
+@query("op7_katz_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
