@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyline.llm.text import few_at_a_time
 from tallyline.staging import stage
 
 #: Training bound: so many rows of each language at most, and so many symbols of their texts together.
@@ -188,6 +186,22 @@ def fit(labelled: DataFrame) -> CrossParser:
     return CrossParser(samples)
 
 
+def with_language(docs: DataFrame, parser: CrossParser, text_col: str = "text", name: str = "found") -> DataFrame:
+    """Adds the struct ``name`` of ``lang_pred`` and ``score``; all rows and columns stay."""
+    @F.pandas_udf("lang_pred string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        parts, low = [], 0
+        ends = texts.str.len().fillna(0).cumsum().to_numpy()
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), "right")))
+            names, score = parser.predict([t if isinstance(t, str) else None for t in texts.iloc[low:high]])
+            parts.append(pd.DataFrame({"lang_pred": names, "score": score}))
+            low = high
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": []})
+
+    return docs.withColumn(name, found(F.col(f"`{text_col}`").cast("string")))
+
+
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: one row per input row.
@@ -203,12 +217,5 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                         F.col(f"`{lang_col}`").cast("string").alias("lang"))
     parser = fit(plain.where(~held_out("doc_id", folds, fold)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_at_a_time(batches, most=1 << 20):
-            names, score = parser.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
-                                             ["doc_id", "lang_pred", "score"])
-
-    found = plain.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "lang_pred", "score")
+    found = with_language(plain.select("doc_id", "text"), parser)
+    return found.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "found.lang_pred", "found.score")

@@ -11,7 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 SEGMENT = 1 << 20
 
@@ -99,6 +102,11 @@ def word_counts(texts: list[bytes | None]) -> np.ndarray:
     return np.array([len(t.split()) if t else 0 for t in texts], np.int64)
 
 
+@F.pandas_udf(LongType())
+def n_words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: len(t.encode("utf-8", "replace").split()) if isinstance(t, str) else 0).astype("int64")
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
