@@ -204,10 +204,3 @@ def wilson(successes: Column, n: Column, empty: tuple[float, float] = (0.0, 1.0)
     low = F.when(n == 0, empty[0]).otherwise(F.greatest(F.lit(0.0), centre - spread))
     high = F.when(n == 0, empty[1]).otherwise(F.least(F.lit(1.0), centre + spread))
     return low, high
-
-
-def any_of(flags: Sequence[Column]) -> Column:
-    result = F.lit(False)
-    for flag in flags:
-        result = result | flag
-    return result

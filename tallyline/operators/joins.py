@@ -134,8 +134,7 @@ def pair_ids(games: DataFrame, team_stats: DataFrame, stats: Sequence[str], orde
                                          F.count(F.lit(1)).alias("n"), F.min("year").alias("year"))
            .where("n = 2").select("mid", "year", pair.alias("pair")))
     ids = stage(ids, "ids")
-    ids_n = running(ids, ["pair", "year"], ["mid"], {"nth": ("count", F.lit(1))},
-                    units=[F.floor(F.col("mid") / F.lit(1 << 20))])
+    ids_n = running(ids, ["pair", "year"], ["mid"], {"nth": ("count", F.lit(1))})
     years = ids.groupBy("pair", "year").agg(F.min("mid").alias("first_mid"))
     first_year = years.groupBy("pair").agg(F.min_by("year", "first_mid").alias("first_year"))
     slim = games.select("game_id", *[c for c in order if c != "game_id"], "year", F.concat_ws(

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from tallyline.functions import scalars as s
 from tallyline.operators.joins import keep_first, keep_last
-from tallyline.operators.quantiles import medians
 from tallyline.operators.recurrence import chunked_recurrence
 from tallyline.operators.scan import running
 from tallyline.staging import stage
@@ -26,20 +25,20 @@ def quote_consensus(quotes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Median and best price per side, median line, counts; a game needs prices of both sides."""
     h2h, spread = F.col("market") == "h2h", F.col("market") == "spreads"
     home, away = F.col("side") == "home", F.col("side") == "away"
-    middle = medians(quotes, keys, {
+    middle = {
         "home_odds": F.when(h2h & home, F.col("price")), "away_odds": F.when(h2h & away, F.col("price")),
         "home_line": F.when(spread & home, F.col("point")), "away_line": F.when(spread & away, F.col("point")),
         "home_line_odds": F.when(spread & home, F.col("price")),
-        "away_line_odds": F.when(spread & away, F.col("price"))}, width=0.25)
-    sums = quotes.groupBy(*keys).agg(
+        "away_line_odds": F.when(spread & away, F.col("price"))}
+    joined = quotes.groupBy(*keys).agg(
         F.max(F.when(h2h & home, F.col("price"))).alias("home_odds_best"),
         F.max(F.when(h2h & away, F.col("price"))).alias("away_odds_best"),
         F.count(F.when(h2h & home, 1)).alias("n_home_quotes"), F.count(F.when(h2h & away, 1)).alias("n_away_quotes"),
-        F.count(F.when(spread & home, 1)).alias("n_line_bookmakers"))
+        F.count(F.when(spread & home, 1)).alias("n_line_bookmakers"),
+        *[F.median(v).alias(name) for name, v in middle.items()]).where(
+        F.col("home_odds_best").isNotNull() & F.col("away_odds_best").isNotNull())
     has_line = F.col("n_line_bookmakers") > 0
     lines = ("home_line", "away_line", "home_line_odds", "away_line_odds")
-    joined = sums.join(middle, list(keys), "left").where(
-        F.col("home_odds_best").isNotNull() & F.col("away_odds_best").isNotNull())
     return joined.select(*[c for c in joined.columns if c not in lines],
                          *[F.when(has_line, F.col(c)).alias(c) for c in lines])
 

@@ -43,7 +43,7 @@ def auc(df: DataFrame, prob: str, label: str, keys: Sequence[str] = ()) -> DataF
     counts = stage(rows.groupBy(*keys, F.col(prob).alias("__p")).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) != 1).cast("bigint")).alias("neg")), "scores")
-    placed = running(counts, keys, ["__p"], {"below": ("sum", F.col("neg"))}, units=[F.floor(F.col("__p") * 1000)])
+    placed = running(counts, keys, ["__p"], {"below": ("sum", F.col("neg"))})
     wins = F.col("pos") * (F.coalesce("below", F.lit(0)) + F.col("neg") / 2.0)
     return placed.groupBy(*keys).agg(F.try_divide(
         F.sum(wins), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))

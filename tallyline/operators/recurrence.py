@@ -2,11 +2,12 @@
 
 Such a fold has no associative form, yet one key may hold a third of all rows.
 Each key is cut into chunks of bounded size.  All chunks run in parallel from a
-guessed start state; the end state of a chunk becomes the start of the next one,
-and the pass repeats until no start state changes.  Chunk c is right after at
-most c+1 passes, so the result is the sequential one; ratings and bankrolls
-forget or rescale their start, so two or three passes are usual.  A key that
-fits one chunk needs a single pass.
+guessed start state; the end state of a chunk becomes the start of the next one.
+Chunks whose start changed run once more.  A recurrence that forgets its start
+(ratings) settles here; for one that does not (bankrolls), the chunks still
+unsettled then run one by one in order.  A chunk runs at most three times, so
+the rows processed stay in proportion to the table.  The result is the
+sequential one.
 """
 
 from __future__ import annotations
@@ -14,25 +15,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyline.operators.scan import running
 from tallyline.staging import stage
 
 Step = Callable[[tuple, pd.DataFrame, dict], tuple[pd.DataFrame, dict]]
 
 
-def cut_by_rows(df: DataFrame, keys: Sequence[str], day: str, rows_per_chunk: int) -> DataFrame:
-    """Add ``chunk``: consecutive days of a key holding about ``rows_per_chunk`` rows."""
-    daily = df.groupBy(*keys, F.to_date(day).alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = daily.select(*keys, "__day", F.floor(
-        F.coalesce(F.sum("__n").over(before), F.lit(0)) / F.lit(rows_per_chunk)).cast("int").alias("__raw"))
-    # no gaps, so that chunk c hands its state to chunk c+1
-    dense = Window.partitionBy(*keys).orderBy("__raw")
-    numbered = numbered.select(*keys, "__day", (F.dense_rank().over(dense) - 1).alias("chunk"))
-    return (df.withColumn("__day", F.to_date(day)).join(numbered, [*keys, "__day"]).drop("__day"))
+def cut_by_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int) -> DataFrame:
+    """Add ``chunk``: ``rows_per_chunk`` rows of a key in a row of its order, the last one fewer."""
+    counted = running(df, keys, order, {"__before": ("count", F.lit(1))})
+    return counted.withColumn("chunk", F.floor(F.col("__before") / rows_per_chunk).cast("int")).drop("__before")
 
 
 def chunked_recurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step,
@@ -48,7 +44,7 @@ def chunked_recurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     state_schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [
         T.StructField("chunk", T.IntegerType()), T.StructField("name", T.StringType()),
         T.StructField("value", T.DoubleType())])
-    rows = stage(cut_by_rows(df, keys, order[0], rows_per_chunk), "recurrence")
+    rows = stage(cut_by_rows(df, keys, order, rows_per_chunk), "recurrence")
     last_chunk = rows.agg(F.max("chunk")).first()[0] or 0
 
     def run(key, pdf, spdf):
@@ -68,14 +64,28 @@ def chunked_recurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         out["chunk"] = key[-1] + 1
         return out[state_schema.names]
 
-    starts = df.sparkSession.createDataFrame([], state_schema)
-    for _ in range(last_chunk):
-        new = stage(rows.where(F.col("chunk") < last_chunk).groupBy(*group)
-                    .cogroup(starts.groupBy(*group)).applyInPandas(ends, state_schema), "state")
-        both = starts.unionByName(new).groupBy(*group, "name").agg(
-            F.count(F.lit(1)).alias("n"), (F.max("value") - F.min("value")).alias("gap"))
-        changed = both.where((F.col("n") != 2) | (F.col("gap") > tolerance)).limit(1).count()
-        starts = new
-        if not changed:
+    def passed(chosen: DataFrame, starts: DataFrame) -> DataFrame:
+        return chosen.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(ends, state_schema)
+
+    spark = df.sparkSession
+    nothing = spark.createDataFrame([], state_schema)
+    starts = stage(passed(rows.where(F.col("chunk") < last_chunk), nothing), "state") if last_chunk else nothing
+    used = nothing
+    for turn in range(last_chunk):
+        # chunks whose start is not the one they ran with; after one more run of all, only the first of them is final
+        both = starts.join(used.withColumnRenamed("value", "before"), [*group, "name"], "full").where(
+            F.coalesce(F.abs(F.col("value") - F.col("before")) > tolerance, F.lit(True)))
+        pending = both.where(F.col("chunk") < last_chunk).select(*group).distinct()
+        if turn:
+            first = pending.agg(F.min("chunk")).first()[0]
+            pending = pending.where(F.col("chunk") == first)
+        pending = stage(pending, "pending")
+        if pending.isEmpty():
             break
+        ran = stage(passed(rows.join(pending, group, "left_semi"), starts.join(pending, group, "left_semi")), "state")
+        done = pending.withColumn("__done", F.lit(True))
+        follows = pending.withColumn("chunk", F.col("chunk") + 1)
+        used = stage(used.join(pending, group, "left_anti").unionByName(
+            starts.join(done, group, "left_semi")), "state")
+        starts = stage(starts.join(follows, group, "left_anti").unionByName(ran), "state")
     return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(outputs, out_schema)

@@ -4,12 +4,14 @@ A plain ``Window.partitionBy(key)`` puts a whole key into one task.  One team,
 league or pair may own a third of all rows, so every history operator is built
 from the two scans below, which split a key into bounded pieces and stay exact:
 
-* ``running`` - running aggregates.  The key is cut into calendar units (days, or
-  months while the whole table is small), each unit is aggregated on its own, and
-  the totals of the earlier units (one small row per key and unit) are joined
-  back as the carry.
+* ``running`` - running aggregates.  The rows are range-partitioned over (key,
+  order) into pieces of about ``PIECE`` rows, each piece of a key is aggregated
+  on its own, and the totals of the earlier pieces (one small row per key and
+  piece) are joined back as the carry.  A piece can end anywhere, also inside a day.
 * ``last_n`` - frames over the last n valid rows.  The key is cut into blocks
   of valid-row ordinals; the n valid rows before a block are copied into it.
+  Rows that are not valid share an ordinal; a block with too many of them is split
+  and every part gets the block's valid rows.
 
 Both read ``df`` more than once or wide, so hand in a stored table (``stage``).
 Key columns must not be null.
@@ -23,9 +25,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.staging import stage
+
 BLOCK = 1 << 20
-# up to this estimated size a month of one key is small enough for one task
-SMALL_TABLE = 16 << 30
+# rows of a key that one task scans in order
+PIECE = 1 << 20
 
 # kind -> (aggregate, how a carried value joins the local one)
 _AGGREGATE = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
@@ -59,28 +63,25 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: exact file sizes for stored tables, upper bounds after joins."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def in_pieces(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add ``__piece``: ranges over ``by`` of about ``PIECE`` rows, numbered in order.
 
-def calendar_units(df: DataFrame, column: str) -> list[Column]:
-    """Months of a small table, days of any other."""
-    day = F.to_date(F.col(column))
-    return [F.trunc(day, "month")] if estimated_bytes(df) <= SMALL_TABLE else [day]
+    Written once, because two evaluations of a range partitioning may cut differently.
+    """
+    pieces = -(-df.count() // PIECE)
+    if pieces <= 1:
+        return df.withColumn("__piece", F.lit(0))
+    return stage(df.repartitionByRange(pieces, *by).withColumn("__piece", F.spark_partition_id()), "pieces")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            aggregates: dict[str, tuple[str, Column]], units: Sequence[Column] | None = None,
-            inclusive: bool = False) -> DataFrame:
+            aggregates: dict[str, tuple[str, Column]], inclusive: bool = False) -> DataFrame:
     """Add running aggregates over the rows before each row (or up to it).
 
-    ``order`` must be total within a key.  ``units`` are coarser, monotone
-    functions of ``order``; the default is a calendar unit of its first column.
+    ``order`` must be total within a key.
     """
-    units = list(units or calendar_units(df, order[0]))
-    unit_names = [f"__unit{i}" for i in range(len(units))]
-    cut = df.select("*", *[u.alias(n) for u, n in zip(units, unit_names)])
+    unit_names = ["__piece"]
+    cut = in_pieces(df, [*keys, *order])
     rows = (Window.partitionBy(*keys, *unit_names).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = cut.select("*", *[_over_rows(kind, value, rows).alias(f"__local_{name}")
@@ -112,12 +113,26 @@ def last_n(df: DataFrame, keys: Sequence[str], ordinal: str, valid: Column, n: i
     k = F.col(ordinal)
     home = F.floor(k / F.lit(block))
     spills = valid & (k % block >= block - n)
+    # rows that are not valid share an ordinal, so their number in a block has no bound of its own
+    crowds = (df.where(~valid).groupBy(*keys, home.alias("__block")).agg(F.count(F.lit(1)).alias("__n"))
+              .where(F.col("__n") > PIECE).withColumn("__parts", F.ceil(F.col("__n") / PIECE).cast("int")).drop("__n"))
+    crowded = not crowds.isEmpty()
     blocked = df.select("*", F.explode(F.when(spills, F.array(home, home + 1)).otherwise(F.array(home)))
                         .alias("__block"))
-    window = Window.partitionBy(*keys, "__block").orderBy(ordinal)
+    part: list[str] = []
+    if crowded:
+        part = ["__part"]
+        row = [c for c, t in df.dtypes if not t.startswith("map")]
+        own = F.pmod(F.xxhash64(*row), F.coalesce("__parts", F.lit(1))).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+        blocked = (blocked.join(crowds, [*keys, "__block"], "left").withColumn("__own", own)
+                   .withColumn("__part", F.explode(F.when(valid, every).otherwise(F.array("__own")))))
+    window = Window.partitionBy(*keys, "__block", *part).orderBy(ordinal)
     columns = build(lambda m: window.rangeBetween(-m, -1))
-    return (blocked.select(*df.columns, "__block", *[c.alias(name) for name, c in columns.items()])
-            .where(F.col("__block") == home).drop("__block"))
+    read = blocked.select("*", *[c.alias(name) for name, c in columns.items()]).where(F.col("__block") == home)
+    if crowded:
+        read = read.where(F.col("__part") == F.col("__own"))
+    return read.select(*df.columns, *columns)
 
 
 def _tidy(value: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plain import GAME_SCHEMA, elo, ledger, make_games, team_features
-from tallyline.operators import history, markets, quantiles, ratings, scan
+from tallyline.operators import history, markets, ratings, scan
 from tallyline.operators.scan import ema, last_n, running
 
 
@@ -27,10 +27,10 @@ def series(spark):
     return df, by_key
 
 
-@pytest.mark.parametrize("small_table", [1 << 40, 0])
-def test_running_matches_plain_prefixes(series, monkeypatch, small_table):
-    """Month units and day units give the same answer."""
-    monkeypatch.setattr(scan, "SMALL_TABLE", small_table)
+@pytest.mark.parametrize("piece", [1 << 20, 17])
+def test_running_matches_plain_prefixes(series, monkeypatch, piece):
+    """One piece and many, cut inside days, give the same answer."""
+    monkeypatch.setattr(scan, "PIECE", piece)
     df, by_key = series
     got = {r["id"]: r for r in running(df, ["key"], ["date", "id"], {
         "n": ("count", F.col("v")), "s": ("sum", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v")),
@@ -77,13 +77,23 @@ def test_ema_matches_pandas(series, alpha):
                 assert got[r[0]]["v_after"] is None
 
 
-def test_medians(spark):
-    rnd = random.Random(5)
-    rows = [("a" if rnd.random() < 0.8 else "b", round(rnd.random() * 5, 1)) for _ in range(301)] + [("c", 2.0), ("d", None)]
-    got = {r["key"]: r["m"] for r in quantiles.medians(
-        spark.createDataFrame(rows, "key string, v double"), ["key"], {"m": F.col("v")}).collect()}
-    frame = pd.DataFrame([r for r in rows if r[1] is not None], columns=["key", "v"])
-    assert got == pytest.approx(frame.groupby("key")["v"].median().to_dict())
+def test_pieces_are_bounded_on_one_key_and_one_day(spark, monkeypatch):
+    monkeypatch.setattr(scan, "PIECE", 100)
+    df = spark.range(2000).selectExpr("'a' as key", "date'2024-01-01' as date", "id")
+    sizes = [r["count"] for r in scan.in_pieces(df, ["key", "date", "id"]).groupBy("__piece").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 300
+    got = running(df, ["key"], ["date", "id"], {"n": ("count", F.lit(1))}).where("n != id").count()
+    assert got == 0
+
+
+def test_crowds_of_rows_that_are_not_valid_are_split(spark, monkeypatch):
+    """A block with many upcoming rows: each part sees the last valid rows."""
+    monkeypatch.setattr(scan, "PIECE", 50)
+    df = spark.range(600).selectExpr("'a' as key", "date'2024-01-01' as date", "id", "case when id < 9 then double(id) end as v")
+    counted = running(df, ["key"], ["date", "id"], {"k": ("count", F.col("v"))})
+    got = {r["id"]: r["m"] for r in last_n(counted, ["key"], "k", F.col("v").isNotNull(), 3, lambda frame: {
+        "m": F.avg("v").over(frame(3))}).collect()}
+    assert len(got) == 600 and all(got[k] == 7.0 for k in range(9, 600)) and got[0] is None and got[2] == 0.5
 
 
 @pytest.fixture(scope="module")
