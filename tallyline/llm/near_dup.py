@@ -110,11 +110,10 @@ def _cross_pairs(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for members in batch.column("members").to_pylist():
-                ids, part = np.array([m["id"] for m in members]), np.array([m["part"] for m in members])
-                block = np.array([m["block"] for m in members])
-                print_ = np.frombuffer(b"".join(m["signature"] for m in members), np.uint8).reshape(len(members), slots)
-                for k in range(len(members)):
+            for members in batch.column("members"):
+                ids, part, block = (members.values.field(c).to_numpy() for c in ("id", "part", "block"))
+                print_ = np.frombuffer(b"".join(members.values.field("signature").to_pylist()), np.uint8).reshape(-1, slots)
+                for k in range(len(ids)):
                     other = (ids > ids[k]) & (part != part[k])
                     if (block != block[0]).any():
                         other &= block != block[k]

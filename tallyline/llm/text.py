@@ -121,6 +121,8 @@ def few_at_a_time(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
             high = max(low + 1, int(np.searchsorted(at, at[low] + most, side="right")) - 1)
             yield batch.slice(low, high - low)
             low = high
+        del column, at, batch
+        pa.default_memory_pool().release_unused()
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
