@@ -20,6 +20,8 @@ CURVES, DIMENSIONS, BITS = 3, 6, 8
 RANGES = 24
 #: Rows of a range that meet a block of queries in one task.
 BLOCK = 4096
+#: Vectors that scale the orderings and set the window.
+SAMPLE = 4096
 #: Queries on which the window is set, and the recall they must reach.
 TRIED, RECALL = 256, 0.96
 
@@ -154,7 +156,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = C
     """
     plain = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     usable = plain.where(sound("vector") & F.col("vec_id").isNotNull())
-    sample = bounded_sample(usable, 4096)
+    sample = bounded_sample(usable, SAMPLE, usable.count())
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if len(sample) == 0:
         return empty

@@ -94,7 +94,7 @@ def vector_duplicates(vectors: DataFrame, at_least: float = 0.98, described: int
                            F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     usable = plain.where(sound("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     total = usable.count()
-    sample = bounded_sample(usable, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, total // ROWS_PER_PIVOT))))
+    sample = bounded_sample(usable, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, total // ROWS_PER_PIVOT))), total)
     if len(sample) == 0:
         return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.lit(True).alias("kept"))

@@ -27,8 +27,19 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def bounded_sample(vectors: DataFrame, n: int, column: str = "vector") -> np.ndarray:
-    """The ``n`` rows of least hash, as a matrix; rows of a length other than the first row's are left out."""
-    rows = [r[0] for r in vectors.select(column, F.xxhash64(column).alias("mark")).distinct().orderBy("mark").limit(n).select(column).collect()]
+def bounded_sample(vectors: DataFrame, n: int, total: int, column: str = "vector") -> np.ndarray:
+    """The ``n`` distinct rows of least hash, as a matrix; rows of a length other than the first row's are left out.
+
+    Only hashes under a bound that lets about ``8 * n`` of the ``total`` rows pass are
+    ordered, so what partitions send stays small however many there are.
+    """
+    marked = vectors.select(column, F.xxhash64(column).alias("mark"))
+    low = -(1 << 63)
+    bound = low + int((1 << 64) * min(1.0, 8 * n / max(1, total)))
+    rows = []
+    for few in ([marked.where(F.col("mark") < F.lit(bound))] if bound < (1 << 63) else []) + [marked]:
+        rows = [r[0] for r in few.distinct().orderBy("mark").limit(n).select(column).collect()]
+        if len(rows) >= n:
+            break
     rows = [r for r in rows if len(r) == len(rows[0])]
     return np.array(rows, float)
