@@ -84,46 +84,47 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_at_a_time(batches, most=1 << 20):
             words, at = hashed_words(utf8(batch.column("text")))
-            packed = [shingles(words[low:high], width).tobytes() for low, high in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "members"])
-    return run
-
-
-def _verify(numerator: int, denominator: int):
-    """Keep the pairs with denominator * shared >= numerator * union, counted on the full sets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("members_a"), batch.column("members_b")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(denominator * shared >= numerator * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingles(words[low:high], width) for low, high in zip(at[:-1], at[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))],
+                                             ["doc_id", "members"])
     return run
 
 
 def _cross_pairs(slots: int):
-    """Pairs of one block pair that lie in different components and agree on enough slots."""
+    """Pairs that lie in different components and agree on enough slots, from rows sorted by bucket and block pair.
+
+    One block pair is held at a time; it may reach over several batches.
+    """
     least = int(LEAST_AGREEMENT * slots)
 
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        ids, part, block = (rows.column(c).to_numpy() for c in ("id", "part", "block"))
+        print_ = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, slots)
+        two, a, b = (block != block[0]).any(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(ids)):
+            other = (ids > ids[k]) & (part != part[k])
+            if two:
+                other &= block != block[k]
+            rest = np.flatnonzero(other)
+            rest = rest[(print_[rest] == print_[k]).sum(axis=1) >= least]
+            a.append(np.full(len(rest), ids[k]))
+            b.append(ids[rest])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
         for batch in batches:
-            a, b = [], []
-            for members in batch.column("members"):
-                ids, part, block = (members.values.field(c).to_numpy() for c in ("id", "part", "block"))
-                print_ = np.frombuffer(b"".join(members.values.field("signature").to_pylist()), np.uint8).reshape(-1, slots)
-                for k in range(len(ids)):
-                    other = (ids > ids[k]) & (part != part[k])
-                    if (block != block[0]).any():
-                        other &= block != block[k]
-                    rest = np.flatnonzero(other)
-                    rest = rest[(print_[rest] == print_[k]).sum(axis=1) >= least]
-                    a.append(np.full(len(rest), ids[k]))
-                    b.append(ids[rest])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)),
-                                                  pa.array(np.concatenate(b).astype(np.int64))], ["a", "b"])
+            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            keys = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if high - low > 1:
+                    yield judged(rows.slice(low, high - low))
+            kept = rows.slice(cuts[-1])
+        if kept is not None and kept.num_rows > 1:
+            yield judged(kept)
     return run
 
 
@@ -170,12 +171,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # every document in a bucket with others, once; its text is the only one that moves
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = stage(plain.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                 .mapInArrow(_sets(width), "doc_id long, members binary"), "sets")
+                 .mapInArrow(_sets(width), "doc_id long, members array<long>"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = {k: sets.select(F.col("doc_id").alias(k), F.col("members").alias(f"members_{k}")) for k in "ab"}
-        return stage(pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "members_a", "members_b")
-                     .mapInArrow(_verify(numerator, denominator), "a long, b long"), name)
+        both = pairs.join(side["b"], "b").join(side["a"], "a")
+        shared = both.select("a", "b", F.size(F.array_intersect("members_a", "members_b")).alias("shared"),
+                             (F.size("members_a") + F.size("members_b")).alias("total"))
+        return stage(shared.where(denominator * F.col("shared") >= numerator * (F.col("total") - F.col("shared"))).select("a", "b"), name)
 
     links = verified(star, "star-links")
     parts = stage(components(links), "parts")
@@ -188,10 +191,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
                .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    pairs = (blocked.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-             .agg(F.collect_list(F.struct("id", "part", "block", "signature")).alias("members"),
-                  F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-             .select("members").mapInArrow(_cross_pairs(slots), "a long, b long").distinct())
+    key_pair = ["bucket", "i", "j"]
+    pairs = (blocked.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "part", "block", "signature")
+             .repartition(*key_pair).sortWithinPartitions(*key_pair)
+             .mapInArrow(_cross_pairs(slots), "a long, b long").distinct())
     pairs = stage(pairs, "cross-pairs")
     if not pairs.isEmpty():
         links = links.union(verified(pairs, "cross-links"))
