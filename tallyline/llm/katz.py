@@ -16,7 +16,7 @@ from tallyline.llm.text import few_at_a_time, hashed_words, mix, utf8
 from tallyline.staging import stage
 
 #: Text of the documents that ask the tables together, and of the share of the corpus that one table partition counts.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Counts up to this are discounted by Good-Turing.
 DISCOUNTED = 5
 #: Part of an event that every history keeps free, so that one with only frequent successors can back off too.
@@ -252,7 +252,7 @@ _SCORED = ("chunk long, place long, doc_id long, held_out boolean, n_tokens long
 
 def _weighed(rows: pd.DataFrame) -> pd.DataFrame:
     """One partition of histories: exact backoff weights, summed up for the documents that need them."""
-    rows = rows.sort_values("chunk", kind="stable")
+    rows = rows.sort_values("chunk", kind="stable")  # the same sums in the same order on every run
     names = [_unpack_sorted(x) for x in rows["names"]]
     sums = np.concatenate([_unpack(x, np.float64).reshape(-1, 2) for x in rows["sums"]])
     counts = np.concatenate([_unpack(x, np.int64) for x in rows["counts"]])
@@ -266,9 +266,18 @@ def _weighed(rows: pd.DataFrame) -> pd.DataFrame:
         need, need_doc = _unpack(need, np.uint32), _unpack(need_doc, np.uint32)
         total = np.bincount(need_doc, weights=weight[place[at: at + len(keys)]][need])
         who = np.unique(need_doc)
-        out.append(pd.DataFrame({"chunk": chunk, "place": who.astype("int64"), "weight": total[who]}))
+        out.append((chunk, _pack(who), _pack(total[who])))
         at += len(keys)
-    return pd.concat(out)
+    return pd.DataFrame(out, columns=["chunk", "places", "weights"])
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The backoff weights of one chunk's documents over all partitions of histories."""
+    places = np.concatenate([_unpack(x, np.uint32) for x in rows["places"]])
+    weights = np.concatenate([_unpack(x, np.float64) for x in rows["weights"]])
+    total = np.bincount(places, weights=weights)
+    who = np.unique(places)
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "place": who.astype("int64"), "weight": total[who]})
 
 
 def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +315,8 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
     scored = stage(packed.join(answers, "chunk", "left").withColumn("train_docs", F.lit(size["train"]))
                    .mapInArrow(_scored(model, parts), _SCORED), "scored")
     weights = (scored.where("part is not null").select("chunk", *_FIELDS[8:]).groupBy("part")
-               .applyInPandas(_weighed, "chunk long, place long, weight double").groupBy("chunk", "place").agg(F.sum("weight").alias("weight")))
+               .applyInPandas(_weighed, "chunk long, places binary, weights binary")
+               .groupBy("chunk").applyInPandas(_summed, "chunk long, place long, weight double"))
     rows = scored.where("part is null").select(*_FIELDS[:8])
     return rows.join(weights, ["chunk", "place"], "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score",
