@@ -7,6 +7,7 @@ submits one distributed job per step; rows never come to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -27,6 +28,8 @@ Fit = Callable[[DataFrame, Sequence[str], int], PipelineModel]
 
 # fixed values: seeds of the ensembles
 SEEDS = (42, 123, 256, 789, 1337)
+# fits submitted together; each is a distributed job of its own
+FITS_AT_ONCE = 4
 
 
 # -- splits ------------------------------------------------------------------
@@ -93,19 +96,24 @@ def walk_forward(df: DataFrame, features: Sequence[str], years: Sequence[int], f
                  min_train: int = 1, min_test: int = 1) -> DataFrame:
     """Out-of-fold predictions: year Y is predicted by models of the years before it.
 
-    One row per test row and seed.  Folds with too little data are skipped.
+    One row per test row and seed.  Folds with too little data are skipped.  A
+    classifier with two earlier years or more stops early on the last of them.  Fits
+    are independent and run a few at a time.
     """
     rows = df.where(F.col(need).isNotNull())
     sizes = {r["year"]: r["n"] for r in rows.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = []
-    for year in years:
-        before = sum(n for y, n in sizes.items() if y < year)
-        if before < min_train or sizes.get(year, 0) < min_test:
-            continue
+    folds = [year for year in years if sum(n for y, n in sizes.items() if y < year) >= min_train and sizes.get(year, 0) >= min_test]
+
+    def run(task: tuple[int, int]) -> DataFrame:
+        year, seed = task
         train, test = rows.where(F.col("year") < year), rows.where(F.col("year") == year)
-        for seed in seeds:
-            scored = score(fit(train, features, seed), test, features, out)
-            parts.append(scored.withColumn("seed", F.lit(seed)))
+        stop = {}
+        if fit is classifier and year - 1 in sizes and any(y < year - 1 for y in sizes):
+            stop = {"validate_on": F.col("year") == year - 1}
+        return score(fit(train, features, seed, **stop), test, features, out).withColumn("seed", F.lit(seed))
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        parts = list(pool.map(run, [(year, seed) for year in folds for seed in seeds]))
     if not parts:
         return rows.where(F.lit(False)).select("*", F.lit(None).cast("double").alias(out), F.lit(0).alias("seed"))
     return stage(reduce(DataFrame.unionByName, parts), "oof")
@@ -128,7 +136,7 @@ def fold_metrics(oof: DataFrame, prob: str = "prob", label: str = LABEL) -> Data
 
 def fit_isotonic(oof: DataFrame, prob: str, label: str = LABEL):
     """Isotonic fit of outcome on probability; equal scores are averaged first, with weights."""
-    points = oof.where(F.col(prob).isNotNull()).groupBy(F.round(prob, 6).alias("x")).agg(
+    points = oof.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("x")).agg(
         F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     return IsotonicRegression(labelCol="y", featuresCol="x", weightCol="w", predictionCol="__cal").fit(points)
 
@@ -139,6 +147,18 @@ def calibrate(model, df: DataFrame, prob: str, out: str) -> DataFrame:
     return scored.select(*df.columns, s.clip_probability(F.col("__cal")).alias(out))
 
 
+def calibrate_forward(oof: DataFrame, prob: str, out: str) -> DataFrame:
+    """Each year's out-of-fold probabilities, calibrated on earlier years' only.
+
+    The first year has nothing to be calibrated on and is left out.
+    """
+    years = sorted(r["year"] for r in oof.select("year").distinct().collect())
+    parts = [calibrate(fit_isotonic(oof.where(F.col("year") < year), prob), oof.where(F.col("year") == year), prob, out) for year in years[1:]]
+    if not parts:
+        return oof.where(F.lit(False)).withColumn(out, F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- studies -----------------------------------------------------------------
 
 def compare_features(df: DataFrame, configs: dict[str, Sequence[str]], years: Sequence[int], seeds: Sequence[int],

@@ -387,12 +387,17 @@ def bootstrap_roi(bets: DataFrame, keys: Sequence[str], row_id: str = "game_id",
                                    F.percentile(roi, 1 - tail).alias("roi_ci_high"))
 
 
+def roi_by_year(bets: DataFrame, keys: Sequence[str], year: str = "year") -> DataFrame:
+    """Bets, stake, profit and ROI in percent of every year."""
+    return bets.groupBy(*keys, year).agg(
+        F.count(F.lit(1)).alias("n_bets"), F.sum("bet_amount").alias("staked"), F.sum("profit").alias("profit"),
+        F.coalesce(F.try_divide(F.sum("profit") * 100.0, F.sum("bet_amount")), F.lit(0.0)).alias("roi"))
+
+
 def yearly_roi(bets: DataFrame, keys: Sequence[str], year: str = "year") -> DataFrame:
-    """ROI per year, and how many years made money."""
-    per_year = bets.groupBy(*keys, year).agg(F.sum("profit").alias("p"), F.sum("bet_amount").alias("w"))
-    roi = F.coalesce(F.try_divide(F.col("p") * 100.0, F.col("w")), F.lit(0.0))
-    return per_year.groupBy(*keys).agg(F.count(F.when(roi > 0, 1)).alias("profitable_years"),
-                                       F.count(F.lit(1)).alias("total_years"))
+    """How many years made money, of how many."""
+    return roi_by_year(bets, keys, year).groupBy(*keys).agg(
+        F.count(F.when(F.col("roi") > 0, 1)).alias("profitable_years"), F.count(F.lit(1)).alias("total_years"))
 
 
 def scorecard(report: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("form", "columns", "lookups", "feeds", "betting", "evaluation", "learning", "streams")
+TOPICS = ("form", "columns", "lookups", "feeds", "betting", "evaluation", "learning", "streams", "features")
 
 
 def load_all() -> None:

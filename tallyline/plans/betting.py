@@ -159,6 +159,12 @@ def yearly_roi(t: Tables) -> DataFrame:
     return markets.yearly_roi(flat_bets(t), ["league"])
 
 
+@query("a13_roi_by_year", "flat", f"""select league, year, count(*) as n_bets, {q('sum(bet_amount)')} as staked, {q('sum(profit)')} as profit,
+  {q('sum(profit) / sum(bet_amount) * 100')} as roi from flat group by 1, 2""")
+def roi_by_year(t: Tables) -> DataFrame:
+    return rounded(markets.roi_by_year(flat_bets(t), ["league"]))
+
+
 # the ledger as a recursion over bet numbers
 define("numbered_bets", "filtered", """select f.*, least(greatest(0, 0.25 * (bet_prob * (odds - 1) - (1 - bet_prob)) / (odds - 1)), 0.1) as frac,
     case when bet_side = 'home' then home_score > away_score else home_score <= away_score end as won,

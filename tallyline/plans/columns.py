@@ -336,17 +336,18 @@ def feature_report(t: Tables) -> DataFrame:
 
 
 @query("p29_market_crowd_features", "market weathered tips", f"""
-with tp as (select game_id, avg(hconfidence) as mh from tips group by 1)
+with tp as (select game_id, avg(hconfidence) as mh, avg(greatest(hconfidence, 100 - hconfidence)) as mc from tips group by 1)
 select m.game_id, {q('abs(home_odds_open - home_odds_close)')} as home_odds_range,
   {q('abs(away_odds_open - away_odds_close)')} as away_odds_range,
   {q('abs(home_odds_open - home_odds_close) - abs(away_odds_open - away_odds_close)')} as odds_range_diff,
-  {q('mh / 100')} as tipster_prob, {q('100 - mh')} as tipster_disagreement, {q('mh / 100 - alt_prob')} as tipster_vs_rating,
+  {q('mh / 100')} as tipster_prob, {q('100 - mc')} as tipster_disagreement, {q('mh / 100 - alt_prob')} as tipster_vs_rating,
   {q('rain_mm * (1 - is_roofed)')} as rain_x_open
 from market m join tp on tp.game_id = m.game_id join weathered w on w.game_id = m.game_id""")
 def market_crowd_features(t: Tables) -> DataFrame:
     from tallyline.operators.metrics import crowd
     sky = joins.join_weather(t.games, weather_table(t), t.venue_dim).select("game_id", "rain_mm", "is_roofed")
-    rows = t.market.join(crowd(t.tips), "game_id").join(sky, "game_id")
+    sure = F.greatest(F.col("hconfidence"), 100 - F.col("hconfidence"))  # confidence in the tipped side
+    rows = t.market.join(crowd(t.tips.withColumn("confidence", sure)), "game_id").join(sky, "game_id")
 
     def spread(side: str):
         a, b = F.col(f"{side}_odds_open"), F.col(f"{side}_odds_close")
@@ -356,7 +357,7 @@ def market_crowd_features(t: Tables) -> DataFrame:
     return rounded(rows.select(
         "game_id", spread("home").alias("home_odds_range"), spread("away").alias("away_odds_range"),
         (spread("home") - spread("away")).alias("odds_range_diff"), (tip / 100).alias("tipster_prob"),
-        (100 - tip).alias("tipster_disagreement"), (tip / 100 - F.col("alt_prob")).alias("tipster_vs_rating"),
+        (100 - F.col("mean_confidence")).alias("tipster_disagreement"), (tip / 100 - F.col("alt_prob")).alias("tipster_vs_rating"),
         (F.col("rain_mm") * (1 - F.col("is_roofed"))).alias("rain_x_open")))
 
 
@@ -396,7 +397,7 @@ def meta_features(t: Tables) -> DataFrame:
 define("picks", "market tips", """select m.*, cast(model_prob >= 0.5 as double) as pick_model,
     case when home_odds_open is not null then cast(home_odds_open < away_odds_open as double) end as pick_market,
     cast(mh > 50 as double) as pick_tipster, case when home_score > away_score then 1 else 0 end as y, mh
-  from market m join (select game_id, avg(hconfidence) as mh from tips group by 1) t on t.game_id = m.game_id
+  from market m join (select game_id, avg(hconfidence) as mh, avg(greatest(hconfidence, 100 - hconfidence)) as mc from tips group by 1) t on t.game_id = m.game_id
   where home_score is not null""")
 
 

@@ -1,6 +1,7 @@
 """Model training, evaluation and serving queries (M).
 
-Trees are few and shallow to keep runs short; every row of the fold years is used.
+Every year with results before it is a fold, and every row of it is used. The number
+and depth of trees are parameters of the fits.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ def known(df: DataFrame) -> DataFrame:
     return df.where(F.col(m.LABEL).isNotNull())
 
 
-def fold_years(df: DataFrame, n: int = 2) -> list[int]:
-    """The last n years with results."""
-    last = known(df).agg(F.max("year")).first()[0]
-    return list(range(last - n + 1, last + 1)) if last else []
+def fold_years(df: DataFrame) -> list[int]:
+    """Every year that has results and results before it."""
+    years = [r["year"] for r in known(df).select("year").distinct().orderBy("year").collect()]
+    return years[1:]
 
 
 @query("m1_chronological_split", "contests", """select game_id, case when year <= 1996 then 'train' when year = 1997 then 'validate' else 'test' end as part,
@@ -72,7 +73,7 @@ def feature_matrix(t: Tables) -> DataFrame:
 @query("m3_classifier_early_stop")
 def classifier_early_stop(t: Tables) -> DataFrame:
     df = featured(t)
-    year = fold_years(df, 1)[0]
+    year = fold_years(df)[-1]
     train = known(df).where(F.col("year") < year)
     model = m.classifier(train, BASE, iterations=8, validate_on=F.col("year") == year - 1)
     test = m.score(model, known(df).where(F.col("year") == year), BASE, "prob")
@@ -82,7 +83,7 @@ def classifier_early_stop(t: Tables) -> DataFrame:
 @query("m4_margin_regressor")
 def margin_regressor(t: Tables) -> DataFrame:
     df = featured(t)
-    year = fold_years(df, 1)[0]
+    year = fold_years(df)[-1]
     model = m.margin_model(known(df).where(F.col("year") < year), BASE)
     return rounded(metrics.regression(m.score(model, known(df).where(F.col("year") == year), BASE, "pred"), "pred", "margin"))
 
@@ -90,13 +91,14 @@ def margin_regressor(t: Tables) -> DataFrame:
 @query("m5_walk_forward")
 def walk_forward(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(m.fold_metrics(m.walk_forward(df, BASE, fold_years(df, 3))))
+    oof = m.walk_forward(df, BASE, fold_years(df), seeds=m.SEEDS)
+    return rounded(m.fold_metrics(oof.groupBy("game_id", "year", m.LABEL).agg(F.avg("prob").alias("prob"))))
 
 
 @query("m6_seed_ensemble")
 def seed_ensemble(t: Tables) -> DataFrame:
     df = featured(t)
-    oof = m.walk_forward(df, BASE, fold_years(df, 1), seeds=m.SEEDS[:2])
+    oof = m.walk_forward(df, BASE, fold_years(df), seeds=m.SEEDS)
     return rounded(metrics.fold_dispersion(oof, "prob", m.LABEL, "year", "seed", "game_id"))
 
 
@@ -112,45 +114,45 @@ def isotonic_calibration(t: Tables) -> DataFrame:
 @query("m8_grid_search")
 def grid_search(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(m.grid_search(df, {"form": FORM, "form+rating": FORM + RATING}, [{"depth": 2}, {"depth": 3}], fold_years(df, 1)))
+    return rounded(m.grid_search(df, {"form": FORM, "form+rating": FORM + RATING}, [{"depth": 2}, {"depth": 3}], fold_years(df)))
 
 
 @query("m9_feature_ablation")
 def feature_ablation(t: Tables) -> DataFrame:
     df = featured(t)
     return rounded(m.compare_features(df, {"base": BASE, "no rating": [c for c in BASE if c not in RATING], "+market": BASE + MARKET},
-                                      fold_years(df, 1), m.SEEDS[:2], "base"))
+                                      fold_years(df), m.SEEDS, "base"))
 
 
 @query("m10_stacking")
 def stacking(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(m.stacking(df, BASE, fold_years(df, 2)))
+    return rounded(m.stacking(df, BASE, fold_years(df)))
 
 
 @query("m11_two_stage_margin")
 def two_stage_margin(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(metrics.regression(m.two_stage_margin(df, BASE, fold_years(df, 1)), "pred", "margin"))
+    return rounded(metrics.regression(m.two_stage_margin(df, BASE, fold_years(df)), "pred", "margin"))
 
 
 @query("m12_conditioned_margin")
 def conditioned_margin(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(m.conditioned_margin(df, BASE, fold_years(df, 2)))
+    return rounded(m.conditioned_margin(df, BASE, fold_years(df)))
 
 
 @query("m13_loss_comparison")
 def loss_comparison(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(m.loss_comparison(df, BASE, fold_years(df, 1)))
+    return rounded(m.loss_comparison(df, BASE, fold_years(df)))
 
 
 @query("m14_market_variants")
 def market_variants(t: Tables) -> DataFrame:
     """Price-only models against the market itself on the games all of them cover."""
     df = featured(t)
-    years = fold_years(df, 1)
+    years = fold_years(df)
     common = joins.common_sample(df, MARKET + MOVES)
     variants = {"open+line": MARKET, "open+movement": MOVES}
     rows = [metrics.classification(m.walk_forward(common, fs, years), "prob", m.LABEL).withColumn("config", F.lit(name))
@@ -176,13 +178,13 @@ def contributions(t: Tables) -> DataFrame:
 def score_upcoming(t: Tables) -> DataFrame:
     df = featured(t)
     upcoming = df.where(F.col(m.LABEL).isNull())
-    return rounded(m.score_upcoming(known(df), upcoming, BASE, fold_years(df, 1)).withColumn("date", s.day_key(F.col("date"))))
+    return rounded(m.score_upcoming(known(df), upcoming, BASE, fold_years(df)).withColumn("date", s.day_key(F.col("date"))))
 
 
 @query("m18_model_comparison")
 def model_comparison(t: Tables) -> DataFrame:
     df = featured(t)
-    years = fold_years(df, 1)
+    years = fold_years(df)
     old, new = (metrics.classification(m.walk_forward(df, fs, years), "prob", m.LABEL) for fs in (FORM, BASE))
     return rounded(m.compare_models(old, new, ["accuracy", "log_loss", "brier"]))
 
@@ -210,12 +212,11 @@ def backfill_scores(t: Tables) -> DataFrame:
 
 @query("m20_walk_forward_betting")
 def walk_forward_betting(t: Tables) -> DataFrame:
-    """Out-of-fold probabilities, calibrated on earlier years, staked at opening and closing prices."""
+    """Out-of-fold probabilities, each year calibrated on the years before it, staked at opening and closing prices."""
     df = featured(t)
-    years = fold_years(df, 2)
+    years = fold_years(df)
     oof = m.walk_forward(df, BASE, years)
-    calibrator = m.fit_isotonic(oof.where(F.col("year") < years[-1]), "prob")
-    probs = m.calibrate(calibrator, oof, "prob", "model_prob").select("game_id", "model_prob")
+    probs = m.calibrate_forward(oof, "prob", "model_prob").select("game_id", "model_prob")
     market = t.games.join(t.prices, "game_id").join(probs, "game_id")
     parts = []
     for kind in ("open", "close"):

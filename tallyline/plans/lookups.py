@@ -411,7 +411,7 @@ def array_sets(t: Tables) -> DataFrame:
 @query("u4_round_list", "contests", """
 with n as (select case round when 1 then 'Opening Round' when 12 then 'Grand Final' else 'Round ' || round end || case when round % 2 = 0 then '' else ' ' || year end as roundname,
     home_score from contests),
-u as (select distinct roundname from n where home_score is null), p as (select distinct roundname from n where home_score is not null and roundname like '%199%')
+u as (select distinct roundname from n where home_score is null), p as (select distinct roundname from n where home_score is not null)
 select roundname, kind, case when lower(roundname) like 'opening%' then 0 when regexp_matches(roundname, '\\d') then cast(regexp_extract(roundname, '(\\d+)', 1) as int)
   when lower(roundname) like '%final%' then 900 else 500 end as sort_key
 from (select roundname, 'past' as kind from p where roundname not in (select roundname from u) union all select roundname, 'upcoming' from u)
@@ -420,7 +420,7 @@ def round_list(t: Tables) -> DataFrame:
     r = F.col("round")
     name = F.when(r == 1, "Opening Round").when(r == 12, "Grand Final").otherwise(F.concat(F.lit("Round "), r.cast("string")))
     named = t.games.withColumn("roundname", F.when(r % 2 == 0, name).otherwise(F.concat_ws(" ", name, "year")))
-    past = named.where(F.col("home_score").isNotNull() & F.col("roundname").contains("199"))
+    past = named.where("home_score is not null")
     return joins.round_list(past, named.where("home_score is null"))
 
 
@@ -486,9 +486,11 @@ def source_fallback(t: Tables) -> DataFrame:
 
 
 @query("s14_source_fallback_per_key", "tips", f"""
-with s as (select game_id, source as priority, hconfidence from tips where (game_id + source) % 3 = 0)
-select game_id, priority, {q('hconfidence')} as hconfidence from s where (game_id, priority) in (select (game_id, min(priority)) from s group by game_id)""")
+with s as (select game_id, source as priority, case when (game_id + source) % 3 = 0 then hconfidence end as hconfidence from tips)
+select game_id, priority, {q('hconfidence')} as hconfidence from s where (game_id, priority) in (
+  select (game_id, min(priority)) from s where hconfidence is not null group by game_id)""")
 def source_fallback_per_key(t: Tables) -> DataFrame:
-    # a source covers every third game, so games differ in their best source
-    rows = t.tips.where("(game_id + source) % 3 = 0").select("game_id", F.col("source").alias("priority"), "hconfidence")
-    return rounded(ingest.first_source(rows, per_key=["game_id"]))
+    """Every source names every game but has a value for a third of them; the first value wins."""
+    value = F.when((F.col("game_id") + F.col("source")) % 3 == 0, F.col("hconfidence"))
+    rows = t.tips.select("game_id", F.col("source").alias("priority"), value.alias("hconfidence"))
+    return rounded(ingest.first_source(rows.where("hconfidence is not null"), per_key=["game_id"]))

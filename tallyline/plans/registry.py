@@ -14,6 +14,8 @@ from tallyline.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The same queries over one query's derived tables, for compositions that share them.
+OVER_TABLES: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
 class Tables:
@@ -81,6 +83,7 @@ def query(name: str, needs: str = "", sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        OVER_TABLES[name] = fn
         if sql is not None:
             ORACLES[name] = with_tables(needs, sql)
         return fn

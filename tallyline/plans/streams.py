@@ -55,13 +55,14 @@ def sliding_windows(t: Tables) -> DataFrame:
 @query("t3_session_windows", "snapshots", f"""
 with g as (select *, case when fetched_at - lag(fetched_at) over (partition by match_id order by fetched_at, event_id) < interval 6 hour then 0 else 1 end as b from snapshots),
 s as (select *, sum(b) over (partition by match_id order by fetched_at, event_id) as sid from g)
-select strftime(min(fetched_at), '%Y-%m-%d %H:%M:%S') as start, match_id, {_DAY} from s group by match_id, sid""")
+select strftime(min(fetched_at), '%Y-%m-%d %H:%M:%S') as start, match_id, {_DAY} from s group by match_id, sid
+having max(fetched_at) + interval 6 hour <= (select max(fetched_at) - interval 2 hour from snapshots)""")
 def session_windows(t: Tables) -> DataFrame:
-    """Sessions close after the last snapshot, so the table is written at the end."""
+    """Sessions that the watermark has closed, each once."""
     stream = prices.snapshot_stream(t.spark, t.sf_dir, t.raw("events").schema)
     path = new_path(t.spark, "t3w")
-    done = prices.run_upsert(prices.sessions(stream), path, ["start", "match_id"], f"{path}/checkpoint", mode="complete")
-    return _window_text(done)
+    prices.run_append(prices.sessions(stream), f"{path}/rows", f"{path}/checkpoint")
+    return _window_text(t.spark.read.parquet(f"{path}/rows"))
 
 
 @query("t4_stateful_ema", "snapshots", f"""

@@ -1,7 +1,9 @@
 """Price snapshots as streams: the incremental forms of the batch operators.
 
-Results equal the batch operator over the same rows.  State is kept per match
-and bounded by the watermark; sinks are keyed tables, never memory tables.
+Results equal the batch operator over the same rows.  Windows, sessions and the
+dedupe are bounded by the watermark.  The price movement keeps one row per match
+for as long as the stream runs; the moving average keeps one per match that was
+seen within its time to live.  Sinks are keyed tables, never memory tables.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyline.functions import scalars as s
 from tallyline.operators.joins import keep_first, keep_last
+from tallyline.operators.markets import price_movement
 from tallyline.sources import ingest
 
 
@@ -35,18 +37,8 @@ def deduplicated(stream: DataFrame, keys: list[str], delay: str = "2 hours", tim
 
 
 def movement(stream: DataFrame) -> DataFrame:
-    """First and latest price of each match (update mode)."""
-    order, pair = F.struct("fetched_at", "event_id"), F.struct("home_odds", "away_odds")
-    ends = stream.groupBy("match_id").agg(
-        F.min_by(pair, order).alias("a"), F.max_by(pair, order).alias("b"), F.count(F.lit(1)).alias("n_snapshots"),
-        F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_seen"))
-    first = s.implied(F.col("a.home_odds"), F.col("a.away_odds"))
-    last = s.implied(F.col("b.home_odds"), F.col("b.away_odds"))
-    return ends.select(
-        "match_id", F.col("a.home_odds").alias("home_odds_open"), F.col("a.away_odds").alias("away_odds_open"),
-        F.col("b.home_odds").alias("home_odds_current"), F.col("b.away_odds").alias("away_odds_current"),
-        first.alias("implied_home_open"), last.alias("implied_home_current"), (last - first).alias("implied_move"),
-        F.abs(last - first).alias("move_magnitude"), "n_snapshots", "first_seen", "last_seen")
+    """First and latest price of each match (update mode); state is one row per match."""
+    return price_movement(stream, ["match_id"], "fetched_at", "event_id")
 
 
 def windowed(stream: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "2 hours") -> DataFrame:
@@ -56,7 +48,10 @@ def windowed(stream: DataFrame, length: str = "1 day", slide: str | None = None,
 
 
 def sessions(stream: DataFrame, gap: str = "6 hours", delay: str = "2 hours") -> DataFrame:
-    """Price statistics per match and burst of snapshots."""
+    """Price statistics per match and burst of snapshots; append mode gives each burst once, when it is closed.
+
+    A burst is closed when the watermark passes its last snapshot by the gap.
+    """
     span = F.session_window("fetched_at", gap)
     return _price_stats(stream.withWatermark("fetched_at", delay).groupBy(span.alias("w"), "match_id"))
 
@@ -77,11 +72,11 @@ class PriceEma(StatefulProcessor):
     Rows of a key are ordered inside a micro-batch, whose size the source limits.
     """
 
-    def __init__(self, alpha: float = 0.3):
-        self.alpha = alpha
+    def __init__(self, alpha: float = 0.3, ttl_days: int = 400):
+        self.alpha, self.ttl_days = alpha, ttl_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "n long, ema double")
+        self.state = handle.getValueState("ema", "n long, ema double", self.ttl_days * 86_400_000)
 
     def handleInputRows(self, key, rows, timerValues):
         n, ema = self.state.get() if self.state.exists() else (0, 0.0)
@@ -99,7 +94,7 @@ class PriceEma(StatefulProcessor):
 def moving_average(stream: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
     return stream.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=PriceEma(alpha), outputStructType=EMA_SCHEMA, outputMode="Update", timeMode="None")
+        statefulProcessor=PriceEma(alpha), outputStructType=EMA_SCHEMA, outputMode="Update", timeMode="ProcessingTime")
 
 
 # -- sinks -------------------------------------------------------------------

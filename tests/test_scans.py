@@ -181,3 +181,31 @@ def test_season_change_reverts_an_idle_team(spark):
     got = {r["game_id"]: r for r in ratings.elo(spark.createDataFrame(rows, GAME_SCHEMA)).collect()}
     want = elo(rows)
     assert abs(got[3]["home_elo"] - want[3][0]) < 1e-9 and want[3][0] > 1500
+
+
+def test_recurrence_that_never_forgets_runs_each_chunk_a_few_times(spark):
+    """A balance depends on all of its past; the rows processed stay linear in the table."""
+    from pyspark.sql import types as T
+
+    from tallyline.operators.recurrence import chunked_recurrence
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def step(key, rows, state):
+        seen.add(len(rows))
+        balance, out = state.get("balance", 100.0), []
+        for gain in rows["gain"]:
+            balance = max(1.0, balance * gain)
+            out.append(balance)
+        return pd.DataFrame({"key": key[0], "id": rows["id"].tolist(), "balance": out}), {"balance": balance}
+
+    rnd = random.Random(6)
+    rows = [("a" if i % 5 else "b", i, 0.8 + 0.45 * rnd.random()) for i in range(300)]
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", T.LongType()), T.StructField("balance", T.DoubleType())])
+    got = {r["id"]: r["balance"] for r in chunked_recurrence(
+        spark.createDataFrame(rows, "key string, id bigint, gain double"), ["key"], ["id"], step, schema, rows_per_chunk=30).collect()}
+    balance = {"a": 100.0, "b": 100.0}
+    for key, i, gain in rows:
+        balance[key] = max(1.0, balance[key] * gain)
+        assert got[i] == pytest.approx(balance[key])
+    assert seen.value <= 4 * len(rows)
