@@ -1,9 +1,10 @@
 """Price snapshots as streams: the incremental forms of the batch operators.
 
 Results equal the batch operator over the same rows.  Windows, sessions and the
-dedupe are bounded by the watermark.  The price movement keeps one row per match
-for as long as the stream runs; the moving average keeps one per match that was
-seen within its time to live.  Sinks are keyed tables, never memory tables.
+dedupe are bounded by the watermark.  The price movement and the moving average
+keep one row per match for as long as the stream runs: expiry by processing time
+would keep a stream that is drained to its end from ending.  Sinks are keyed
+tables, never memory tables.
 """
 
 from __future__ import annotations
@@ -72,11 +73,11 @@ class PriceEma(StatefulProcessor):
     Rows of a key are ordered inside a micro-batch, whose size the source limits.
     """
 
-    def __init__(self, alpha: float = 0.3, ttl_days: int = 400):
-        self.alpha, self.ttl_days = alpha, ttl_days
+    def __init__(self, alpha: float = 0.3):
+        self.alpha = alpha
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "n long, ema double", self.ttl_days * 86_400_000)
+        self.state = handle.getValueState("ema", "n long, ema double")
 
     def handleInputRows(self, key, rows, timerValues):
         n, ema = self.state.get() if self.state.exists() else (0, 0.0)
@@ -94,7 +95,7 @@ class PriceEma(StatefulProcessor):
 def moving_average(stream: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
     return stream.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=PriceEma(alpha), outputStructType=EMA_SCHEMA, outputMode="Update", timeMode="ProcessingTime")
+        statefulProcessor=PriceEma(alpha), outputStructType=EMA_SCHEMA, outputMode="Update", timeMode="None")
 
 
 # -- sinks -------------------------------------------------------------------
