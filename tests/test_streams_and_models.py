@@ -57,6 +57,27 @@ def test_movement_and_ingest_over_batches(spark, folder):
     assert again.count() == 90
 
 
+def test_sessions_over_batches_out_of_order(spark):
+    """A later batch moves a session's start; each closed session is given once, as the batch twin has it."""
+    path, start = new_path(spark, "sessions"), datetime(2024, 1, 1)
+    batches = [[(1, 0, 1), (2, 8, 1), (3, 1, 2)], [(4, 7, 1), (5, 9, 2)], [(6, 11, 1), (7, 30, 2)], [(8, 200, 3)]]
+    for rows in batches:
+        events = [(i, start + timedelta(hours=hour), key, "q", 1.0 + i, "{}") for i, hour, key in rows]
+        spark.createDataFrame(events, EVENTS).coalesce(1).write.mode("append").parquet(f"{path}/events")
+    prices.run_append(prices.sessions(stream(spark, f"{path}/events")), f"{path}/rows", f"{path}/c")
+    got = sorted((r["match_id"], (r["start"] - start).total_seconds() / 3600, r["n"]) for r in spark.read.parquet(f"{path}/rows").collect())
+    assert got == [(1, 0.0, 1), (1, 7.0, 3), (2, 1.0, 1), (2, 9.0, 1), (2, 30.0, 1)]
+
+
+def test_calibration_of_a_year_does_not_see_its_results(spark):
+    rnd = random.Random(4)
+    rows = [(k, 2000 + k % 3, round(rnd.random(), 3), int(rnd.random() < 0.5)) for k in range(300)]
+    turned = [(k, y, p, 1 - won if y == 2002 else won) for k, y, p, won in rows]
+    got = [{r["game_id"]: r["c"] for r in m.calibrate_forward(
+        spark.createDataFrame(x, f"game_id long, year int, prob double, {m.LABEL} int"), "prob", "c").collect()} for x in (rows, turned)]
+    assert got[0] == got[1] and {2000 + k % 3 for k in got[0]} == {2001, 2002}
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     rnd = random.Random(8)
