@@ -40,25 +40,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each partition first shrinks its links to a spanning forest by union-find. The
     forests are merged by rounds of hooking (an id with several parents links them)
-    and pointer jumping, until nothing changes: about log(depth) rounds. Each round
+    and pointer jumping, until every id hangs below its root: about log(depth) rounds. Each round
     is written out, so the plan stays short and lost executors cost one round.
     """
     links = links.select(F.col(a).cast("long"), F.col(b).cast("long")).where(F.col(a) != F.col(b))
     edges = stage(links.mapInArrow(_forest, "child long, parent long").distinct(), "links")
-    seen = None
     while True:
-        least = stage(edges.groupBy("child").agg(F.min("parent").alias("least")), "least")
+        least = stage(edges.groupBy("child").agg(F.min("parent").alias("least"), F.count("*").alias("n")), "least")
+        up = least.select(F.col("child").alias("parent"), F.col("least").alias("above"))
+        if least.where("n > 1").isEmpty() and edges.join(up, "parent", "left_semi").isEmpty():
+            # every id hangs directly below a root
+            return least.select(F.col("child").alias("id"), F.col("least").alias("component")).union(
+                edges.select("parent", "parent").distinct())
         hooked = edges.join(least, "child").select(
             F.inline(F.array(
                 F.struct(F.col("child"), F.col("least").alias("parent")),
                 F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")),
             ))
         ).where("child != parent").distinct()
-        up = least.select(F.col("child").alias("parent"), F.col("least").alias("above"))
         edges = stage(hooked.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"))
                       .distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.groupBy("child").agg(F.min("parent").alias("component")).withColumnRenamed("child", "id").union(
-                edges.select("parent", "parent").distinct())
-        seen = now

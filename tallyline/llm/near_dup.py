@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        only the smallest id of a class goes on.
     2. A bucket is a band of ``rows`` signature slots. Every member is verified
        against the bucket's smallest id, on full sets. This is linear in the bucket.
-    3. A bucket whose members then lie in several components is compared further, in
+    3. A bucket whose members then lie in several components verifies them against a
+       second leader, drawn at random. Buckets still mixed are compared further, in
        blocks of bounded size: pairs of different components whose signatures agree
        on enough slots are verified as well. Pairs inside a component change nothing.
     4. Components of all verified links.
@@ -181,11 +182,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return stage(shared.where(denominator * F.col("shared") >= numerator * (F.col("total") - F.col("shared"))).select("a", "b"), name)
 
     links = verified(star, "star-links")
-    parts = stage(components(links), "parts")
-    placed = members.select("bucket", "id", "n", "size").join(parts, "id", "left").select(
-        "bucket", "id", "n", "size", F.coalesce("component", "id").alias("part"))
-    mixed = stage(placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-                  .where("low < high").select("bucket"), "mixed")
+
+    def still_mixed() -> tuple[DataFrame, DataFrame]:
+        """Bucket members with their component so far, and the buckets that hold several components."""
+        placed = members.select("bucket", "id", "n", "size").join(stage(components(links), "parts"), "id", "left").select(
+            "bucket", "id", "n", "size", F.coalesce("component", "id").alias("part"))
+        return placed, stage(placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                             .where("low < high").select("bucket"), "mixed")
+
+    placed, mixed = still_mixed()
+    if not mixed.isEmpty():
+        # once more with a leader drawn anew in every bucket, so a member meets as many leaders as it has buckets
+        crowd = placed.join(mixed, "bucket", "left_semi")
+        drawn = stage(crowd.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("mark"), "id", "part", "n")).alias("lead")), "leads")
+        again = (crowd.join(drawn, "bucket").where("part != lead.part").where(similar_sizes("n", "lead.n"))
+                 .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct())
+        links = links.union(verified(stage(again, "star"), "star-links"))
+        placed, mixed = still_mixed()
     signs = filled.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"])
     blocked = (placed.join(mixed, "bucket", "left_semi").join(signs, "id")
                .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -198,8 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stage(pairs, "cross-pairs")
     if not pairs.isEmpty():
         links = links.union(verified(pairs, "cross-links"))
-        parts = stage(components(links), "parts")
-    parts = parts.withColumnRenamed("id", "first_id")
+    parts = components(links).withColumnRenamed("id", "first_id")
     return (signed.select("doc_id", *key).join(classes, key, "left").join(parts, "first_id", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_id", "doc_id")).alias("component_id"))
