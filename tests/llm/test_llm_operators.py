@@ -281,6 +281,28 @@ def test_repeated_passages(spark):
     assert got[3]["repeated"] and got[3]["n_words"] == 70
 
 
+def test_passages_made_of_frequent_lines_are_linked(spark):
+    random.seed(12)
+
+    def text(n):
+        return [f"w{random.randrange(10 ** 9)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for trial in range(12):
+        base = 1000 * (trial + 1)
+        one, two, own = text(45 if trial % 2 else 40), text(45), text(20)
+        shared = one + (two if trial % 2 else own)
+        for k in range(4):  # smaller and larger ids hold each frequent part, never the whole
+            rows += [(base + k, text(30) + one + text(30)), (base + 10 + k, text(30) + two + text(30)),
+                     (base + 900 + k, text(30) + one + text(30)), (base + 910 + k, text(30) + two + text(30))]
+        for k in (500, 600):
+            rows.append((base + k, text(50) + shared + text(50)))
+            want[base + k] = (50, 50 + len(shared), base + 500)
+    docs = [(i, " ".join(w)) for i, w in rows]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["start_word"], r["end_word"], r["first_id"]) for r in got} == want
+
+
 def test_chains_with_a_fenwick_tree_match_quadratic_search():
     random.seed(9)
     for _ in range(30):
