@@ -325,6 +325,45 @@ def test_chains_with_a_fenwick_tree_match_quadratic_search():
             assert (np.diff(a[c]) > 0).all() and (np.diff(b[c]) > 0).all()
 
 
+def test_chains_look_at_all_predecessors_within_the_gap():
+    random.seed(10)
+    for _ in range(40):
+        n = random.randrange(2, 80)
+        a, b = (np.array([random.randrange(400) for _ in range(n)]) for _ in range(2))
+        order = sorted(range(n), key=lambda k: (a[k], b[k]))
+        best, follows = {}, {}
+        for k in order:
+            near = [(best[j] + passages.GAP * (a[j] + b[j]), order.index(j)) for j in best
+                    if 0 < a[k] - a[j] <= passages.LONGEST_GAP and 0 < b[k] - b[j] <= passages.LONGEST_GAP]
+            best[k] = passages.WORDS
+            if near:
+                top, j = max(near)
+                j = order[j]
+                gain = top - passages.GAP * (a[k] + b[k]) + min(passages.WORDS, a[k] - a[j], b[k] - b[j])
+                if gain > passages.WORDS:
+                    best[k], follows[k] = gain, j
+        got = passages.chains(a, b)
+        links = {(int(x), int(y)) for c in got for x, y in zip(c, c[1:])}
+        assert links <= {(j, k) for k, j in follows.items()} and {k for c in got for k in c.tolist()[1:]} <= set(follows)
+        top = max(best.values())
+        assert best[int(got[0][-1])] == pytest.approx(top)
+        chain, k = [], int(got[0][-1])
+        while k is not None:
+            chain.append(k)
+            k = follows.get(k)
+        assert got[0].tolist() == chain[::-1]
+
+
+def test_a_second_passage_behind_a_longer_first_one_is_chained():
+    first = np.arange(0, 1000, 7)
+    second = np.arange(3000, 3300, 7)
+    a, b = np.concatenate([first, second]), np.concatenate([first, second + 11])
+    assert sorted(len(c) for c in passages.chains(a, b)) == sorted([len(first), len(second)])
+    near = np.arange(1060, 1160, 7)
+    a, b = np.concatenate([first, near]), np.concatenate([first, near + 1])
+    assert sorted(len(c) for c in passages.chains(a, b)) == sorted([len(first), len(near)])
+
+
 def test_packing_keeps_every_id_once(spark, messy):
     from tokenizers import Tokenizer
 
