@@ -303,6 +303,25 @@ def test_passages_made_of_frequent_lines_are_linked(spark):
     assert {r["doc_id"]: (r["start_word"], r["end_word"], r["first_id"]) for r in got} == want
 
 
+def test_every_occurrence_of_a_passage_has_a_row(spark):
+    random.seed(13)
+
+    def text(n):
+        return [f"v{random.randrange(10 ** 9)}" for _ in range(n)]
+
+    shared, header = text(80), text(60)
+    often = [w for _ in range(20) for w in header + text(90)]
+    docs = [(1, text(30) + shared + text(40) + shared + text(30)), (2, text(10) + shared), (3, text(25) + shared[20:60] + text(200) + shared),
+            (4, often), (5, [w for _ in range(9) for w in text(91) + header]), (6, ["x"] * 3000), (7, ["x"] * 2000)]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    assert sorted(got[1]) == [(30, 110), (150, 230)] and got[2] == [(10, 90)] and got[3] == [(265, 345)]
+    assert sorted(got[4]) == [(150 * k, 150 * k + 60) for k in range(20)] and sorted(got[5]) == [(151 * k + 91, 151 * k + 151) for k in range(9)]
+    assert got[6] == [(0, 3000)] and got[7] == [(0, 2000)]
+
+
 def test_chains_with_a_fenwick_tree_match_quadratic_search():
     random.seed(9)
     for _ in range(30):
