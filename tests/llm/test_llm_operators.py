@@ -303,6 +303,26 @@ def test_passages_made_of_frequent_lines_are_linked(spark):
     assert {r["doc_id"]: (r["start_word"], r["end_word"], r["first_id"]) for r in got} == want
 
 
+def test_edited_passages_are_found(spark):
+    random.seed(14)
+
+    def text(n):
+        return [f"u{random.randrange(10 ** 9)}" for _ in range(n)]
+
+    rows, want = [], {"short": set(), "long": set()}
+    for k in range(60):
+        size, name = (51, "short") if k % 2 else (100, "long")
+        one = text(size)
+        two = list(one)
+        for at in random.sample(range(1, size - 1), size // 7):
+            two[at] = text(1)[0]
+        rows += [(2 * k, " ".join(text(70) + one + text(80))), (2 * k + 1, " ".join(text(40) + two + text(90)))]
+        want[name].add(2 * k + 1)
+    got = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["repeated"]}
+    assert len(got & want["long"]) == len(want["long"])
+    assert len(got & want["short"]) >= 0.8 * len(want["short"])
+
+
 def test_every_occurrence_of_a_passage_has_a_row(spark):
     random.seed(13)
 
