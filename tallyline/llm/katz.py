@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +80,6 @@ class Chunk:
         """Sorted distinct pair hashes, and each token's place among them."""
         return np.unique(mix(mix(self.history() + np.uint64(1)) + self.words[self.tokens]), return_inverse=True)
 
-    def name(self) -> int:
-        sums = np.array([self.words.sum(dtype=np.uint64), mix(self.tokens.astype(np.uint64) + np.arange(len(self.tokens), dtype=np.uint64)).sum(dtype=np.uint64)])
-        return int(mix(sums * np.uint64(31) + sums[::-1])[0].astype(np.int64))
-
     def pack(self) -> tuple[bytes, ...]:
         return _pack_sorted(self.words), _pack(self.tokens), _pack(self.ends.astype(np.int64)), self.held.astype(np.uint8).tobytes()
 
@@ -91,26 +88,34 @@ class Chunk:
         return cls(_unpack_sorted(words), _unpack(tokens, np.uint32), _unpack(ends, np.int64), np.frombuffer(held, np.uint8).astype(bool))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks named by the task that forms them and their number in it; they are written once and read from there."""
+    task, n = TaskContext.get().partitionId(), 0
     for batch in few_at_a_time(batches, most=CHUNK):
         if batch.num_rows:
-            yield batch, Chunk.of(utf8(batch.column("text")), batch.column("held").to_numpy(zero_copy_only=False).astype(bool))
+            chunk = Chunk.of(utf8(batch.column("text")), batch.column("held").to_numpy(zero_copy_only=False).astype(bool))
+            columns = [[task << 32 | n], [batch.column("doc_id").to_pylist()], *([x] for x in chunk.pack())]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "doc_ids", "words", "tokens", "ends", "held"])
+            n += 1
 
 
 def _asked(parts: int):
     """Every chunk asks each table partition for its words and pairs, and reports their training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in _chunks(batches):
-            train = ~chunk.held[chunk.doc]
-            pair_keys, pair = chunk.pairs()
-            rows = []
-            for kind, keys, at in ((_WORD, chunk.words, chunk.tokens), (_PAIR, pair_keys, pair)):
-                counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
-                rows += [(kind, p, chunk.name(), _pack_sorted(keys[low:high]), _pack(counts[low:high])) for p, low, high in _slices(keys, parts)]
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
-                 pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], ["kind", "part", "chunk", "keys", "counts"])
+        for batch in batches:
+            for name, *packed in zip(*(batch.column(c) for c in ("chunk", "words", "tokens", "ends", "held"))):
+                chunk = Chunk.unpack(*(x.as_py() for x in packed))
+                train = ~chunk.held[chunk.doc]
+                pair_keys, pair = chunk.pairs()
+                rows = []
+                for kind, keys, at in ((_WORD, chunk.words, chunk.tokens), (_PAIR, pair_keys, pair)):
+                    counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+                    rows += [(kind, p, name.as_py(), _pack_sorted(keys[low:high]), _pack(counts[low:high])) for p, low, high in _slices(keys, parts)]
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
+                     pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], ["kind", "part", "chunk", "keys", "counts"])
     return run
 
 
@@ -171,13 +176,6 @@ class Model:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, chunk in _chunks(batches):
-        columns = [[chunk.name()], [batch.column("doc_id").to_pylist()], *([x] for x in chunk.pack())]
-        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "doc_ids", "words", "tokens", "ends", "held"])
-
-
 def _scored(model: Model, parts: int):
     """Scores all tokens but for the backoff weights of unseen pairs.
 
@@ -188,8 +186,6 @@ def _scored(model: Model, parts: int):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.unpack(row["words"], row["tokens"], row["ends"], row["held"])
-                if row["answers"] is None:
-                    raise RuntimeError("the input changed between two scans; write it out before scoring")
                 got = {kind: np.concatenate([_unpack(a["answer"], np.uint64) for a in sorted(row["answers"], key=lambda a: a["part"]) if a["kind"] == kind])
                        for kind in (_WORD, _PAIR)}
                 pair_keys, pair = chunk.pairs()
@@ -293,7 +289,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
     rows: a chunk of documents sends every partition its distinct keys with their
     counts, and receives the totals. The sums for the backoff weights travel the same
     way, and each history's weight makes the probabilities after it sum to one. Chunks
-    are named by content; a second scan that forms other chunks stops with an error.
+    are written once under names of their own, so equal texts may fill several.
 
     Null and blank texts are one end token. Null ids belong to no held-out fold.
     Repeated rows are counted and scored each. Without training rows all words are
@@ -303,7 +299,8 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
     plain = plain.withColumn("held", held_out("doc_id", folds, fold))
     size = plain.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("train")).first()
     parts = max(4, -(-(size["bytes"] or 0) // CHUNK))
-    asked = plain.mapInArrow(_asked(parts), "kind int, part int, chunk long, keys binary, counts binary")
+    chunks = stage(plain.mapInArrow(_packed, "chunk long, doc_ids array<long>, words binary, tokens binary, ends binary, held binary"), "chunks")
+    asked = chunks.drop("doc_ids").mapInArrow(_asked(parts), "kind int, part int, chunk long, keys binary, counts binary")
     answered = stage(asked.groupBy("kind", "part").applyInPandas(
         _answered, "kind int, part int, chunk long, answer binary, table array<long>"), "answers")
     tables = {r["kind"]: [r[f"t{k}"] for k in range(DISCOUNTED + 3)] for r in answered.where("chunk is null").groupBy("kind").agg(
@@ -311,8 +308,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
     nothing = [0] * (DISCOUNTED + 3)
     model = Model(tables.get(_WORD, nothing), tables.get(_PAIR, nothing))
     answers = answered.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "answer")).alias("answers"))
-    packed = plain.mapInArrow(_packed, "chunk long, doc_ids array<long>, words binary, tokens binary, ends binary, held binary")
-    scored = stage(packed.join(answers, "chunk", "left").withColumn("train_docs", F.lit(size["train"]))
+    scored = stage(chunks.join(answers, "chunk", "left").withColumn("train_docs", F.lit(size["train"]))
                    .mapInArrow(_scored(model, parts), _SCORED), "scored")
     weights = (scored.where("part is not null").select("chunk", *_FIELDS[8:]).groupBy("part")
                .applyInPandas(_weighed, "chunk long, places binary, weights binary")

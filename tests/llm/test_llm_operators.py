@@ -261,6 +261,19 @@ def test_katz_matches_plain_python(spark, messy, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_katz_of_chunks_with_equal_texts(spark):
+    long_text = " ".join(("v%d" % (k % 50)) * 20 for k in range(150_000))
+    assert len(long_text) > katz.CHUNK
+    rows = [(1, long_text), (2, long_text), *[(k, "same text of six words here") for k in range(3, 9)], (9, None), (10, "")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in katz.score(docs).collect()}
+    want, _ = plain.katz(rows, katz.good_turing)
+    assert len(got) == len(rows)
+    for (i, _), w in zip(rows, want):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == w[:3]
+        assert (got[i]["base_score"], got[i]["score"]) == pytest.approx(w[3:], rel=1e-9)
+
+
 def test_repeated_passages(spark):
     random.seed(8)
 
