@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyline.llm.fill_middle import fill_in_middle_digests
+from tallyline.llm.filter_audit import filter_audit
 from tallyline.llm.katz import score
 from tallyline.llm.language_id import identify
 from tallyline.llm.mixing import mix
+from tallyline.llm.mtree import top_products
 from tallyline.llm.near_dup import near_duplicates
 from tallyline.llm.neighbours import neighbours
 from tallyline.llm.packing import pack
@@ -123,3 +126,80 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_katz_scores")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
+
+
+@query("op11_filter_audit", sql=r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+told as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+         from labels where doc_id is not null group by doc_id),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as first from d),
+marks as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+         || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 'C' else '' end
+         || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when coalesce(first < words.doc_id, false) then 'E' else '' end as fails
+  from words left join told on told.doc_id = words.doc_id),
+patterns as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from marks group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, step, filter_order[step] as letter from orders, range(1, 6) as r(step)),
+gone as (
+  select p.*, o.filter_order, list_min(list_transform(string_split(p.fails, ''), lambda x: strpos(o.filter_order, x))) as at
+  from patterns p, orders o where p.fails <> ''),
+counts as (
+  select parts.part, s.filter_order, s.step, s.letter, parts.total,
+         coalesce(sum(g.n) filter (where g.at <= s.step), 0) as gone_so_far, coalesce(sum(g.n) filter (where g.at = s.step), 0) as removed,
+         coalesce(sum(g.n) filter (where g.at < s.step and contains(g.fails, s.letter)), 0) as redundant,
+         coalesce(sum(g.n) filter (where g.fails = s.letter), 0) as unique_fails,
+         coalesce(sum(g.good) filter (where g.at = s.step), 0) as good_lost, coalesce(sum(g.toxic) filter (where g.at = s.step), 0) as toxic_lost
+  from (select part, sum(n) as total from patterns group by part) parts cross join steps s
+  left join gone g on g.part = parts.part and g.filter_order = s.filter_order
+  group by parts.part, s.filter_order, s.step, s.letter, parts.total)
+select part, filter_order, step::int as step, (total - gone_so_far)::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+       unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+       (sum(removed) over (partition by part, letter))::bigint as shapley
+from counts
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_fill_in_middle", sql=r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h
+  from documents),
+h as (select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+parts as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cuts),
+made as (
+  select *, case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end as o from parts),
+back as (
+  select *, case form when 'plain' then o
+    when 'psm' then regexp_extract(o, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', 1) || regexp_extract(o, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', 3) || regexp_extract(o, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', 2)
+    else regexp_extract(o, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', 2) || regexp_extract(o, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', 3) || regexp_extract(o, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', 1) end as r
+  from made)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+       case when form <> 'plain' then length(m) end::bigint as middle_chars, sha256(o) as output_sha256, sha256(r) as restored_sha256
+from back
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(documents(spark, sf_dir))
+
+
+@query("op13_top_products", sql="""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(embeddings(spark, sf_dir))
