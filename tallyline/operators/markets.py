@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions import scalars as s
 from tallyline.operators.joins import keep_first, keep_last
-from tallyline.operators.recurrence import chunked_recurrence
+from tallyline.operators.recurrence import cut_by_rows
+from tallyline.operators.resample import ratio_interval
+from tallyline.operators.scaling import chunk_starts
 from tallyline.operators.scan import running
 from tallyline.staging import stage
 
@@ -281,33 +283,56 @@ def class_band_table(bets: DataFrame, bands: Sequence[tuple[float, float]]) -> D
 # -- ledgers -----------------------------------------------------------------
 
 def ledger(bets: DataFrame, keys: Sequence[str], order: Sequence[str] = ("date", "game_id"),
-           bankroll: float = BANKROLL, min_stake: float = MIN_STAKE, rows_per_chunk: int = 1_000_000) -> DataFrame:
+           bankroll: float = BANKROLL, min_stake: float = MIN_STAKE, rows_per_chunk: int = 1 << 18,
+           carry: Sequence[str] = ()) -> DataFrame:
     """Stake a share of the running bankroll bet by bet; stakes under the minimum are skipped.
 
-    Each key starts with ``bankroll``.  Skipping makes the fold order-dependent,
-    see ``recurrence``.  Returns game_id, keys, bet_amount, profit, bankroll of placed bets.
+    Each key starts with ``bankroll``.  A key is cut into chunks of bounded size; the
+    bankroll at the start of each comes from the chunks' maps (``scaling``), so all
+    chunks are staked side by side, each once.  Returns game_id, keys, bet_amount,
+    profit, bankroll of placed bets, and the columns in ``carry``.
     """
-    def step(key, rows: pd.DataFrame, state: dict):
-        money = state.get("bankroll", bankroll)
-        placed = []
-        for i, (share, odds, won) in enumerate(zip(rows["bet_fraction"], rows["odds"], rows["won"])):
-            amount = money * share
-            if amount < min_stake:
-                continue
-            profit = amount * (odds - 1) if won else -amount
-            money += profit
-            placed.append((i, amount, profit, money))
-        taken = rows.iloc[[p[0] for p in placed]]
-        out = taken[["game_id", *keys]].copy()
-        out["bet_amount"], out["profit"], out["bankroll"] = ([p[j] for p in placed] for j in (1, 2, 3))
-        return out, {"bankroll": money}
-
+    keys, order = list(keys), list(order)
+    extra = [c for c in carry if c not in keys and c != "game_id"]
     types = {f.name: f.dataType for f in bets.schema}
     schema = T.StructType([T.StructField("game_id", T.LongType())] + [T.StructField(k, types[k]) for k in keys] + [
-        T.StructField(c, T.DoubleType()) for c in ("bet_amount", "profit", "bankroll")])
-    slim = bets.select(*keys, "game_id", *[F.col(c).cast("timestamp").alias(c) for c in order if c != "game_id"],
-                       "bet_fraction", "odds", "won")
-    return chunked_recurrence(slim, keys, order, step, schema, rows_per_chunk)
+        T.StructField(c, T.DoubleType()) for c in ("bet_amount", "profit", "bankroll")] + [T.StructField(c, types[c]) for c in extra])
+    wanted = dict.fromkeys(["game_id", *keys, *order, *extra])
+    slim = stage(bets.select(
+        *wanted, F.col("bet_fraction").cast("double").alias("__share"),
+        F.when(F.col("won"), F.col("odds").cast("double") - 1).otherwise(-1.0).alias("__gain")), "stakes")
+    most = slim.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    chunked = most > rows_per_chunk
+    rows = stage(cut_by_rows(slim, keys, order, rows_per_chunk), "chunks") if chunked else slim.withColumn("chunk", F.lit(0))
+
+    def staked(table: pa.Table, money: float) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        placed, amounts, profits, after = [], [], [], []
+        for i, (share, gain) in enumerate(zip(table.column("__share").to_pylist(), table.column("__gain").to_pylist())):
+            amount = money * (share or 0.0)
+            if not amount >= min_stake:
+                continue
+            money += amount * gain
+            placed.append(i)
+            amounts.append(amount)
+            profits.append(amount * gain)
+            after.append(money)
+        taken = table.take(pa.array(placed, pa.int64()))
+        made = dict(zip(("bet_amount", "profit", "bankroll"), (pa.array(x, pa.float64()) for x in (amounts, profits, after))))
+        return pa.table([made[f.name] if f.name in made else taken.column(f.name) for f in schema], names=schema.names)
+
+    def alone(key: tuple, table: pa.Table) -> pa.Table:
+        return staked(table, bankroll)
+
+    def after_others(key: tuple, table: pa.Table, start: pa.Table) -> pa.Table:
+        return staked(table, start.column("start")[0].as_py() if start.num_rows else bankroll)
+
+    if not chunked:
+        return rows.groupBy(*keys).applyInArrow(alone, schema)
+    followed = rows.groupBy(*keys).agg(F.max("chunk").alias("__last"))
+    whole = rows.join(followed, keys).where(F.col("chunk") < F.col("__last")).drop("__last")
+    starts = chunk_starts(whole, keys, order, "__share", "__gain", bankroll, min_stake)
+    return rows.groupBy(*keys, "chunk").cogroup(starts.groupBy(*keys, "chunk")).applyInArrow(after_others, schema)
 
 
 def ledger_compound(bets: DataFrame, keys: Sequence[str], order: Sequence[str] = ("date", "game_id"),
@@ -345,46 +370,10 @@ def holdout(bets: DataFrame, keys: Sequence[str], order: Sequence[str], share: f
             .drop("__pos", "__n"))
 
 
-# fixed values: cumulative Poisson(1) probabilities
-POISSON_1 = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182,
-             0.999916758851, 0.999989750804, 0.999998874797)
-
-
-def _with_draws(df: DataFrame, row_id: str, reps: int) -> DataFrame:
-    """Each row in each replicate with ``times``, its Poisson(1) draw.
-
-    The uniform number comes from squarings modulo a prime, the same in any SQL
-    engine.  Each step is a column of its own, so it is computed once.
-    """
-    prime = 2147483647
-    rep, row = F.col("rep"), F.col(row_id)
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)).cast("array<bigint>")))
-    out = out.withColumn("__h0", (row * 48271 + rep * 69621 + 12345) % prime)
-    for i in range(3):
-        h = F.col(f"__h{i}")
-        out = out.withColumn(f"__h{i + 1}", (h * h + rep * 16807 + row) % prime)
-    out = out.withColumn("__u", F.col("__h3") / float(prime))
-    times = F.lit(0)
-    for bound in POISSON_1:
-        times = times + (F.col("__u") > bound).cast("int")
-    return out.withColumn("times", times).drop("__u", *[f"__h{i}" for i in range(4)])
-
-
 def bootstrap_roi(bets: DataFrame, keys: Sequence[str], row_id: str = "game_id", reps: int = 2000,
                   level: float = 0.95) -> DataFrame:
-    """Percentile interval of ROI over resampled bet sets.
-
-    Each bet enters a replicate a Poisson(1) number of times, the one-pass form of
-    drawing n bets with replacement: no row numbers, no join, and sums combine
-    before the shuffle.
-    """
-    drawn = _with_draws(bets.select(*keys, row_id, "profit", "bet_amount"), row_id, reps)
-    # no filter on ``times`` here: pushed below the draws it would repeat them
-    rois = drawn.groupBy(*keys, "rep").agg(
-        F.sum(F.col("profit") * F.col("times")).alias("p"), F.sum(F.col("bet_amount") * F.col("times")).alias("w"))
-    roi, tail = F.col("p") / F.col("w") * 100.0, (1 - level) / 2
-    return rois.where("w > 0").groupBy(*keys).agg(F.percentile(roi, tail).alias("roi_ci_low"),
-                                   F.percentile(roi, 1 - tail).alias("roi_ci_high"))
+    """Percentile interval of ROI over resampled bet sets, see ``resample``."""
+    return ratio_interval(bets, keys, row_id, "profit", "bet_amount", reps, level, 100.0, ("roi_ci_low", "roi_ci_high"))
 
 
 def roi_by_year(bets: DataFrame, keys: Sequence[str], year: str = "year") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as s
 from tallyline.operators import markets
+from tallyline.operators.resample import draws_sql
 from tallyline.plans.columns import candidates
 from tallyline.plans.ctes import define, r6 as q
 from tallyline.plans.feeds import quotes
@@ -187,17 +188,14 @@ def filtered_bets(t: Tables) -> DataFrame:
 
 def ledger_rows(t: Tables) -> DataFrame:
     """All filters, leagues and seasons in one pass."""
-    bets = stage(filtered_bets(t).select(*LEDGER_KEYS, "date", "game_id", "bet_fraction", "odds", "won", "edge"), "bets")
-    return markets.ledger(bets, LEDGER_KEYS).join(
-        bets.drop("bet_fraction"), [*LEDGER_KEYS, "game_id"])
+    return markets.ledger(filtered_bets(t), LEDGER_KEYS, carry=["date", "odds", "won", "edge"])
 
 
 @query("w21_staking_ledger", "numbered_bets", f"""{_LEDGER} select filter, league, year, game_id, {q('log10(bet_amount)')} as log_amount,
   {q('profit / bet_amount')} as bet_return, {q('log10(bankroll)')} as log_bankroll from ledger""")
 def staking_ledger(t: Tables) -> DataFrame:
     """Amounts compound to many digits, so they are compared by their logarithm."""
-    bets = filtered_bets(t).select(*LEDGER_KEYS, "date", "game_id", "bet_fraction", "odds", "won")
-    return rounded(markets.ledger(bets, LEDGER_KEYS).select(
+    return rounded(markets.ledger(filtered_bets(t), LEDGER_KEYS).select(
         *LEDGER_KEYS, "game_id", F.log10("bet_amount").alias("log_amount"),
         (F.col("profit") / F.col("bet_amount")).alias("bet_return"), F.log10("bankroll").alias("log_bankroll")))
 
@@ -217,11 +215,17 @@ def cumulative_profit(t: Tables) -> DataFrame:
     return rounded(markets.cumulative_profit(bets, ["date", "game_id"]).select("game_id", "idx", "cumulative"), 2)
 
 
+def _draws(key: str, table: str) -> str:
+    """CTEs up to ``t``: every bet in every replicate with its draw ``n``."""
+    steps, times = draws_sql("game_id", "rep")
+    ctes = [f"d as (select {key}, rep, profit, bet_amount, game_id from {table}, range(2000) r(rep))"]
+    for i, (name, value) in enumerate(steps):
+        ctes.append(f"d{i} as (select *, {value} as {name} from d{i - 1 if i else ''})")
+    return ", ".join([*ctes, f"t as (select *, {times} as n from d{len(steps) - 1})"])
+
+
 @query("a17_bootstrap_roi", "flat", f"""
-with d as (select league, rep, profit, bet_amount, (game_id * 48271 + rep * 69621 + 12345) % 2147483647 as h0, game_id as g from flat, range(2000) r(rep)),
-d1 as (select *, (h0 * h0 + rep * 16807 + g) % 2147483647 as h1 from d), d2 as (select *, (h1 * h1 + rep * 16807 + g) % 2147483647 as h2 from d1),
-d3 as (select *, ((h2 * h2 + rep * 16807 + g) % 2147483647) / 2147483647e0 as u from d2),
-t as (select *, {" + ".join(f"(u > {c})::int" for c in markets.POISSON_1)} as n from d3),
+with {_draws("league", "flat")},
 r as (select league, rep, sum(profit * n) / sum(bet_amount * n) * 100 as roi from t where n > 0 group by 1, 2)
 select league, {q('quantile_cont(roi, 0.025)')} as roi_ci_low, {q('quantile_cont(roi, 0.975)')} as roi_ci_high from r group by 1""")
 def bootstrap_roi(t: Tables) -> DataFrame:
@@ -252,10 +256,7 @@ ho as (select filter, count(*) as holdout_n, sum(profit) / sum(bet_amount) * 100
   where pos >= floor(n * 0.70e0) group by 1),
 dd as (select filter, max((peak - bankroll) / peak) as dd from (select *, greatest(1000, max(bankroll) over (
   partition by filter, league, year order by date, game_id)) as peak from ledger) group by 1),
-d as (select filter, rep, profit, bet_amount, (game_id * 48271 + rep * 69621 + 12345) % 2147483647 as h0, game_id as g from ledger, range(2000) r(rep)),
-d1 as (select *, (h0 * h0 + rep * 16807 + g) % 2147483647 as h1 from d), d2 as (select *, (h1 * h1 + rep * 16807 + g) % 2147483647 as h2 from d1),
-d3 as (select *, ((h2 * h2 + rep * 16807 + g) % 2147483647) / 2147483647e0 as u from d2),
-t as (select *, {" + ".join(f"(u > {c})::int" for c in markets.POISSON_1)} as n from d3),
+{_draws("filter", "ledger")},
 r as (select filter, rep, sum(profit * n) / sum(bet_amount * n) * 100 as roi from t where n > 0 group by 1, 2),
 ci as (select filter, quantile_cont(roi, 0.025) as lo, quantile_cont(roi, 0.975) as hi from r group by 1),
 fl as (select st.filter, case when n_bets >= 100 then 'N' else '' end || case when roi >= 5 then 'R' else '' end ||

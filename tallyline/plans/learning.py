@@ -224,6 +224,6 @@ def walk_forward_betting(t: Tables) -> DataFrame:
         parts.append(bets.select("source", "league", "year", "date", "game_id", "bet_fraction", "odds", "won", "edge"))
     bets = stage(parts[0].unionByName(parts[1]), "bets")
     keys = ["source", "league", "year"]
-    placed = stage(markets.ledger(bets, keys).join(bets.drop("bet_fraction"), [*keys, "game_id"]), "ledger")
+    placed = stage(markets.ledger(bets, keys, carry=["date", "odds", "won", "edge"]), "ledger")
     fall = markets.max_drawdown(placed, keys, ["date", "game_id"]).groupBy("source").agg(F.max("max_drawdown").alias("max_drawdown"))
     return rounded(markets.bet_stats(placed, ["source"]).join(markets.yearly_roi(placed, ["source"]), "source").join(fall, "source"))
