@@ -60,6 +60,11 @@ def price_movement(snapshots: DataFrame, keys: Sequence[str], time: str, tie: st
     ends = snapshots.groupBy(*keys).agg(
         F.min_by(pair, order).alias("a"), F.max_by(pair, order).alias("b"),
         F.count(F.lit(1)).alias("n_snapshots"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"))
+    return movement_columns(ends, keys)
+
+
+def movement_columns(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Prices and implied probabilities of the first (``a``) and last (``b``) snapshot and the move between them."""
     first = s.implied(F.col("a.home_odds"), F.col("a.away_odds"))
     last = s.implied(F.col("b.home_odds"), F.col("b.away_odds"))
     return ends.select(

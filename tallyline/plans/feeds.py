@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,7 @@ from tallyline.plans.columns import candidates
 from tallyline.plans.ctes import define, r6 as q
 from tallyline.plans.registry import Tables, query, rounded
 from tallyline.sources import ingest, pages
+from tallyline.sources.tables import VersionedTable
 from tallyline.staging import new_path
 
 _ORDERS = T.StructType([
@@ -149,6 +150,59 @@ def table_rows(t: Tables) -> DataFrame:
         F.col("G").try_cast("double").alias("g"), F.col("HO").try_cast("double").alias("ho")))
 
 
+@query("s7_attributed_items", "", """
+with x as (select page_id, unnest(i) as raw, generate_subscripts(i, 1) - 1 as pos from (select page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1, 's') as i from pages)),
+y as (select page_id, cast(pos as int) as pos, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) as item from x)
+select page_id, pos, item from y where item <> '' and upper(item) not in ('TOTAL', 'TOTALS')""")
+def attributed_items(t: Tables) -> DataFrame:
+    """The given pages with attributes on every item, every second end tag left out, and tags in comments and scripts."""
+    html = F.regexp_replace("html", "<li>", """<LI class='n' data-x="a > b" >""")
+    html = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(html, "</li>", "")).otherwise(html)
+    html = F.regexp_replace(html, "</ul>", "<!-- <li>no item</li> --></ul><script>var s = '<ul><li>no item</li></ul>';</script>")
+    return pages.item_rows(t.raw("pages").select("page_id", html.alias("html")))
+
+
+@query("s7_nested_tables", "player_stats", f"""
+select mid, cast(row_number() over (partition by mid order by team, player) as int) as n, team, player, {q('g')} as g, {q('ho')} as ho from player_stats where player not in ('P7')""")
+def nested_tables(t: Tables) -> DataFrame:
+    """One page per match: a table per side inside the cells of a layout table, attributes everywhere, end tags missing."""
+    cells = [F.concat(F.lit("<a href='/p?x=1>2'>"), "player", F.lit(" ↗</a>")), F.concat(F.lit("<b>"), F.col("g").cast("string"), F.lit("</b>")), F.col("ho").cast("string")]
+    cells[0] = F.when(F.col("player") == "P7", "Totals").otherwise(cells[0])
+    row = F.concat(F.lit('<tr class="r" data-t="<td>">'), *[x for i, c in enumerate(cells) for x in (F.lit(f'<td width={i} align="right">'), c)])
+    side = t.player_stats.groupBy("mid", "team").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<!--"), "player", F.lit("-->"), row))), "\n").alias("rows"))
+    table = F.concat(F.lit("<td valign=top>"), "team", F.lit("<TABLE border=0><tr><th>Player<th>G<th>HO"), "rows", F.lit("</TABLE></td>"))
+    page = side.groupBy("mid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("team", table.alias("x")))), lambda r: r["x"]), "").alias("x"))
+    html = F.concat(F.lit("<table id='layout'><tr>"), "x", F.lit("</tr><tr><td colspan=2>Totals</table>"))
+    rows = pages.titled_rows(page.select(F.col("mid").alias("page_id"), html.alias("html")), "Player")
+    sides = page.select(F.col("mid").alias("page_id")).join(side.select(F.col("mid").alias("page_id"), "team"), "page_id")
+    order = Window.partitionBy("page_id").orderBy("team")
+    teams = sides.select("page_id", "team", F.row_number().over(order).alias("table"))  # table 0 is the layout
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("table", "pos")).alias("n")
+    found = rows.join(teams, ["page_id", "table"]).select(F.col("page_id").alias("mid"), n, "team", *[F.col("values")[c].alias(c) for c in ("Player", "G", "HO")])
+    return rounded(found.select("mid", "n", "team", F.col("Player").alias("player"), F.col("G").try_cast("double").alias("g"), F.col("HO").try_cast("double").alias("ho")))
+
+
+@query("s5_score_tables", "contests", "select game_id // 64 as page_id, cast(year * 10 as int) as attendance, venue, home_team, "
+       + ", ".join(f"{_points_sql(5, 7, i)} as home_q{i}" for i in (1, 2, 3, 4)) + ", home_score as home_final_score, away_team, "
+       + ", ".join(f"{_points_sql(4, 9, i)} as away_q{i}" for i in (1, 2, 3, 4)) + ", away_score as away_final_score, "
+       "strftime(date, '%a %d-%b-%Y') as date from contests where home_score is not null")
+def score_tables(t: Tables) -> DataFrame:
+    """Pages that list many matches, each a table with attributes."""
+    g = F.col("game_id")
+
+    def line(team: str, final: str, m: int, n: int, rest) -> Column:
+        quarters = [F.concat((g % m + i).cast("string"), F.lit("."), (g % n + i).cast("string")) for i in (1, 2, 3, 4)]
+        cells = [F.concat(F.lit("<b>"), F.col(team), F.lit("</b>")), F.concat_ws("&nbsp;".replace("&nbsp;", "\u00a0"), *quarters), F.col(final).cast("string"), rest]
+        return F.concat(F.lit("<tr bgcolor='#eee'>"), *[x for c in cells for x in (F.lit('<td style="a>b">'), c, F.lit("</td>"))])
+
+    when = F.concat(F.date_format("date", "EEE dd-MMM-yyyy"), F.lit(" Att: "), F.format_number(F.col("year") * 10, 0))
+    table = F.concat(F.lit("<table class=m>"), line("home_team", "home_score", 5, 7, when), line("away_team", "away_score", 4, 9, F.lit("won")),
+                     F.lit("<tr><td>Venue: "), "venue", F.lit("</table><br>"))
+    done = t.contests.where("home_score is not null")
+    page = done.groupBy(F.floor(g / 64).alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(table)), "").alias("html"))
+    return pages.table_records(page).drop("table")
+
+
 @query("s8_selection_rows", "contests player_stats", """
 with p as (select c.year, c.round, s.team, s.player, cast(substr(s.player, 2) as int) % 5 as k from player_stats s join contests c on c.game_id = s.mid)
 select distinct year, round, team, player, case when k = 4 then 'emergency' else 'selected' end as type from p""")
@@ -168,18 +222,18 @@ def selection_rows(t: Tables) -> DataFrame:
 @query("s9_append_history", "snapshots", f"select match_id, event_id, {q('home_odds')} as home_odds from snapshots")
 def append_history(t: Tables) -> DataFrame:
     """Two appends of disjoint halves make the whole history."""
-    path = new_path(t.spark, "history")
+    history = VersionedTable(t.spark, new_path(t.spark, "history"))
     for half in (0, 1):
-        ingest.append(t.snapshots.where(F.col("event_id") % 2 == half).select("match_id", "event_id", "home_odds"), path)
-    return rounded(t.spark.read.parquet(path))
+        history.append(t.snapshots.where(F.col("event_id") % 2 == half).select("match_id", "event_id", "home_odds"))
+    return rounded(history.read())
 
 
 @query("s10_overwrite", "bets", f"select game_id, bet_side, {q('edge')} as edge from bets")
 def overwrite(t: Tables) -> DataFrame:
-    """An empty table keeps its schema; a second write replaces it."""
-    path = new_path(t.spark, "value-bets")
+    """An empty table keeps its schema; a second version replaces it, and a third is made from the second."""
+    value_bets = VersionedTable(t.spark, new_path(t.spark, "value-bets"))
     bets = candidates(t).select("game_id", "bet_side", "edge")
-    ingest.overwrite(bets.where(F.lit(False)), path)
-    empty = t.spark.read.parquet(path)
-    ingest.overwrite(bets, path)
-    return rounded(t.spark.read.schema(empty.schema).parquet(path))
+    value_bets.overwrite(bets.where(F.lit(False)))
+    value_bets.overwrite(value_bets.read().unionByName(bets))
+    value_bets.overwrite(value_bets.read())
+    return rounded(value_bets.read())

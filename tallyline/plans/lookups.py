@@ -11,6 +11,8 @@ from tallyline.plans.columns import candidates, weather_table
 from tallyline.plans.ctes import define, r6 as q
 from tallyline.plans.registry import Tables, query, rounded
 from tallyline.sources import ingest
+from tallyline.sources.tables import KeyedTable
+from tallyline.staging import new_path
 
 
 @query("j1_left_join_by_id", "contests tips", f"""select c.game_id, {q('h')} as mean_hconfidence from contests c left join (
@@ -453,8 +455,10 @@ select game_id, snapshot_date, {q('home_win_prob')} as home_win_prob from histor
 union all select game_id, snapshot_date, {q('1 - home_win_prob')} from history where game_id % 3 = 0""")
 def keyed_upsert(t: Tables) -> DataFrame:
     rows = prediction_history(t)
-    new = rows.where("game_id % 3 = 0").withColumn("home_win_prob", 1.0 - F.col("home_win_prob"))
-    return rounded(ingest.upsert(rows, new, ["game_id", "snapshot_date"]))
+    table = KeyedTable(t.spark, new_path(t.spark, "predictions"), rows.schema, ["game_id", "snapshot_date"])
+    table.upsert(rows)
+    table.upsert(table.read().where("game_id % 3 = 0").withColumn("home_win_prob", 1.0 - F.col("home_win_prob")))
+    return rounded(table.read())
 
 
 @query("s12_incremental_ingest", "contests", """

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from tallyline.plans.betting import MOVEMENT_SQL, movement_text
 from tallyline.plans.ctes import r6 as q
 from tallyline.plans.registry import Tables, query, rounded
-from tallyline.staging import new_path
+from tallyline.staging import new_path, stage
 from tallyline.streaming import prices
 
 
+def _until_ends(t: Tables) -> DataFrame:
+    """Snapshots with the end of their match: the time of its last one."""
+    ends = stage(t.snapshots.groupBy("match_id").agg(F.max(F.col("fetched_at").cast("timestamp")).alias("ends_at")), "ends")
+    return prices.with_ends(prices.snapshot_stream(t.spark, t.sf_dir, t.raw("events").schema), ends)
+
+
 @query("t1_deduplicated_snapshots", "snapshots", f"select match_id, event_id, {q('home_odds')} as home_odds, {q('away_odds')} as away_odds from snapshots")
 def deduplicated_snapshots(t: Tables) -> DataFrame:
     """Every snapshot arrives twice and is kept once."""
@@ -24,9 +30,9 @@ def deduplicated_snapshots(t: Tables) -> DataFrame:
 
 @query("t2_price_movement_stream", "snapshots", MOVEMENT_SQL)
 def price_movement_stream(t: Tables) -> DataFrame:
-    stream = prices.snapshot_stream(t.spark, t.sf_dir, t.raw("events").schema)
+    """A match is over with its last snapshot; its state goes when the watermark passes that."""
     path = new_path(t.spark, "t2")
-    return movement_text(prices.run_upsert(prices.movement(stream), path, ["match_id"], f"{path}/checkpoint"))
+    return movement_text(prices.run_upsert(prices.movement(_until_ends(t)), path, ["match_id"], f"{path}/checkpoint"))
 
 
 _DAY = f"count(*) as n, {q('avg(home_odds)')} as avg_home, {q('max(home_odds)')} as best_home, {q('min(home_odds)')} as worst_home"
@@ -69,14 +75,8 @@ def session_windows(t: Tables) -> DataFrame:
 with o as (select match_id, home_odds, row_number() over (partition by match_id order by fetched_at, event_id) as i, count(*) over (partition by match_id) as n from snapshots)
 select match_id, max(n) as n, {q('sum(home_odds * (case when i = 1 then 1e0 else 0.3e0 end) * power(0.7e0, n - i))')} as ema from o group by 1""")
 def stateful_ema(t: Tables) -> DataFrame:
-    stream = prices.snapshot_stream(t.spark, t.sf_dir, t.raw("events").schema)
-    path, store = new_path(t.spark, "t4"), "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(store)
-    t.spark.conf.set(store, prices.ROCKSDB)
-    try:
-        return rounded(prices.run_upsert(prices.moving_average(stream), path, ["match_id"], f"{path}/checkpoint"))
-    finally:
-        t.spark.conf.set(store, before)
+    path = new_path(t.spark, "t4")
+    return rounded(prices.run_upsert(prices.moving_average(_until_ends(t)), path, ["match_id"], f"{path}/checkpoint"))
 
 
 @query("t5_stream_ingest", "snapshots", f"select event_id, match_id, {q('home_odds')} as home_odds from snapshots")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +36,20 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a table; with no rows the schema is still written."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a plain folder; with no rows the schema is still written.
+
+    The new rows are written aside first, so a failed job leaves the old folder and
+    ``df`` may read it.  Readers that must never see the moment between the two take a
+    ``tables.VersionedTable``.
+    """
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    spark = df.sparkSession
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{aside} could not be moved to {path}")
 
 
 # fixed values: sheet heading -> column

@@ -1,8 +1,15 @@
-"""Structured rows out of raw page text, with built-in regular expressions."""
+"""Structured rows out of raw pages, with built-in functions.
+
+Pages are cut into tokens (tags, comments, scripts, text) once.  Nesting is a running
+sum over a page's tokens, and what a token lies in is the last thing opened at its depth,
+so tags may have any attributes, may lack their end tag and may be nested.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.scalars import points
@@ -34,6 +41,7 @@ def score_record(line: Column) -> Column:
 def match_records(pages: DataFrame, text: str = "text") -> DataFrame:
     """Pages with exactly two score lines -> one match row; other pages are dropped."""
     lines = F.filter(F.transform(F.split(text, "\n"), score_record), lambda r: r.isNotNull())
+    # fixed values: the page's labels and date form
     attendance = F.regexp_replace(F.regexp_extract(text, r"Att:\s*([\d,]+)", 1), ",", "").try_cast("int")
     venue = F.trim(F.regexp_extract(text, r"Venue:\s*([^\n]+)", 1))
     date = F.regexp_extract(text, r"(\w{3}\s+\d{2}-\w{3}-\d{4})", 1)
@@ -62,24 +70,124 @@ def link_ids(pages: DataFrame, pattern: str) -> DataFrame:
     return found.where("link_id <> ''").groupBy("page_id", "link_id").agg(F.min("pos").alias("first_pos"))
 
 
-def item_rows(pages: DataFrame, tag: str = "li") -> DataFrame:
-    """Items of a page as rows: tags and arrows removed, blank and total rows dropped."""
-    items = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        "html", F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), 1)).alias("pos", "raw"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), ARROWS, ""))
-    return (items.select("page_id", "pos", text.alias("item"))
+# scripts, styles and comments whole; tags with quoted attributes; text
+TOKEN = (r"(?is)<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<!--.*?(?:-->|$)|<[!?][^>]*>"
+         r"|</?[a-z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>|[^<]+|<")
+
+
+def tokens(pages: DataFrame, tags: Sequence[str], text: str = "html") -> DataFrame:
+    """``page_id, page, at, tag, closes, text``: the named tags and the text of each page in order.
+
+    ``page`` tells rows with one page id apart.  Comments, scripts and styles are left out.
+    """
+    numbered = pages.select("page_id", F.monotonically_increasing_id().alias("page"), text)
+    cut = numbered.select("page_id", "page", F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("at", "token"))
+    tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    named = cut.select("page_id", "page", "at", "token", tag.alias("tag"))
+    is_text = (F.col("tag") == "") & ~F.col("token").rlike("^<[!?]")
+    return named.where(F.col("tag").isin(*tags) | is_text).select(
+        "page_id", "page", "at", "tag", F.col("token").startswith("</").alias("closes"), F.when(is_text, F.col("token")).alias("text"))
+
+
+def placed(pages: DataFrame, containers: Sequence[str], cells: Sequence[str], rows: Sequence[str] = (), text: str = "html") -> DataFrame:
+    """Tokens with the innermost open ``container`` they lie in, and the open ``row`` and ``cell`` of that container.
+
+    Each is the place of its opening tag.  A row or cell ends at its end tag, at the
+    next one, or with its container; what lies in a nested container belongs to that
+    one alone.  One shuffle by page; a page's tokens are a task's smallest unit.
+    """
+    all_tokens = tokens(pages, [*containers, *rows, *cells], text)
+    tag, closes = F.col("tag"), F.col("closes")
+    at = F.col("at")
+
+    def latest(event: Column, *by: str) -> Column:
+        return F.last(event, ignorenulls=True).over(
+            Window.partitionBy("page", *by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+
+    holds = tag.isin(*containers)
+    step = F.when(holds & ~closes, 1).when(holds, -1).otherwise(0)
+    deep = all_tokens.withColumn("depth", F.sum(step).over(Window.partitionBy("page").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = deep.withColumn("container", F.coalesce(latest(F.when(holds & ~closes, at), "depth"), F.lit(-1)))
+    row, cell = tag.isin(*rows) if rows else F.lit(False), tag.isin(*cells)
+    starts = lambda x: F.when(x & ~closes, at)
+    return inside.select(
+        "*", latest(starts(row).when(row, -1), "container").alias("row"),
+        latest(starts(cell).when(cell | row, -1), "container").alias("cell"))
+
+
+def _joined_text() -> Column:
+    pieces = F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda p: p["text"])
+    return F.trim(F.array_join(pieces, ""))
+
+
+def item_rows(pages: DataFrame, tag: str = "li", text: str = "html") -> DataFrame:
+    """Items of a page's lists as rows: tags and arrows removed, blank and total rows dropped.
+
+    An item's text is its own, not that of lists inside it.  ``pos`` counts all items of a page.
+    """
+    inside = placed(pages, ["ul", "ol"], [tag], text=text).where("cell >= 0")
+    items = inside.groupBy("page", "page_id", "cell").agg(_joined_text().alias("item"))
+    counted = items.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("cell")) - 1)
+    own = F.trim(F.regexp_replace("item", ARROWS, ""))
+    return (counted.select("page_id", "pos", own.alias("item"))
             .where((F.col("item") != "") & ~F.upper("item").isin("TOTAL", "TOTALS")))
 
 
+def page_tables(pages: DataFrame, text: str = "html") -> DataFrame:
+    """``page_id, table, pos, cells``: the rows of a page's tables, also of nested ones, with their cells' texts in order.
+
+    ``table`` and ``pos`` count from 0 over the whole page; rows without cells are no rows.
+    """
+    inside = placed(pages, ["table"], ["td", "th"], ["tr"], text).where("row >= 0 and cell >= 0")
+    cells = inside.groupBy("page", "page_id", "container", "row", "cell").agg(_joined_text().alias("text"))
+    rows = cells.groupBy("page", "page_id", "container", "row").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"]).alias("cells"))
+    number = lambda by: (F.dense_rank().over(Window.partitionBy("page").orderBy(by)) - 1)
+    return rows.select("page_id", "page", number("container").alias("table"), number("row").alias("pos"), "cells")
+
+
+def _usable(cells: str, n: Column | int) -> Column:
+    first = F.get(cells, F.lit(0))
+    return (F.size(cells) == n) & (first != "") & ~F.upper(first).isin("TOTAL", "TOTALS")
+
+
+def _named(first: Column) -> Column:
+    return F.trim(F.regexp_replace(first, ARROWS, ""))
+
+
 def table_rows(pages: DataFrame, columns: list[str], text: str = "html") -> DataFrame:
-    """Rows of an HTML table with the right number of cells, typed names cleaned."""
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        text, F.lit(r"(?s)<tr>(.*?)</tr>"), 1)).alias("pos", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?s)<t[dh]>(.*?)</t[dh]>"), 1),
-                        lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", "")))
-    rows = rows.select("page_id", "pos", cells.alias("c")).where(
-        (F.size("c") == len(columns)) & (F.get("c", F.lit(0)) != "") & (F.get("c", F.lit(0)) != columns[0])
-        & ~F.upper(F.get("c", F.lit(0))).isin("TOTAL", "TOTALS"))
-    first = F.trim(F.regexp_replace(F.col("c")[0], ARROWS, ""))
-    return rows.select("page_id", "pos", first.alias(columns[0]),
-                       *[F.col("c")[i].alias(n) for i, n in enumerate(columns) if i])
+    """Table rows with the right number of cells; blank, total and heading rows dropped, names cleaned."""
+    rows = page_tables(pages, text).where(_usable("cells", len(columns)) & (F.get("cells", F.lit(0)) != columns[0]))
+    return rows.select("page_id", "pos", _named(F.col("cells")[0]).alias(columns[0]),
+                       *[F.col("cells")[i].alias(n) for i, n in enumerate(columns) if i])
+
+
+def titled_rows(pages: DataFrame, first_title: str, text: str = "html") -> DataFrame:
+    """``page_id, table, pos, values``: rows of the tables whose first row begins with ``first_title``, by that row's titles.
+
+    Rows with another number of cells than titles are dropped, and blank and total rows.
+    Of equal titles the last one counts.
+    """
+    rows = page_tables(pages, text)
+    first = F.first("cells").over(Window.partitionBy("page", "table").orderBy("pos"))
+    titled = rows.withColumn("titles", first).withColumn("n", F.min("pos").over(Window.partitionBy("page", "table")))
+    kept = titled.where((F.get("titles", F.lit(0)) == first_title) & (F.col("pos") > F.col("n")) & _usable("cells", F.size("titles")))
+    values = F.concat(F.array(_named(F.col("cells")[0])), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))))
+    pairs = F.arrays_zip(F.col("titles").alias("k"), values.alias("v"))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(F.col("titles"), i + 2, F.size("titles")), p["k"]))
+    return kept.select("page_id", "table", "pos", F.map_from_entries(last).alias("values"))
+
+
+def table_records(pages: DataFrame, text: str = "html") -> DataFrame:
+    """Match records of pages where every match is a table of its own: a score line per row, attendance, venue and date anywhere.
+
+    Adds ``table``; tables without exactly two score lines are dropped.
+    """
+    lines = page_tables(pages, text).groupBy("page", "page_id", "table").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.array_join("cells", " ").alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    return match_records(lines.select(F.struct("page_id", "table").alias("page_id"), "text")).select(
+        "page_id.page_id", "page_id.table", *[c for c in RECORD_COLUMNS])
+
+
+RECORD_COLUMNS = ["attendance", "venue", "date", *[
+    f"{side}_{f}" for side in ("home", "away") for f in ("team", "q1", "q2", "q3", "q4", "final_score")]]

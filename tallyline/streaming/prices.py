@@ -1,24 +1,25 @@
 """Price snapshots as streams: the incremental forms of the batch operators.
 
-Results equal the batch operator over the same rows.  Windows, sessions and the
-dedupe are bounded by the watermark.  The price movement and the moving average
-keep one row per match for as long as the stream runs: expiry by processing time
-would keep a stream that is drained to its end from ending.  Sinks are keyed
-tables, never memory tables.
+Results equal the batch operator over the same rows.  All state is bounded by the
+watermark: windows, sessions and the dedupe by Spark's own eviction, the price
+movement and the moving average by event-time timers, which drop a match when the
+watermark passes its end.  Sinks are keyed tables, never memory tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyline.operators.joins import keep_first, keep_last
-from tallyline.operators.markets import price_movement
-from tallyline.sources import ingest
-
+from tallyline.operators.markets import movement_columns
+from tallyline.sources.tables import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,11 +38,6 @@ def deduplicated(stream: DataFrame, keys: list[str], delay: str = "2 hours", tim
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def movement(stream: DataFrame) -> DataFrame:
-    """First and latest price of each match (update mode); state is one row per match."""
-    return price_movement(stream, ["match_id"], "fetched_at", "event_id")
-
-
 def windowed(stream: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "2 hours") -> DataFrame:
     """Price statistics per match and tumbling or sliding window."""
     span = F.window("fetched_at", length, slide) if slide else F.window("fetched_at", length)
@@ -63,39 +59,163 @@ def _price_stats(grouped) -> DataFrame:
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), "match_id", "n", "avg_home", "best_home", "worst_home")
 
 
-EMA_SCHEMA = T.StructType([T.StructField("match_id", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("ema", T.DoubleType())])
+# -- state per match -----------------------------------------------------------
+
+#: A match of unknown end is over when it had no price for so long (milliseconds of event time).
+IDLE_MS = 30 * 24 * 3600 * 1000
+#: Prices that wait for the watermark are kept by spans of event time of this length.
+SPAN_MS = 24 * 3600 * 1000
+
+_END = "a_us long, a_tie long, a_home double, a_away double"
+MOVEMENT_STATE = f"{_END}, {_END.replace('a_', 'b_')}, n long, until_ms long"
+MOVEMENT_SCHEMA = f"match_id long, {_END}, {_END.replace('a_', 'b_')}, n long"
+EMA_SCHEMA = "match_id long, n long, ema double"
+
+
+def with_ends(stream: DataFrame, ends: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """Add ``ends_at`` from a table of match ends and the watermark; prices after a match's end are dropped."""
+    joined = stream.withWatermark("fetched_at", delay).join(ends, "match_id", "left")
+    return joined.where(F.col("ends_at").isNull() | (F.col("fetched_at") <= F.col("ends_at")))
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _ended(stream: DataFrame) -> DataFrame:
+    """A stream without match ends keeps a match until it has been silent for ``IDLE_MS``."""
+    if "ends_at" in stream.columns:
+        return stream
+    return stream.withWatermark("fetched_at", "2 hours").withColumn("ends_at", F.lit(None).cast("timestamp"))
+
+
+class _PerMatch(StatefulProcessor):
+    """A match's state with one time until which it is kept; timers that it has outgrown do nothing."""
+
+    def _until(self, rows: pd.DataFrame, us: np.ndarray) -> int:
+        ends = rows["ends_at"].dropna()
+        return int(_micros(ends)[0]) // 1000 + 1 if len(ends) else int(us.max()) // 1000 + IDLE_MS
+
+    def close(self) -> None:
+        pass
+
+
+class PriceMovement(_PerMatch):
+    """First and latest price of a match; a batch's rows are read as they come, a slice at a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("ends", MOVEMENT_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.state.get()) if self.state.exists() else None
+        first, last, n, until = (held[:4], held[4:8], held[8], held[9]) if held else (None, None, 0, 0)
+        for some in rows:
+            us, ties = _micros(some["fetched_at"]), some["event_id"].to_numpy()
+            order = np.lexsort((ties, us))
+            row = lambda i: (int(us[i]), int(ties[i]), float(some["home_odds"].iloc[i]), float(some["away_odds"].iloc[i]))  # noqa: B023, E731
+            low, high = row(order[0]), row(order[-1])
+            first = low if first is None or low[:2] < first[:2] else first
+            last = high if last is None or high[:2] > last[:2] else last
+            n, until = n + len(some), max(until, self._until(some, us))
+        if held is None or held[9] != until:
+            self.handle.registerTimer(until)
+        self.state.update((*first, *last, n, until))
+        yield pd.DataFrame([(key[0], *first, *last, n)], columns=[f.split()[0] for f in MOVEMENT_SCHEMA.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[9] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
+
+def movement(stream: DataFrame) -> DataFrame:
+    """First and latest price of each match (update mode), see ``with_ends``; a match's state goes when it is over."""
+    ends = _ended(stream).select("match_id", "fetched_at", "ends_at", "event_id", "home_odds", "away_odds").groupBy("match_id").transformWithStateInPandas(
+        statefulProcessor=PriceMovement(), outputStructType=T.StructType.fromDDL(MOVEMENT_SCHEMA), outputMode="Update", timeMode="EventTime")
+    side = lambda p: F.struct(F.col(f"{p}_home").alias("home_odds"), F.col(f"{p}_away").alias("away_odds"))
+    return movement_columns(ends.select("match_id", side("a").alias("a"), side("b").alias("b"), F.col("n").alias("n_snapshots"),
+                                        F.timestamp_micros("a_us").alias("first_seen"), F.timestamp_micros("b_us").alias("last_seen")), ["match_id"])
 
 
-class PriceEma(StatefulProcessor):
-    """Moving average of the home price per match; one number and a count are kept.
+class PriceEma(_PerMatch):
+    """Moving average of the home price per match in event-time order, whatever order rows arrive in.
 
-    Rows of a key are ordered inside a micro-batch, whose size the source limits.
+    Prices wait in spans of event time.  When the watermark has passed a span, no more
+    can come for it: its rows are ordered, folded into the average and dropped.  What a
+    batch gives out is the average over all prices so far, folded spans first.  At most
+    one span of a match is in memory at a time.
     """
 
     def __init__(self, alpha: float = 0.3):
         self.alpha = alpha
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "n long, ema double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        n, ema = self.state.get() if self.state.exists() else (0, 0.0)
-        batch = pd.concat(list(rows)).sort_values(["fetched_at", "event_id"])
-        for price in batch["home_odds"]:
-            ema = price if n == 0 else self.alpha * price + (1 - self.alpha) * ema
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "n long, ema double, until_ms long")
+        self.waiting = handle.getMapState("waiting", "span long, part long", "us array<long>, ties array<long>, prices array<double>")
+
+    def _spans(self) -> dict[int, list[int]]:
+        parts: dict[int, list[int]] = {}
+        for span, part in self.waiting.keys():
+            parts.setdefault(span, []).append(part)
+        return parts
+
+    def _fold(self, span: int, parts: list[int], n: int, ema: float) -> tuple[int, float]:
+        us, ties, prices = (np.concatenate(x) for x in zip(*(self.waiting.getValue((span, p)) for p in parts)))
+        for price in prices[np.lexsort((ties, us))]:
+            ema = float(price) if n == 0 else self.alpha * float(price) + (1 - self.alpha) * ema
             n += 1
-        self.state.update((n, float(ema)))
-        yield pd.DataFrame({"match_id": [key[0]], "n": [n], "ema": [float(ema)]})
-
-    def close(self) -> None:
-        pass
+        return n, ema
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, ema, until = self.folded.get() if self.folded.exists() else (0, 0.0, 0)
+        parts, before = self._spans(), until
+        for some in rows:
+            us = _micros(some["fetched_at"])
+            ties, prices, spans = some["event_id"].to_numpy(), some["home_odds"].to_numpy(float), us // (1000 * SPAN_MS)
+            until = max(until, self._until(some, us))
+            for span in np.unique(spans).tolist():
+                at = np.flatnonzero(spans == span)
+                part = max(parts.get(span, [-1])) + 1
+                self.waiting.updateValue((span, part), (us[at].tolist(), ties[at].tolist(), prices[at].tolist()))
+                if span not in parts:
+                    self.handle.registerTimer((span + 1) * SPAN_MS)
+                parts.setdefault(span, []).append(part)
+        if until != before:
+            self.handle.registerTimer(until)
+            self.folded.update((n, ema, until))
+        for span in sorted(parts):
+            n, ema = self._fold(span, parts[span], n, ema)
+        yield pd.DataFrame({"match_id": [key[0]], "n": [n], "ema": [ema]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.folded.exists():
+            return iter(())
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        n, ema, until = self.folded.get()
+        if until <= now:  # over: what a batch gave out last was the whole average
+            self.folded.clear()
+            self.waiting.clear()
+            return iter(())
+        parts = self._spans()
+        closed = [s for s in sorted(parts) if (s + 1) * SPAN_MS <= now]
+        for span in closed:
+            n, ema = self._fold(span, parts[span], n, ema)
+            for part in parts[span]:
+                self.waiting.removeKey((span, part))
+        if closed:
+            self.folded.update((n, ema, until))
+        return iter(())
 
 
 def moving_average(stream: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``)."""
-    return stream.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=PriceEma(alpha), outputStructType=EMA_SCHEMA, outputMode="Update", timeMode="None")
+    """Moving average of each match's home price (update mode), see ``with_ends``.
+
+    Like ``movement`` it needs the RocksDB state store, which the sinks below set.
+    """
+    return _ended(stream).select("match_id", "fetched_at", "ends_at", "event_id", "home_odds").groupBy("match_id").transformWithStateInPandas(
+        statefulProcessor=PriceEma(alpha), outputStructType=T.StructType.fromDDL(EMA_SCHEMA), outputMode="Update", timeMode="EventTime")
 
 
 # -- sinks -------------------------------------------------------------------
@@ -106,33 +226,36 @@ def run_append(df: DataFrame, path: str, checkpoint: str) -> None:
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
 
 
-def run_upsert(df: DataFrame, root: str, keys: list[str], checkpoint: str, mode: str = "update") -> DataFrame:
-    """Drain the stream into a keyed table, given back as the newest row of each key.
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which processors with timers need."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(store, before)
 
-    A batch writes only its changed rows, into a folder of its own, so a repeated
-    batch rewrites the same folder and the cost of a batch is its own size.
-    """
-    spark, schema = df.sparkSession, df.schema
 
+def _drain(df: DataFrame, table: KeyedTable, checkpoint: str, mode: str, take) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+        # the checkpoint names the writer, so a batch that is run again finds itself done
+        take(KeyedTable(batch.sparkSession, table.root, table.schema, table.keys, table.rows_per_bucket), batch, checkpoint, batch_id)
 
-    (df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
-    changes = ingest.scan_optional(spark, f"{root}/changes", T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-    return keep_last(changes, keys, ["batch"]).drop("batch")
+    with rocksdb(df.sparkSession):
+        query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return table.read()
 
 
-def run_ingest(df: DataFrame, root: str, key: str, order: list[str], checkpoint: str) -> DataFrame:
-    """Drain the stream into a table that takes each key once, the first copy."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{root}/rows"
+def run_upsert(df: DataFrame, root: str, keys: list[str], checkpoint: str, mode: str = "update", rows_per_bucket: int = 1 << 20) -> DataFrame:
+    """Drain the stream into a keyed table; rows of a batch replace those of their keys, in the buckets they fall into."""
+    table = KeyedTable(df.sparkSession, root, df.schema, keys, rows_per_bucket)
+    return _drain(df, table, checkpoint, mode, lambda t, batch, writer, batch_id: t.upsert(batch, (), writer, batch_id))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        known = ingest.scan_optional(batch.sparkSession, path, schema)
-        fresh = keep_first(batch, [key], order).join(known.select(key).distinct(), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
 
-    (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
-    return ingest.scan_optional(spark, path, schema)
+def run_ingest(df: DataFrame, root: str, key: str, order: list[str], checkpoint: str, rows_per_bucket: int = 1 << 20) -> DataFrame:
+    """Drain the stream into a table that takes each key once, the first copy; a batch reads the keys of its buckets only."""
+    table = KeyedTable(df.sparkSession, root, df.schema, [key], rows_per_bucket)
+    return _drain(df, table, checkpoint, "append", lambda t, batch, writer, batch_id: t.add_new(batch, order, writer, batch_id))

@@ -57,6 +57,80 @@ def test_movement_and_ingest_over_batches(spark, folder):
     assert again.count() == 90
 
 
+def batches(spark, path, *groups):
+    """One file per group of events ``(event id, hour, match, price)``, taken in order."""
+    start = datetime(2024, 1, 1)
+    for rows in groups:
+        events = [(i, start + timedelta(hours=hour), key, "q", price, "{}") for i, hour, key, price in rows]
+        spark.createDataFrame(events, EVENTS).coalesce(1).write.mode("append").parquet(path)
+
+
+def expiring(spark, path, ends):
+    table = spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(hours=h)) for k, h in ends.items()], "match_id bigint, ends_at timestamp")
+    return prices.with_ends(stream(spark, path), table)
+
+
+#: Prices come late within the watermark; match 1 ends at hour 5, match 2 at 60, match 3 has no known end.
+LATE = ([(1, 0, 1, 1.0), (2, 3, 1, 2.0), (4, 2, 2, 4.0), (3, 1, 2, 3.0)], [(5, 4, 1, 5.0), (6, 2.5, 1, 0.5), (7, 9, 1, 9.0), (8, 10, 2, 1.5)],
+        [(9, 30, 2, 2.5), (10, 29, 2, 0.7), (11, 31, 3, 1.1)], [(12, 59, 2, 3.3), (13, 62, 2, 8.0)], [(14, 100, 3, 1.9)], [(15, 101, 3, 2.9)])
+
+
+def before_the_end(ends):
+    """Prices of each match in event-time order, none after its end."""
+    out = {}
+    for i, hour, key, price in sorted((r for g in LATE for r in g), key=lambda r: (r[1], r[0])):
+        if hour <= ends.get(key, 10 ** 6):
+            out.setdefault(key, []).append((hour, i, 1.2 + price % 5))
+    return out
+
+
+def test_movement_and_average_with_late_rows_equal_the_batch_result(spark):
+    path, ends = new_path(spark, "late"), {1: 5, 2: 60}
+    batches(spark, f"{path}/events", *LATE)
+    want = before_the_end(ends)
+    out = prices.run_upsert(prices.moving_average(expiring(spark, f"{path}/events", ends)), f"{path}/a", ["match_id"], f"{path}/ca")
+    average = {k: pd.Series([p for _, _, p in v]).ewm(alpha=0.3, adjust=False).mean().iloc[-1] for k, v in want.items()}
+    assert {r["match_id"]: (r["n"], round(r["ema"], 9)) for r in out.collect()} == {k: (len(v), round(average[k], 9)) for k, v in want.items()}
+    out = prices.run_upsert(prices.movement(expiring(spark, f"{path}/events", ends)), f"{path}/m", ["match_id"], f"{path}/cm")
+    got = {r["match_id"]: (r["n_snapshots"], round(r["home_odds_open"], 9), round(r["home_odds_current"], 9)) for r in out.collect()}
+    assert got == {k: (len(v), round(v[0][2], 9), round(v[-1][2], 9)) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("operator", [prices.movement, prices.moving_average])
+def test_state_of_a_match_goes_when_it_is_over(spark, operator):
+    """Twenty matches end one after another; what is held falls although rows go on."""
+    path = new_path(spark, "expiry")
+    hours, kept = [0, 20, 60, 100, 140], []
+    batches(spark, f"{path}/events", *[[(100 * g + k, hour, k, 1.5) for k in range(20) if hour <= 10 + 6 * k] for g, hour in enumerate(hours)])
+    df = operator(expiring(spark, f"{path}/events", {k: 10 + 6 * k for k in range(20)}))
+    with prices.rocksdb(spark):
+        query = (df.writeStream.foreachBatch(lambda batch, i: kept.append(batch.count())).outputMode("update")
+                 .option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress if p["stateOperators"])
+    assert held[-1] < max(held) / 2 and removed > 0, (held, removed)
+    assert sum(kept) == sum(1 for h in hours for k in range(20) if h <= 10 + 6 * k)
+
+
+def test_a_batch_of_an_ingest_reads_its_buckets_and_replays_do_nothing(spark):
+    from tallyline.sources.tables import KeyedTable
+
+    path = new_path(spark, "ingest")
+    batches(spark, f"{path}/events", *[[(1000 * g + k, g, k, 1.0) for k in range(50)] for g in range(4)])
+    source = stream(spark, f"{path}/events").select("event_id", "match_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    kept = prices.run_ingest(source, f"{path}/t", "event_id", ["copy"], f"{path}/c", rows_per_bucket=16)
+    assert kept.count() == 200 and kept.where("copy = 2").count() == 0
+    table = KeyedTable(spark, f"{path}/t", kept.schema, ["event_id"], 16)
+    manifest = table.manifest()
+    assert manifest["writers"] == {f"{path}/c": 3} and manifest["buckets"] >= 8
+    again = spark.createDataFrame([(1, 1, 9)], kept.schema)
+    table.add_new(again, ["copy"], f"{path}/c", 3)  # the last batch again, after a crash that came before its mark
+    assert table.versions()[-1] == manifest["version"]
+    table.add_new(again, ["copy"], f"{path}/c", 4)
+    assert len(table.touched) <= KeyedTable.MOST_FOLDERS and table.read().count() == 200
+
+
 def test_sessions_over_batches_out_of_order(spark):
     """A later batch moves a session's start; each closed session is given once, as the batch twin has it."""
     path, start = new_path(spark, "sessions"), datetime(2024, 1, 1)
