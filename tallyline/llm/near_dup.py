@@ -13,10 +13,11 @@ from tallyline.llm.graph import components
 from tallyline.llm.text import few_at_a_time, hashed_words, mix, shingles, utf8
 from tallyline.staging import stage
 
-SLOTS, ROWS, BLOCK = 128, 4, 256
-#: Pairs of different components whose signatures agree on fewer slots than this share are not verified: with 128
-#: slots it is more than five standard deviations below the agreement of a pair at the threshold.
-LEAST_AGREEMENT = 0.55
+SLOTS, ROWS = 128, 4
+#: Members of a bucket that are compared all at once, and the shingles they have together.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: A shingle that so many members of a block share is counted by a matrix product, others pair by pair.
+COMMON = 32
 
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, sets: int, slots: int = SLOTS) -> np.ndarray:
@@ -70,13 +71,11 @@ def _sign(width: int, slots: int, rows: int):
             ends = np.cumsum(sizes)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (flat, mix(flat))]
             one, two = ((s[ends] - s[ends - sizes]).astype(np.int64) for s in sums)
-            low_bytes = signature.astype(np.uint8)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1]),
                                               pa.array(bands.reshape(-1).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two),
-                 pa.array([r.tobytes() for r in low_bytes], pa.binary()), listed],
-                ["doc_id", "n_shingles", "print_one", "print_two", "signature", "bands"])
+                [batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), listed],
+                ["doc_id", "n_shingles", "print_one", "print_two", "bands"])
     return run
 
 
@@ -92,26 +91,72 @@ def _sets(width: int):
     return run
 
 
-def _cross_pairs(slots: int):
-    """Pairs that lie in different components and agree on enough slots, from rows sorted by bucket and block pair.
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets of hashes.
 
-    One block pair is held at a time; it may reach over several batches.
+    Shingles of one set alone are left out first.  Common ones form a membership
+    matrix, in slices; of the others every pair of holders is counted.
     """
-    least = int(LEAST_AGREEMENT * slots)
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    holders = np.diff(np.append(starts, len(flat)))
+    common = np.flatnonzero(holders >= COMMON)
+    for low in range(0, len(common), 4096):
+        some = common[low: low + 4096]
+        column = np.repeat(np.arange(len(some)), holders[some])
+        at = np.repeat(starts[some] - np.concatenate([[0], np.cumsum(holders[some])[:-1]]), holders[some]) + np.arange(holders[some].sum())
+        has = np.zeros((n, len(some)), np.float32)
+        has[owner[at], column] = 1
+        out += has @ has.T
+    for k in range(1, COMMON - 1):  # the pairs k places apart in the lists of holders
+        some = starts[(holders > k) & (holders < COMMON)]
+        left = holders[(holders > k) & (holders < COMMON)] - k
+        at = np.repeat(some - np.concatenate([[0], np.cumsum(left)[:-1]]), left) + np.arange(left.sum()) if len(some) else np.zeros(0, int)
+        pairs = np.bincount(owner[at] * n + owner[at + k], minlength=n * n).reshape(n, n) if len(at) else 0
+        out += pairs + (pairs.T if len(at) else 0)
+    return out
 
+
+def joined_parts(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what lies in different parts: at most one per part beyond the first.
+
+    ``parts`` says which members are connected already.  Every pair is verified on
+    its full sets; what is returned connects the same members as all links found.
+    """
+    sizes = np.array([len(s) for s in sets], np.float32)
+    shared = shared_counts(sets)
+    linked = denominator * shared >= numerator * (sizes[:, None] + sizes[None, :] - shared)
+    linked &= parts[:, None] != parts[None, :]
+    top = {int(p): int(p) for p in np.unique(parts)}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    a, b = [], []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        for p, j in zip(*np.unique(parts[linked[i]], return_index=True)):  # one member of each other part
+            one, two = root(int(parts[i])), root(int(p))
+            if one != two:
+                top[max(one, two)] = min(one, two)
+                a.append(ids[i])
+                b.append(ids[np.flatnonzero(linked[i])[j]])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _joined(numerator: int, denominator: int):
+    """Verified links between parts, from rows sorted by bucket and block pair; one block pair is held at a time."""
     def judged(rows: pa.Table) -> pa.RecordBatch:
-        ids, part, block = (rows.column(c).to_numpy() for c in ("id", "part", "block"))
-        print_ = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, slots)
-        two, a, b = (block != block[0]).any(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(ids)):
-            other = (ids > ids[k]) & (part != part[k])
-            if two:
-                other &= block != block[k]
-            rest = np.flatnonzero(other)
-            rest = rest[(print_[rest] == print_[k]).sum(axis=1) >= least]
-            a.append(np.full(len(rest), ids[k]))
-            b.append(ids[rest])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        sets = rows.column("members").combine_chunks()
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        found = joined_parts(rows.column("id").to_numpy(), rows.column("part").to_numpy(),
+                             [flat[low:high] for low, high in zip(at[:-1], at[1:])], numerator, denominator)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -137,10 +182,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        only the smallest id of a class goes on.
     2. A bucket is a band of ``rows`` signature slots. Every member is verified
        against the bucket's smallest id, on full sets. This is linear in the bucket.
-    3. A bucket whose members then lie in several components verifies them against a
-       second leader, drawn at random. Buckets still mixed are compared further, in
-       blocks of bounded size: pairs of different components whose signatures agree
-       on enough slots are verified as well. Pairs inside a component change nothing.
+    3. A bucket whose members then lie in several components is compared further, in
+       blocks of bounded size: a task counts the intersections of all pairs of a
+       block pair on full sets and gives out at most one link per component, never a
+       row per pair. A component that fills blocks of its own is not compared with
+       itself.
     4. Components of all verified links.
 
     A pair at the threshold misses all ``slots / rows`` bands with probability
@@ -151,8 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numerator, denominator = at_least
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = stage(plain.mapInArrow(_sign(width, slots, rows),
-                                    "doc_id long, n_shingles long, print_one long, print_two long, signature binary, "
-                                    "bands array<long>"), "signed")
+                                    "doc_id long, n_shingles long, print_one long, print_two long, bands array<long>"), "signed")
     key = ["print_one", "print_two", "n_shingles"]
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage(filled.groupBy(*key).agg(F.min("doc_id").alias("first_id")), "classes")
@@ -191,26 +236,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                              .where("low < high").select("bucket"), "mixed")
 
     placed, mixed = still_mixed()
-    if not mixed.isEmpty():
-        # once more with a leader drawn anew in every bucket, so a member meets as many leaders as it has buckets
-        crowd = placed.join(mixed, "bucket", "left_semi")
-        drawn = stage(crowd.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("mark"), "id", "part", "n")).alias("lead")), "leads")
-        again = (crowd.join(drawn, "bucket").where("part != lead.part").where(similar_sizes("n", "lead.n"))
-                 .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct())
-        links = links.union(verified(stage(again, "star"), "star-links"))
-        placed, mixed = still_mixed()
-    signs = filled.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"])
-    blocked = (placed.join(mixed, "bucket", "left_semi").join(signs, "id")
-               .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-               .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    crowd = placed.join(mixed, "bucket", "left_semi")
+    blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_SHINGLES)).cast("int")
+    own = stage(crowd.groupBy("bucket", "part").agg(F.count("*").alias("members_of"), F.sum("n").alias("shingles_of"))
+                .withColumn("alone", blocks("members_of", "shingles_of") > 1), "crowd-parts")
+    rest = own.where("not alone").groupBy("bucket").agg(F.sum("members_of").alias("members_of"), F.sum("shingles_of").alias("shingles_of"))
+    # blocks of a bucket: some for each component that fills them, the others shared
+    listed = own.where("alone").select("bucket", "part", blocks("members_of", "shingles_of").alias("n_blocks")).unionByName(
+        rest.select("bucket", F.lit(None).cast("long").alias("part"), blocks("members_of", "shingles_of").alias("n_blocks")))
+    listed = listed.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "n_blocks"))).alias("groups"))
+    numbered = stage(listed.withColumn("firsts", F.transform("groups", lambda g, i: F.aggregate(
+        F.slice("groups", 1, i), F.lit(0), lambda s, x: s + x["n_blocks"]))), "blocks")
+    group = F.array_position(F.transform("groups", lambda g: g["part"].eqNullSafe(F.when(F.col("alone"), F.col("part")))), F.lit(True)).cast("int")
+    homed = (crowd.join(own.select("bucket", "part", "alone"), ["bucket", "part"]).join(numbered, "bucket").withColumn("group", group)
+             .withColumn("block", F.element_at("firsts", F.col("group")) + F.pmod(F.xxhash64("id"), F.element_at("groups", F.col("group"))["n_blocks"]).cast("int")))
+    partners = F.flatten(F.transform(F.arrays_zip("groups", "firsts"), lambda g, i: F.when(
+        F.col("alone") & (i + 1 == F.col("group")), F.array().cast("array<int>")).otherwise(
+            F.sequence(g["firsts"], g["firsts"] + g["groups"]["n_blocks"] - 1))))
     key_pair = ["bucket", "i", "j"]
-    pairs = (blocked.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "part", "block", "signature")
-             .repartition(*key_pair).sortWithinPartitions(*key_pair)
-             .mapInArrow(_cross_pairs(slots), "a long, b long").distinct())
-    pairs = stage(pairs, "cross-pairs")
-    if not pairs.isEmpty():
-        links = links.union(verified(pairs, "cross-links"))
+    paired = homed.withColumn("other", F.explode(partners)).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("id").alias("doc_id"), "part")
+    joined = (paired.join(sets, "doc_id").withColumnRenamed("doc_id", "id").repartition(*key_pair).sortWithinPartitions(*key_pair)
+              .mapInArrow(_joined(numerator, denominator), "a long, b long"))
+    links = links.union(stage(joined.distinct(), "joined"))
     parts = components(links).withColumnRenamed("id", "first_id")
     return (signed.select("doc_id", *key).join(classes, key, "left").join(parts, "first_id", "left")
             .select("doc_id", "n_shingles",
