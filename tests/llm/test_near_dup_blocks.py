@@ -61,8 +61,8 @@ def test_pairs_of_a_group_just_under_the_threshold_never_become_rows(spark, stag
 def test_components_of_a_mixed_group_against_all_pairs(spark, monkeypatch, block):
     """Copies around the threshold, one component that fills blocks, stragglers that link late, negative ids."""
     monkeypatch.setattr(near_dup, "BLOCK", block)
-    rows = near_copies(60, 4, seed=1) + [(100 + i, t) for i, t in near_copies(60, 2, seed=2)] + [(-1 - i, t) for i, t in near_copies(25, 3, seed=3)]
-    rows += [(300 + i, t + " tail of its own") for i, t in near_copies(30, 3, seed=4)]
+    rows = near_copies(60, 6, seed=1) + [(100 + i, t) for i, t in near_copies(60, 2, seed=2)] + [(-1 - i, t) for i, t in near_copies(25, 5, seed=3)]
+    rows += [(300 + i, t + " tail of its own") for i, t in near_copies(30, 5, seed=4)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(columns(spark, rows)).collect()}
     assert got == plain.near_duplicates(rows)
     assert len({c for _, c in got.values()}) > 1
