@@ -1,8 +1,8 @@
-"""Language identification by cross-parsing with suffix automata."""
+"""Language identification by cross-parsing with suffix automata over the UTF-8 bytes of letters."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,8 @@ from pyspark.sql import Window as W
 
 from tallyline.staging import stage
 
-#: Training bound: so many rows of each language at most, and so many symbols of their texts together.
+#: Training bound: so many rows of each language at most, and so many bytes of their letters together, shared evenly.
 SAMPLE_ROWS, SAMPLE_SYMBOLS = 64, 24_000
-#: Letters with a symbol of their own; the rest share one.
-LETTERS = 90
 #: Texts are parsed in blocks of so many symbols, all blocks in step.
 BLOCK = 256
 UNKNOWN = "und"
@@ -51,14 +49,24 @@ def squeeze(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return points[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Cross-parsing table of one training text: ``[state, symbol] -> next state + 2**28 * phrases ended``.
-
-    The states are those of the text's suffix automaton, so following transitions
-    from the root finds the longest match of what is parsed. Without a transition the
-    phrase ends and parsing goes on from the root with the same symbol; a symbol that
-    the text lacks is a phrase of its own. Symbol ``width - 1`` is padding.
-    """
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the lower-case letters of all texts, a zero byte for each run of other characters, with offsets."""
+    points, offsets = squeeze(*code_points(texts))
+    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(width)])
+    out = np.empty(at[-1], np.uint8)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)
+    for n in range(1, 5):
+        which = np.flatnonzero(width == n)
+        some, first = points[which], at[:-1][which]
+        out[first] = lead[n] | (some >> np.uint32(6 * (n - 1)))
+        for k in range(1, n):
+            out[first + k] = 0x80 | ((some >> np.uint32(6 * (n - 1 - k))) & np.uint32(0x3F))
+    return out, at[offsets]
+
+
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of every state; 0 is the root."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols.tolist():
@@ -84,85 +92,132 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    root = np.zeros(width, np.int32)
-    known = np.zeros(width, bool)
-    for s, to in step[0].items():
-        root[s], known[s] = to, True
-    one = np.int32(1 << 28)
-    table = np.tile(np.where(known, root * width + one, 2 * one).astype(np.int32), (len(step), 1))
-    table[0] = np.where(known, root * width, one)
-    for state, out in enumerate(step):
-        for s, to in out.items():
-            table[state, s] = to * width
-    table[:, width - 1] = np.arange(len(step), dtype=np.int32) * width
-    return table.reshape(-1)
-
-
-def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], width: int) -> np.ndarray:
-    """Phrases of every text under every table: ``[text, table]``."""
+    return step
+
+
+class Automaton:
+    """Cross-parsing table of one training text.
+
+    The states are those of the text's suffix automaton, so following transitions
+    from the root finds the longest match of what is parsed.  Without a transition the
+    phrase ends and parsing goes on from the root with the same symbol; a symbol that
+    the text lacks is a phrase of its own.  Transitions lie in one array: that of
+    ``state`` by ``symbol`` at ``base[state] + symbol`` if ``owner`` there is the state.
+    """
+
+    def __init__(self, sample: np.ndarray):
+        step = suffix_automaton(sample)
+        total = sum(map(len, step))
+        base, owner, to = [0] * len(step), [-1] * (2 * total + 1024), [0] * (2 * total + 1024)
+        free = probe = 256  # lone transitions go to the first free place, others are sought from a place that moves on
+        for state in sorted(range(len(step)), key=lambda k: -len(step[k])):
+            out = step[state]
+            if not out:
+                continue
+            least = min(out)
+            if len(out) == 1:
+                while owner[free] >= 0:
+                    free += 1
+            at = begin = free if len(out) == 1 else probe
+            while True:
+                if at + 512 > len(owner):
+                    owner += [-1] * len(owner)
+                    to += [0] * len(to)
+                if owner[at] < 0 and all(owner[at - least + s] < 0 for s in out):
+                    break
+                at += 1
+            probe = at if at - begin > 16 else probe
+            base[state] = at - least
+            for s, nxt in out.items():
+                owner[at - least + s], to[at - least + s] = state, nxt
+        self.base, self.owner, self.to = (np.array(x, np.int32) for x in (base, owner, to))
+        self.first, self.odd = np.zeros(256, np.int32), np.ones(256, np.int32)
+        for s, nxt in step[0].items():
+            self.first[s], self.odd[s] = nxt, 0
+        self.size = len(sample)
+
+    def parse(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Phrases of texts given column by column, the longest texts first."""
+        state = np.zeros(len(columns[0]) if columns else 0, np.int32)
+        ended = np.zeros(len(state), np.int32)
+        for column in columns:
+            n = len(column)
+            now = state[:n].copy()
+            at = self.base[now] + column
+            held = self.owner[at] == now
+            fails = np.flatnonzero(~held)
+            state[:n] = self.to[at]
+            if len(fails):
+                symbol = column[fails]
+                # what was open ends, unless nothing was; an odd symbol is one more phrase
+                ended[fails] += (now[fails] != 0) + self.odd[symbol]
+                state[fails] = self.first[symbol]
+        return ended + (state != 0)
+
+
+def phrase_counts(symbols: np.ndarray, offsets: np.ndarray, automata: list[Automaton]) -> np.ndarray:
+    """Phrases of every text under every automaton: ``[text, automaton]``; a phrase ends at a block's end."""
     sizes = np.diff(offsets)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(sizes)), blocks)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     start = offsets[:-1][owner] + within * BLOCK
-    end = np.minimum(start + BLOCK, offsets[1:][owner])
-    padded = np.concatenate([symbols, np.full(BLOCK, width - 1, symbols.dtype)])
-    at = np.arange(BLOCK)[:, None] + start[None, :]
-    grid = padded[np.minimum(at, len(padded) - 1)]
-    grid[at >= end[None, :]] = width - 1
-    grid = grid.astype(np.int32)
-    out = np.zeros((len(sizes), len(tables)))
-    mask = np.int32((1 << 28) - 1)
-    for k, table in enumerate(tables):
-        state, ended = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
-        for row in grid:
-            got = table[state + row]
-            state = got & mask
-            ended += got >> 28
-        np.add.at(out[:, k], owner, ended)
+    length = np.minimum(BLOCK, offsets[1:][owner] - start)
+    order = np.argsort(-length, kind="stable")
+    start, length, owner = start[order], length[order], owner[order]
+    columns = []
+    for k in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -k, side="left"))  # blocks longer than k
+        columns.append(symbols[start[:n] + k])
+    out = np.zeros((len(sizes), len(automata)))
+    for k, machine in enumerate(automata):
+        np.add.at(out[:, k], owner, machine.parse(columns))
     return out
 
 
 class CrossParser:
-    """Languages with their training symbols; tables are built once per worker."""
+    """Languages with their training bytes; automata are built once per worker and are small."""
 
     def __init__(self, samples: dict[str, np.ndarray]):
-        counts: Counter = Counter()
-        for points in samples.values():
-            letters, n = np.unique(points[points > 0], return_counts=True)
-            counts.update(dict(zip(letters.tolist(), n.tolist())))
-        self.letters = np.array(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]), np.uint32)
         self.names = sorted(samples)
-        self.width = len(self.letters) + 3  # boundary, letters, other letters, padding
-        self.samples = [self.symbols(samples[name]) for name in self.names]
-
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        if len(self.letters) == 0:
-            return np.where(points == 0, 0, 1).astype(np.uint8)
-        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        return np.where(points == 0, 0, np.where(self.letters[at] == points, at + 1, len(self.letters) + 1)).astype(np.uint8)
+        self.samples = [samples[name] for name in self.names]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def automata(self) -> list[Automaton]:
         key = (tuple(self.names), tuple(s.tobytes() for s in self.samples))
         if _built.get("key") != key:
-            _built.update(key=key, tables=[automaton(s, self.width) for s in self.samples])
-        points, offsets = squeeze(*code_points([t or "" for t in texts]))
-        lettered = np.diff(np.concatenate([[0], np.cumsum(points > 0)])[offsets]) > 0
+            _built.update(key=key, automata=[Automaton(s) for s in self.samples])
+        return _built["automata"]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        symbols, offsets = letters([t or "" for t in texts])
+        lettered = np.diff(np.concatenate([[0], np.cumsum(symbols > 0)])[offsets]) > 0
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        phrases = phrase_counts(self.symbols(points), offsets, _built["tables"], self.width)
+        phrases = phrase_counts(symbols, offsets, self.automata())
         cost = phrases * np.log2([len(s) + 1.0 for s in self.samples]) / np.maximum(1, np.diff(offsets))[:, None]
         best = cost.argmin(axis=1)
         low = cost[np.arange(len(cost)), best]
         cost[np.arange(len(cost)), best] = np.inf
         second = cost.min(axis=1)
-        sure = np.where(np.isinf(second), 1.0, 1.0 - low / np.where(np.isinf(second), 1.0, low + second))
+        sure = np.where(np.isinf(second), 1.0, 1.0 - low / np.where(np.isinf(second), 1.0, np.maximum(low + second, 1e-300)))
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], np.where(lettered, sure, 0.0)
 
 
 _built: dict = {}
 
 
+def even_shares(texts: list[np.ndarray], most: int) -> np.ndarray:
+    """The starts of all texts, of one length at most, that together have ``most`` symbols; a zero ends each."""
+    sizes = np.sort([len(t) + 1 for t in texts])
+    left, share = most, 0
+    for k, size in enumerate(sizes):
+        share = left // (len(sizes) - k)
+        if size > share:
+            break
+        left, share = left - size, most
+    return np.concatenate([np.append(t[:max(0, share - 1)], np.uint8(0)) for t in texts]) if texts else np.zeros(0, np.uint8)
+
+
 def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id's text falls in the fold; a null id does not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -181,15 +236,14 @@ def fit(labelled: DataFrame) -> CrossParser:
         texts.setdefault(r["lang"], []).append((r["mark"], r["text"]))
     samples = {}
     for lang, found in texts.items():
-        points, offsets = code_points([" ".join(t for _, t in sorted(found))])
-        samples[lang] = squeeze(points, offsets)[0][:SAMPLE_SYMBOLS]
+        symbols, offsets = letters([t for _, t in sorted(found)])
+        samples[lang] = even_shares([symbols[a:b] for a, b in zip(offsets[:-1], offsets[1:])], SAMPLE_SYMBOLS)
     return CrossParser(samples)
 
 
 def with_language(docs: DataFrame, parser: CrossParser, text_col: str = "text", name: str = "found") -> DataFrame:
     """Adds the struct ``name`` of ``lang_pred`` and ``score``; all rows and columns stay."""
-    @F.pandas_udf("lang_pred string, score double")
-    def found(texts: pd.Series) -> pd.DataFrame:
+    def of_batch(texts: pd.Series) -> pd.DataFrame:
         parts, low = [], 0
         ends = texts.str.len().fillna(0).cumsum().to_numpy()
         while low < len(texts):
@@ -199,6 +253,14 @@ def with_language(docs: DataFrame, parser: CrossParser, text_col: str = "text",
             low = high
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": []})
 
+    @F.pandas_udf("lang_pred string, score double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                yield of_batch(texts)
+        finally:  # workers live on; the next partition builds them again
+            _built.clear()
+
     return docs.withColumn(name, found(F.col(f"`{text_col}`").cast("string")))
 
 
@@ -207,12 +269,15 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
     """``doc_id, held_out, lang_pred, score``: one row per input row.
 
     Trained on rows outside the held-out fold that have a language and a letter, at
-    most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols per language. Each text
-    is parsed greedily into phrases that occur in a language's training text; the
-    language with the fewest phrases, each costing log2 of the training length, per
-    symbol wins, ties to the smaller name. Score is 1 - best / (best + second).
+    most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` bytes per language. Symbols are the
+    UTF-8 bytes of letters, so every script has its own. Each text is parsed greedily
+    into phrases that occur in a language's training text; the language with the
+    fewest phrases, each costing log2 of the training length, per symbol wins, ties
+    to the smaller name. Score is 1 - best / (best + second).
     Null texts and texts without a letter are ``und`` with score 0, as are all texts
-    when nothing is labelled. Whole texts are parsed, in blocks of ``BLOCK`` symbols.
+    when nothing is labelled; an empty table gives no rows. Whole texts are parsed, in
+    blocks of ``BLOCK`` symbols. Repeated rows have one row each, a null id is a row
+    like others outside the held-out fold, other columns are not read.
     """
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                         F.col(f"`{lang_col}`").cast("string").alias("lang"))

@@ -192,7 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A pair at the threshold misses all ``slots / rows`` bands with probability
     (1 - 0.75**4)**32, about 5e-6.
     Null or blank texts have an empty set and stay alone. A null id stays alone, has
-    no component and is kept. Repeated rows count as copies and share one id.
+    no component and is kept. Repeated rows count as copies and share one id; of an id
+    with several texts the least one is verified. An empty table gives no rows, and
+    other columns, clashing names included, are not read.
     """
     numerator, denominator = at_least
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -216,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # every document in a bucket with others, once; its text is the only one that moves
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stage(plain.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stage(plain.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
                  .mapInArrow(_sets(width), "doc_id long, members array<long>"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:

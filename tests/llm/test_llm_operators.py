@@ -111,20 +111,51 @@ def test_language_of_messy_rows(messy):
 def test_cross_parsing_counts_phrases():
     random.seed(2)
     train, text = ("".join(random.choice("abc ") for _ in range(400)) for _ in range(2))
-    parser = language_id.CrossParser({"x": language_id.code_points([train])[0], "y": language_id.code_points(["ab" * 50])[0]})
-    points, offsets = language_id.squeeze(*language_id.code_points([text + "dd"]))
-    symbols = parser.symbols(points)
-    for k in range(2):
-        sample, want = parser.samples[k].tobytes(), 0
-        for b in range(0, len(symbols), language_id.BLOCK):
-            block, i = symbols[b: b + language_id.BLOCK].tobytes(), 0
-            while i < len(block):
-                j = i + 1
-                while j <= len(block) and block[i:j] in sample:
-                    j += 1
-                want, i = want + 1, max(i + 1, j - 1)
-        table = language_id.automaton(parser.samples[k], parser.width)
-        assert abs(language_id.phrase_counts(symbols, offsets, [table], parser.width)[0, 0] - want) <= 1 + len(symbols) // language_id.BLOCK
+    samples = [language_id.letters([t])[0] for t in (train, "ab" * 50)]
+    symbols, offsets = language_id.letters([text + "ddé", "", "b"])
+    got = language_id.phrase_counts(symbols, offsets, [language_id.Automaton(s) for s in samples])
+    for k, sample in enumerate(samples):
+        for t, (low, high) in enumerate(zip(offsets[:-1], offsets[1:])):
+            want = 0
+            for b in range(low, high, language_id.BLOCK):
+                block, i = symbols[b: min(high, b + language_id.BLOCK)].tobytes(), 0
+                while i < len(block):
+                    j = i + 1
+                    while j <= len(block) and block[i:j] in sample.tobytes():
+                        j += 1
+                    want, i = want + 1, max(i + 1, j - 1)
+            assert got[t, k] == want
+
+
+def test_letters_are_their_utf8_bytes():
+    texts = ["Ab 12c", "", "ÄÖß.", "漢字かな", "🎈한글 ЖΩ", "  "]
+    symbols, offsets = language_id.letters(texts)
+    assert [symbols[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])] == [
+        b"ab\0c", b"", "äöß".encode() + b"\0", "漢字かな".encode(), b"\0" + "한글".encode() + b"\0" + "жω".encode(), b"\0"]
+
+
+def test_languages_of_eight_scripts(spark):
+    """Each language is random words over an alphabet of its own; Chinese, Japanese and Korean letters are many."""
+    rnd = random.Random(7)
+    blocks = {"la": (0x61, 26), "el": (0x3B1, 25), "ru": (0x430, 32), "ar": (0x627, 20), "he": (0x5D0, 27), "hi": (0x915, 37), "th": (0xE01, 46),
+              "zh": (0x4E00, 2000), "ja": (0x3042, 80), "ko": (0xAC00, 2000), "zt": (0x6000, 2000)}
+    rows = []
+    for k, (lang, (low, n)) in enumerate(blocks.items()):
+        words = ["".join(chr(low + rnd.randrange(n)) for _ in range(rnd.randrange(1, 6))) for _ in range(300)]
+        words = [w for w in words if w.isalpha()]
+        rows += [(1000 * k + i, " ".join(rnd.choices(words, k=40)), lang) for i in range(60)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: name for i, _, name in rows}
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 100 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_training_rows_share_evenly():
+    texts = [np.full(n, k + 1, np.uint8) for k, n in enumerate((10, 3, 50_000, 700, 900))]
+    got = language_id.even_shares(texts, 1000)
+    assert 990 <= len(got) <= 1000 and [int((got == k + 1).sum()) for k in (0, 1)] == [10, 3]
+    assert len({int((got == k + 1).sum()) for k in (2, 3, 4)}) == 1
+    assert len(language_id.even_shares(texts[:2], 1000)) == 15 and len(language_id.even_shares([], 9)) == 0
 
 
 def test_mix_keeps_targets_and_reruns_agree(spark, prose):
