@@ -17,23 +17,30 @@ from tallyline.staging import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter."""
+    """Drops documents of no language (null texts and texts without a letter) and names that of the others where it is null."""
     plain = docs.select("doc_id", "text", "lang")
     parser = language_id.fit(plain.where(~language_id.held_out("doc_id", 4, 2)))
-    return (language_id.with_language(docs, parser, name="__found").where(F.col("__found.lang_pred") != language_id.UNKNOWN)
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = language_id.with_language(docs, parser, name="__found").where(F.col("__found.lang_pred") != language_id.UNKNOWN)
+    return found.select(*[F.coalesce("lang", "__found.lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group, once; documents without an id are in no group."""
+    """Keeps the document of smallest id of each group, once; documents without an id are in no group.
+
+    Of an id with several rows the least row (text first) stays.
+    """
     gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = (docs.where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").groupBy("doc_id")
+             .agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in rest])).alias("__row")))
+    columns = [F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`") for c in docs.columns]
+    return named.select(*columns).union(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; ``n_chars`` follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Replaces personal data by its kind; ``n_chars`` follows the text.  A null text stays null."""
+    redacted = pii.redact(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
