@@ -261,6 +261,8 @@ def with_language(docs: DataFrame, parser: CrossParser, text_col: str = "text",
         finally:  # workers live on; the next partition builds them again
             _built.clear()
 
+    # a filter on the outcome must not evaluate it a second time
+    found = found.asNondeterministic()
     return docs.withColumn(name, found(F.col(f"`{text_col}`").cast("string")))
 
 
