@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyline.llm.text import give_back
 from tallyline.staging import stage
 
 #: Training bound: so many rows of each language at most, and so many bytes of their letters together, shared evenly.
@@ -260,6 +261,7 @@ def with_language(docs: DataFrame, parser: CrossParser, text_col: str = "text",
                 yield of_batch(texts)
         finally:  # workers live on; the next partition builds them again
             _built.clear()
+            give_back()
 
     # a filter on the outcome must not evaluate it a second time
     found = found.asNondeterministic()

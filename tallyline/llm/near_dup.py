@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.graph import components
-from tallyline.llm.text import few_at_a_time, hashed_words, mix, shingles, utf8
+from tallyline.llm.text import few_at_a_time, give_back, hashed_words, mix, shingles, utf8
 from tallyline.staging import stage
 
 SLOTS, ROWS = 128, 4
@@ -76,6 +76,7 @@ def _sign(width: int, slots: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(one), pa.array(two), listed],
                 ["doc_id", "n_shingles", "print_one", "print_two", "bands"])
+        give_back()
     return run
 
 
@@ -88,6 +89,7 @@ def _sets(width: int):
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))],
                                              ["doc_id", "members"])
+        give_back()
     return run
 
 
@@ -170,6 +172,7 @@ def _joined(numerator: int, denominator: int):
             kept = rows.slice(cuts[-1])
         if kept is not None and kept.num_rows > 1:
             yield judged(kept)
+        give_back()
     return run
 
 

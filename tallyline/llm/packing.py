@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyline.llm.text import few_at_a_time
+from tallyline.llm.text import few_at_a_time, give_back
 from tallyline.llm.token_counts import byte_letters
 from tallyline.staging import stage
 
-#: Distinct words whose ids one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Distinct words whose ids one Python worker remembers (about 80 MB); beyond it, and after a partition, the memory starts anew.
+REMEMBERED = 100_000
 #: Pieces of one length that are numbered together in one window group.
 GROUP = 1 << 16
 
@@ -102,17 +102,21 @@ def _pieces(path: str, room: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = PieceEncoder(path)
-        for batch in few_at_a_time(batches):
-            rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), _encoders[path].ids(batch.column("text").to_pylist())):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, room):
-                    part = ids[4 * start: 4 * (start + room)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), total))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
-                                             ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in few_at_a_time(batches):
+                rows: list[tuple] = []
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), _encoders[path].ids(batch.column("text").to_pylist())):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, total, room):
+                        part = ids[4 * start: 4 * (start + room)]
+                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), total))
+                columns = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            _encoders[path].known.clear()
+            give_back()
     return run
 
 

@@ -8,6 +8,8 @@ longest text beyond its hashes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +127,15 @@ def few_at_a_time(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
         pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a partition; the worker lives on beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of ``width`` words in a row; of a shorter text, the whole sequence as one."""
     n = len(words)
