@@ -1,7 +1,7 @@
-"""Training and scoring protocols on Spark MLlib.
+"""Training and scoring protocols.
 
-Every loop here runs over a short list (years, seeds, configurations) and
-submits one distributed job per step; rows never come to the driver.
+Boosted trees of all folds, seeds and settings are fitted side by side (``boosting``),
+other models by MLlib over a short list of folds; rows never come to the driver.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as s
+from tallyline.learning import boosting, isotonic
 from tallyline.operators import metrics
 from tallyline.operators.joins import keep_last
 from tallyline.staging import stage
@@ -91,26 +92,32 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str
 
 # -- walk forward ------------------------------------------------------------
 
-def walk_forward(df: DataFrame, features: Sequence[str], years: Sequence[int], fit: Fit = classifier,
+#: Boosted fits by the function that names them; early stopping decides the number of trees.
+BOOSTED = {classifier: boosting.Spec(), margin_model: boosting.Spec(loss="absolute")}
+
+
+def walk_forward(df: DataFrame, features: Sequence[str], years: Sequence[int], fit: Fit | boosting.Spec = classifier,
                  out: str = "prob", seeds: Sequence[int] = (42,), need: str = LABEL,
                  min_train: int = 1, min_test: int = 1) -> DataFrame:
     """Out-of-fold predictions: year Y is predicted by models of the years before it.
 
-    One row per test row and seed.  Folds with too little data are skipped.  A
-    classifier with two earlier years or more stops early on the last of them.  Fits
-    are independent and run a few at a time.
+    One row per test row and seed.  Folds with too little data are skipped.
+    ``classifier``, ``margin_model`` and settings of ``boosting`` are fitted all at once
+    and stop early on the last year before the fold, if there are earlier ones; other
+    fits run a few at a time.
     """
     rows = df.where(F.col(need).isNotNull())
     sizes = {r["year"]: r["n"] for r in rows.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
     folds = [year for year in years if sum(n for y, n in sizes.items() if y < year) >= min_train and sizes.get(year, 0) >= min_test]
 
+    spec = fit if isinstance(fit, boosting.Spec) else BOOSTED.get(fit)
+    if spec is not None:
+        return stage(boosting.walk(rows, features, folds, need, spec, seeds, out).drop("trees"), "oof")
+
     def run(task: tuple[int, int]) -> DataFrame:
         year, seed = task
         train, test = rows.where(F.col("year") < year), rows.where(F.col("year") == year)
-        stop = {}
-        if fit is classifier and year - 1 in sizes and any(y < year - 1 for y in sizes):
-            stop = {"validate_on": F.col("year") == year - 1}
-        return score(fit(train, features, seed, **stop), test, features, out).withColumn("seed", F.lit(seed))
+        return score(fit(train, features, seed), test, features, out).withColumn("seed", F.lit(seed))
 
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         parts = list(pool.map(run, [(year, seed) for year in folds for seed in seeds]))
@@ -134,17 +141,14 @@ def fold_metrics(oof: DataFrame, prob: str = "prob", label: str = LABEL) -> Data
 
 # -- calibration -------------------------------------------------------------
 
-def fit_isotonic(oof: DataFrame, prob: str, label: str = LABEL):
+def fit_isotonic(oof: DataFrame, prob: str, label: str = LABEL) -> isotonic.Isotonic:
     """Isotonic fit of outcome on probability; equal scores are averaged first, with weights."""
-    points = oof.where(F.col(prob).isNotNull()).groupBy(F.col(prob).alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(labelCol="y", featuresCol="x", weightCol="w", predictionCol="__cal").fit(points)
+    return isotonic.fit(oof, prob, label)
 
 
-def calibrate(model, df: DataFrame, prob: str, out: str) -> DataFrame:
+def calibrate(model: isotonic.Isotonic, df: DataFrame, prob: str, out: str) -> DataFrame:
     """Calibrated and clipped probability; outside the fitted range the end values hold."""
-    scored = model.transform(df.withColumn("x", F.col(prob)))
-    return scored.select(*df.columns, s.clip_probability(F.col("__cal")).alias(out))
+    return df.select(*df.columns, s.clip_probability(model(F.col(prob).cast("double"))).alias(out))
 
 
 def calibrate_forward(oof: DataFrame, prob: str, out: str) -> DataFrame:
@@ -179,16 +183,22 @@ def compare_features(df: DataFrame, configs: dict[str, Sequence[str]], years: Se
     return metrics.delta_verdict(report, "config", "log_loss", baseline, noise)
 
 
-def grid_search(df: DataFrame, groups: dict[str, Sequence[str]], params: Sequence[dict], years: Sequence[int]) -> DataFrame:
-    """Parameters times feature groups, ranked by pooled walk-forward loss."""
-    reports = []
-    for group, features in groups.items():
-        for p in params:
-            oof = walk_forward(df, features, years, lambda tr, fs, seed, p=p: classifier(tr, fs, seed, **p))
-            name = ", ".join(f"{k}={v}" for k, v in sorted(p.items()))
-            reports.append(metrics.classification(oof, "prob", LABEL).select(
-                F.lit(group).alias("group"), F.lit(name).alias("params"), "n", "log_loss", "brier", "accuracy"))
-    return reduce(DataFrame.unionByName, reports).orderBy("log_loss")
+def grid_search(df: DataFrame, groups: dict[str, Sequence[str]], params: Sequence[dict], years: Sequence[int],
+                seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Settings times feature groups by successive halving, ranked by pooled walk-forward loss of the seeds' mean.
+
+    ``seeds`` says in how many a setting took part, ``trees`` how many it grew on average before it stopped.
+    """
+    rows = stage(df.where(F.col(LABEL).isNotNull()), "grid")
+    labels = rows.select("game_id", LABEL)
+
+    def loss(oof: DataFrame) -> float:
+        return metrics.classification(oof.join(labels, "game_id"), "value", LABEL).first()["log_loss"]
+
+    found = boosting.halving(rows, groups, [boosting.Spec(**p) for p in params], years, seeds, LABEL, loss)
+    written = {boosting.Spec(**p): ", ".join(f"{k}={v}" for k, v in sorted(p.items())) for p in params}
+    return df.sparkSession.createDataFrame([(i + 1, g, written[spec], value, n, trees) for i, (g, spec, value, n, trees) in enumerate(found)],
+                                           "place int, group string, params string, log_loss double, seeds int, trees double")
 
 
 META = ("clf_prob", "clf_confidence", "margin_pred", "margin_abs", "clf_margin_agree")
@@ -206,14 +216,14 @@ def logistic(train: DataFrame, features: Sequence[str], seed: int = 42) -> Pipel
     return Pipeline(stages=[*matrix_stages(features), model]).fit(with_missing_flags(train, features))
 
 
-def base_oof(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = (42,)) -> DataFrame:
+def base_oof(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = SEEDS) -> DataFrame:
     """Rows of the fold years with seed-averaged out-of-fold probability and margin."""
     prob = seed_mean(walk_forward(df, features, years, classifier, "clf_prob", seeds), "clf_prob")
     points = seed_mean(walk_forward(df, features, years, margin_model, "margin_pred", seeds, need="margin"), "margin_pred")
     return stage(df.join(prob, "game_id").join(points, "game_id"), "base-oof")
 
 
-def stacking(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = (42,)) -> DataFrame:
+def stacking(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = SEEDS) -> DataFrame:
     """Second-level model on earlier years' out-of-fold rows only, against the first level."""
     meta = meta_features(base_oof(df, features, years, seeds))
     second = walk_forward(meta, META, years, logistic, "meta_prob", min_train=50, min_test=10)
@@ -224,43 +234,46 @@ def stacking(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds
         "*", (F.col("meta_ll") - F.col("raw_ll")).alias("delta_ll"), (F.col("meta_acc") - F.col("raw_acc")).alias("delta_acc"))
 
 
-def two_stage_margin(df: DataFrame, features: Sequence[str], years: Sequence[int], seed: int = 42) -> DataFrame:
-    """Sign from the classifier, size from one regressor per winning side."""
-    sized = df.where(F.col("margin").isNotNull()).withColumn("abs_margin", F.abs("margin").cast("double"))
-
-    def size_model(rows: DataFrame) -> PipelineModel:
-        return margin_model(rows, features, seed, label="abs_margin")
+def two_stage_margin(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Sign from the classifier, size from one regressor per winning side; all folds, seeds and the three fits side by side."""
+    margin = F.col("margin")
+    sized = stage(df.where(margin.isNotNull()).withColumns({
+        "size_home": F.when(margin > 0, margin).cast("double"), "size_away": F.when(margin <= 0, -margin).cast("double")}), "sized")
+    kinds = {LABEL: BOOSTED[classifier], "size_home": BOOSTED[margin_model], "size_away": BOOSTED[margin_model]}
+    binned = boosting.Binned(sized, features, list(kinds))
+    models = binned.fits([{"label": label, "fold": y, "seed": seed, "spec": spec} for y in years for seed in seeds for label, spec in kinds.items()])
+    mean = binned.scores(models).groupBy(F.col("key").alias("game_id")).pivot("label", list(kinds)).agg(F.avg("value"))
+    named = mean.select("game_id", F.col(LABEL).alias("prob"), "size_home", "size_away")
+    out = sized.drop("size_home", "size_away").join(named, "game_id")
+    return stage(out.withColumn("pred", F.when(F.col("prob") >= 0.5, F.abs("size_home")).otherwise(-F.abs("size_away"))), "two-stage")
 
-    parts = []
-    for year in years:
-        train, test = sized.where(F.col("year") < year), sized.where(F.col("year") == year)
-        out = score(classifier(train, features, seed), test, features, "prob")
-        out = score(size_model(train.where("margin > 0")), out, features, "size_home")
-        out = score(size_model(train.where("margin <= 0")), out, features, "size_away")
-        parts.append(out.withColumn("pred", F.when(F.col("prob") >= 0.5, F.abs("size_home")).otherwise(-F.abs("size_away"))))
-    return stage(reduce(DataFrame.unionByName, parts), "two-stage")
 
-
-def conditioned_margin(df: DataFrame, features: Sequence[str], years: Sequence[int]) -> DataFrame:
+def conditioned_margin(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = SEEDS) -> DataFrame:
     """Margin model with the classifier's out-of-fold probability as an extra feature."""
-    prob = seed_mean(walk_forward(df, features, years, classifier, "clf_prob"), "clf_prob")
+    prob = seed_mean(walk_forward(df, features, years, classifier, "clf_prob", seeds), "clf_prob")
     rows = stage(df.join(prob, "game_id"), "conditioned")
-    plain = walk_forward(rows, features, years[1:], margin_model, "pred", need="margin")
-    extra = walk_forward(rows, [*features, "clf_prob"], years[1:], margin_model, "pred", need="margin")
-    return metrics.regression(plain, "pred", "margin").withColumn("config", F.lit("plain")).unionByName(
-        metrics.regression(extra, "pred", "margin").withColumn("config", F.lit("with clf_prob")))
+    reports = []
+    for name, some in (("plain", features), ("with clf_prob", [*features, "clf_prob"])):
+        mean = seed_mean(walk_forward(rows, some, years[1:], margin_model, "pred", seeds, need="margin"), "pred").join(rows.select("game_id", "margin"), "game_id")
+        reports.append(metrics.regression(mean, "pred", "margin").withColumn("config", F.lit(name)))
+    return reduce(DataFrame.unionByName, reports)
 
 
 def loss_comparison(df: DataFrame, features: Sequence[str], years: Sequence[int],
-                    losses: Sequence[str] = ("absolute", "squared", "huber")) -> DataFrame:
+                    losses: Sequence[str] = ("absolute", "squared", "huber"), seeds: Sequence[int] = SEEDS) -> DataFrame:
     reports = []
     for loss in losses:
-        oof = walk_forward(df, features, years, lambda tr, fs, seed, loss=loss: margin_model(tr, fs, seed, loss=loss),
-                           "pred", need="margin")
-        reports.append(metrics.regression(oof, "pred", "margin").withColumn("loss", F.lit(loss)))
+        oof = seed_mean(walk_forward(df, features, years, boosting.Spec(loss=loss), "pred", seeds, need="margin"), "pred")
+        reports.append(metrics.regression(oof.join(df.select("game_id", "margin"), "game_id"), "pred", "margin").withColumn("loss", F.lit(loss)))
     return reduce(DataFrame.unionByName, reports)
 
 
+def pooled_metrics(df: DataFrame, features: Sequence[str], years: Sequence[int], seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Walk-forward metrics of the seeds' mean."""
+    mean = seed_mean(walk_forward(df, features, years, seeds=seeds), "prob").join(df.select("game_id", LABEL), "game_id")
+    return metrics.classification(mean, "prob", LABEL)
+
+
 # -- explanations ------------------------------------------------------------
 
 def importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
@@ -291,15 +304,26 @@ def contributions(train: DataFrame, rows: DataFrame, features: Sequence[str], to
 # -- serving -----------------------------------------------------------------
 
 def score_upcoming(history: DataFrame, upcoming: DataFrame, features: Sequence[str], years: Sequence[int],
-                   seeds: Sequence[int] = (42,)) -> DataFrame:
-    """Seed-averaged, calibrated and clipped probability, margin, winner and confidence of upcoming games."""
-    oof = walk_forward(history, features, years, seeds=seeds)
-    mean = seed_mean(oof, "prob").join(history.select("game_id", LABEL), "game_id")
-    calibrator = fit_isotonic(mean, "prob")
-    scored = [score(classifier(history, features, seed), upcoming, features, "home_win_prob_raw") for seed in seeds]
-    raw = seed_mean(reduce(DataFrame.unionByName, scored), "home_win_prob_raw")
-    out = calibrate(calibrator, upcoming.join(raw, "game_id"), "home_win_prob_raw", "home_win_prob")
-    out = score(margin_model(history, features), out, features, "predicted_margin")
+                   seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """Seed-averaged, calibrated and clipped probability, margin, winner and confidence of upcoming games.
+
+    Upcoming games are one more fold after all years, so they share the binned table and the fits.
+    """
+    last = history.agg(F.max("year")).first()[0] or 0
+    after = last + 1
+    own = ["game_id", "year", LABEL, "margin", *features]
+    both = history.select(*own).unionByName(upcoming.select(*own).withColumns({
+        "year": F.lit(after), LABEL: F.lit(None).cast("int"), "margin": F.lit(None).cast("double")}))
+    binned = boosting.Binned(both, features, [LABEL, "margin"])
+    tasks = [{"label": LABEL, "fold": y, "seed": seed, "spec": BOOSTED[classifier]} for y in [*years, after] for seed in seeds]
+    tasks += [{"label": "margin", "fold": after, "seed": seed, "spec": BOOSTED[margin_model]} for seed in seeds]
+    mean = stage(binned.scores(binned.fits(tasks)).groupBy(F.col("key").alias("game_id"), "fold", "label").agg(F.avg("value").alias("value")), "mean")
+    past = mean.where(F.col("fold") != after).join(history.select("game_id", LABEL), "game_id")
+    calibrator = fit_isotonic(past, "value")
+    now = mean.where(F.col("fold") == after)
+    raw = now.where(F.col("label") == LABEL).select("game_id", F.col("value").alias("home_win_prob_raw"))
+    points = now.where("label = 'margin'").select("game_id", F.col("value").alias("predicted_margin"))
+    out = calibrate(calibrator, upcoming.join(raw, "game_id").join(points, "game_id"), "home_win_prob_raw", "home_win_prob")
     p = F.col("home_win_prob")
     return out.select(
         "game_id", "date", "year", "round", "home_team", "away_team", "home_win_prob_raw", "home_win_prob",

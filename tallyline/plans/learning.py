@@ -1,7 +1,7 @@
 """Model training, evaluation and serving queries (M).
 
-Every year with results before it is a fold, and every row of it is used. The number
-and depth of trees are parameters of the fits.
+Every year with results before it is a fold, and every row of it is scored by five seeds.
+The number of trees is what early stopping leaves of a bound of 400.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as s
-from tallyline.learning import models as m
+from tallyline.learning import boosting, models as m
 from tallyline.operators import history, joins, markets, metrics, ratings
+from tallyline.plans.ctes import r6 as q
 from tallyline.plans.lookups import prediction_history
 from tallyline.plans.registry import Tables, query, rounded
 from tallyline.sources import ingest
@@ -70,22 +71,37 @@ def feature_matrix(t: Tables) -> DataFrame:
         "game_id", F.size("v").alias("width"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@query("m2_market_matrix", "contests prices", f"""
+with r as (select c.game_id, (1 / home_odds_open) / (1 / home_odds_open + 1 / away_odds_open) as a, 1 / home_odds_open + 1 / away_odds_open as b, home_line_close as l
+  from contests c left join prices p using (game_id))
+select game_id, 6 as width, {q('coalesce(a, avg(a) over ()) + coalesce(b, avg(b) over ()) + coalesce(l, avg(l) over ()) + 3 * (a is null)::int')} as total from r""")
+def market_matrix(t: Tables) -> DataFrame:
+    """Prices only: means for games without prices, and their flags."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    priced = t.games.select("game_id").join(markets.add_implied(t.prices), "game_id", "left")
+    rows = m.with_missing_flags(stage(priced.select("game_id", *[F.col(c).cast("double") for c in MARKET]), "market"), MARKET)
+    out = Pipeline(stages=m.matrix_stages(MARKET)).fit(rows).transform(rows).select("game_id", vector_to_array("features").alias("v"))
+    return rounded(out.select("game_id", F.size("v").alias("width"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
 @query("m3_classifier_early_stop")
 def classifier_early_stop(t: Tables) -> DataFrame:
-    df = featured(t)
-    year = fold_years(df)[-1]
-    train = known(df).where(F.col("year") < year)
-    model = m.classifier(train, BASE, iterations=8, validate_on=F.col("year") == year - 1)
-    test = m.score(model, known(df).where(F.col("year") == year), BASE, "prob")
-    return rounded(metrics.classification(test, "prob", m.LABEL).withColumn("trees", F.lit(model.stages[-1].getNumTrees)))
+    """The newest year, by fits that stop on the year before; ``most_trees`` stays below the bound."""
+    df = known(featured(t))
+    oof = boosting.walk(df, BASE, fold_years(df)[-1:], m.LABEL, m.BOOSTED[m.classifier], m.SEEDS, "prob")
+    mean = stage(oof.groupBy("game_id", m.LABEL).agg(F.avg("prob").alias("prob"), F.max("trees").alias("trees")), "oof")
+    most = mean.agg(F.max("trees")).first()[0]
+    return rounded(metrics.classification(mean, "prob", m.LABEL).withColumns({
+        "most_trees": F.lit(most).cast("int"), "bound": F.lit(m.BOOSTED[m.classifier].trees)}))
 
 
 @query("m4_margin_regressor")
 def margin_regressor(t: Tables) -> DataFrame:
-    df = featured(t)
-    year = fold_years(df)[-1]
-    model = m.margin_model(known(df).where(F.col("year") < year), BASE)
-    return rounded(metrics.regression(m.score(model, known(df).where(F.col("year") == year), BASE, "pred"), "pred", "margin"))
+    df = featured(t).where("margin is not null")
+    oof = boosting.walk(df, BASE, fold_years(df)[-1:], "margin", m.BOOSTED[m.margin_model], m.SEEDS, "pred")
+    mean = oof.groupBy("game_id", "margin").agg(F.avg("pred").alias("pred"))
+    return rounded(metrics.regression(mean, "pred", "margin"))
 
 
 @query("m5_walk_forward")
@@ -102,7 +118,15 @@ def seed_ensemble(t: Tables) -> DataFrame:
     return rounded(metrics.fold_dispersion(oof, "prob", m.LABEL, "year", "seed", "game_id"))
 
 
-@query("m7_isotonic_calibration")
+@query("m7_isotonic_calibration", "contests forecasts", f"""
+with p as (select model_prob as x, sum(case when home_score > away_score then 1e0 else 0e0 end) as s, count(*) as n
+  from contests c join forecasts f using (game_id) where home_score is not null group by 1),
+r as (select *, row_number() over (order by x) as i, sum(s) over (order by x) as cs, sum(n) over (order by x) as cn from p),
+a as (select j.i as j, k.i as k, (k.cs - j.cs + j.s) / (k.cn - j.cn + j.n) as mean from r j join r k on k.i >= j.i),
+b as (select j, k as i, min(mean) over (partition by j order by k desc) as least from a),
+f as (select i, max(least) as y from b group by 1)
+select c.game_id, {q('model_prob')} as model_prob, {q('least(0.98, greatest(0.02, y))')} as calibrated
+from contests c join forecasts g using (game_id) join r on r.x = g.model_prob join f using (i) where home_score is not null""")
 def isotonic_calibration(t: Tables) -> DataFrame:
     """Hand-made forecasts of every finished game, calibrated."""
     df = t.games.where("home_score is not null").join(t.forecasts, "game_id").withColumn(
@@ -114,7 +138,8 @@ def isotonic_calibration(t: Tables) -> DataFrame:
 @query("m8_grid_search")
 def grid_search(t: Tables) -> DataFrame:
     df = featured(t)
-    return rounded(m.grid_search(df, {"form": FORM, "form+rating": FORM + RATING}, [{"depth": 2}, {"depth": 3}], fold_years(df)))
+    return rounded(m.grid_search(df, {"form": FORM, "form+rating": FORM + RATING}, 
+                                 [{"depth": d, "rate": r} for d in (2, 3, 4) for r in (0.03, 0.1)], fold_years(df)))
 
 
 @query("m9_feature_ablation")
@@ -155,8 +180,7 @@ def market_variants(t: Tables) -> DataFrame:
     years = fold_years(df)
     common = joins.common_sample(df, MARKET + MOVES)
     variants = {"open+line": MARKET, "open+movement": MOVES}
-    rows = [metrics.classification(m.walk_forward(common, fs, years), "prob", m.LABEL).withColumn("config", F.lit(name))
-            for name, fs in variants.items()]
+    rows = [m.pooled_metrics(common, fs, years).withColumn("config", F.lit(name)) for name, fs in variants.items()]
     market = known(common).where(F.col("year").isin(years))
     rows.append(metrics.classification(market, "implied_home_open", m.LABEL).withColumn("config", F.lit("market")))
     return rounded(metrics.delta_verdict(reduce(DataFrame.unionByName, rows), "config", "log_loss", "market", 0.00174))
@@ -185,7 +209,7 @@ def score_upcoming(t: Tables) -> DataFrame:
 def model_comparison(t: Tables) -> DataFrame:
     df = featured(t)
     years = fold_years(df)
-    old, new = (metrics.classification(m.walk_forward(df, fs, years), "prob", m.LABEL) for fs in (FORM, BASE))
+    old, new = (m.pooled_metrics(df, fs, years) for fs in (FORM, BASE))
     return rounded(m.compare_models(old, new, ["accuracy", "log_loss", "brier"]))
 
 
@@ -215,8 +239,8 @@ def walk_forward_betting(t: Tables) -> DataFrame:
     """Out-of-fold probabilities, each year calibrated on the years before it, staked at opening and closing prices."""
     df = featured(t)
     years = fold_years(df)
-    oof = m.walk_forward(df, BASE, years)
-    probs = m.calibrate_forward(oof, "prob", "model_prob").select("game_id", "model_prob")
+    oof = m.walk_forward(df, BASE, years, seeds=m.SEEDS).groupBy("game_id", "year", m.LABEL).agg(F.avg("prob").alias("prob"))
+    probs = m.calibrate_forward(stage(oof, "oof"), "prob", "model_prob").select("game_id", "model_prob")
     market = t.games.join(t.prices, "game_id").join(probs, "game_id")
     parts = []
     for kind in ("open", "close"):
