@@ -18,8 +18,8 @@ from tallyline.llm.text import few_at_a_time, give_back
 from tallyline.llm.token_counts import byte_letters
 from tallyline.staging import stage
 
-#: Distinct words whose ids one Python worker remembers (about 80 MB); beyond it, and after a partition, the memory starts anew.
-REMEMBERED = 100_000
+#: Distinct words whose ids one Python worker remembers (about 200 MB); beyond it, and after a partition, the memory starts anew.
+REMEMBERED = 250_000
 #: Pieces of one length that are numbered together in one window group.
 GROUP = 1 << 16
 
