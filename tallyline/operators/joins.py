@@ -76,9 +76,9 @@ def join_on_day(games: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def join_weather(games: DataFrame, weather: DataFrame, roofed: DataFrame) -> DataFrame:
-    """Weather of (venue, day), one row each, with the derived flags."""
-    once = keep_first(weather.select("venue", "date_str", "temp_c", "rain_mm", "wind_kmh"),
-                      ["venue", "date_str"], ["temp_c", "rain_mm", "wind_kmh"])
+    """Weather of (venue, day), one row each, with the derived flags; gusts and humidity where the table has them."""
+    values = [c for c in ("temp_c", "rain_mm", "wind_kmh", "wind_gust_kmh", "humidity") if c in weather.columns]
+    once = keep_first(weather.select("venue", "date_str", *values), ["venue", "date_str"], values)
     joined = (games.withColumn("date_str", s.day_key(F.col("date")))
               .join(once, ["venue", "date_str"], "left")
               .join(roofed.where("roofed = 1").select("venue", "roofed").distinct(), "venue", "left"))

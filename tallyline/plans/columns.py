@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as s
@@ -169,9 +169,11 @@ def interstate_home_ground(t: Tables) -> DataFrame:
 
 define("weather", "contests", """select distinct venue, strftime(date, '%Y-%m-%d') as date_str,
     cast(dayofyear(date) % 30 as double) as temp_c, case when dayofyear(date) % 6 <> 0 then (dayofyear(date) % 40) / 10e0 end as rain_mm,
-    case when dayofyear(date) % 5 <> 0 then cast(dayofyear(date) % 45 as double) end as wind_kmh
+    case when dayofyear(date) % 5 <> 0 then cast(dayofyear(date) % 45 as double) end as wind_kmh,
+    cast(dayofyear(date) % 45 + dayofyear(date) % 11 as double) as wind_gust_kmh,
+    case when dayofyear(date) % 7 <> 0 then cast(30 + dayofyear(date) % 70 as double) end as humidity
   from contests where dayofyear(date) % 4 <> 0""")
-define("weathered", "contests weather venue_dim", """select c.game_id, w.temp_c, w.rain_mm, w.wind_kmh, coalesce(v.roofed, 0) as is_roofed,
+define("weathered", "contests weather venue_dim", """select c.game_id, w.temp_c, w.rain_mm, w.wind_kmh, w.wind_gust_kmh, w.humidity, coalesce(v.roofed, 0) as is_roofed,
     coalesce(cast(case when v.roofed = 1 then 0 else w.rain_mm end > 1 as int), 0) as is_wet,
     coalesce(cast(w.wind_kmh > 25 as int), 0) as wind_strong
   from contests c left join weather w on w.venue = c.venue and w.date_str = strftime(c.date, '%Y-%m-%d')
@@ -184,7 +186,29 @@ def weather_table(t: Tables) -> DataFrame:
     return t.games.where(d % 4 != 0).select(
         "venue", s.day_key(F.col("date")).alias("date_str"), (d % 30).cast("double").alias("temp_c"),
         F.when(d % 6 != 0, (d % 40) / 10.0).alias("rain_mm"),
-        F.when(d % 5 != 0, (d % 45).cast("double")).alias("wind_kmh")).distinct()
+        F.when(d % 5 != 0, (d % 45).cast("double")).alias("wind_kmh"), (d % 45 + d % 11).cast("double").alias("wind_gust_kmh"),
+        F.when(d % 7 != 0, (30 + d % 70).cast("double")).alias("humidity")).distinct()
+
+
+define("price_ranges", "prices", """select game_id,
+    case when game_id % 11 <> 0 then least(home_odds_open, home_odds_close) * (1 - (game_id % 17) / 200e0) end as home_odds_min,
+    greatest(home_odds_open, home_odds_close) * (1 + (game_id % 19) / 150e0) as home_odds_max,
+    least(away_odds_open, away_odds_close) * (1 - (game_id % 23) / 250e0) as away_odds_min,
+    case when game_id % 12 <> 0 then greatest(away_odds_open, away_odds_close) * (1 + (game_id % 29) / 300e0) end as away_odds_max
+  from prices""")
+
+
+def price_ranges(t: Tables) -> DataFrame:
+    """Lowest and highest price of each side over all bookmakers, some unknown."""
+    g = F.col("game_id")
+
+    def end(pick, side: str, share: Column) -> Column:
+        return pick(f"{side}_odds_open", f"{side}_odds_close") * (1 + share)
+
+    return t.prices.select(
+        "game_id", F.when(g % 11 != 0, end(F.least, "home", -(g % 17) / 200.0)).alias("home_odds_min"),
+        end(F.greatest, "home", (g % 19) / 150.0).alias("home_odds_max"), end(F.least, "away", -(g % 23) / 250.0).alias("away_odds_min"),
+        F.when(g % 12 != 0, end(F.greatest, "away", (g % 29) / 300.0)).alias("away_odds_max"))
 
 
 @query("p16_weather_flags", "weathered", "select game_id, is_roofed, is_wet, wind_strong from weathered")
@@ -335,32 +359,6 @@ def feature_report(t: Tables) -> DataFrame:
     return kept.withColumn("n_missing", F.lit(len(missing)))
 
 
-@query("p29_market_crowd_features", "market weathered tips", f"""
-with tp as (select game_id, avg(hconfidence) as mh, avg(greatest(hconfidence, 100 - hconfidence)) as mc from tips group by 1)
-select m.game_id, {q('abs(home_odds_open - home_odds_close)')} as home_odds_range,
-  {q('abs(away_odds_open - away_odds_close)')} as away_odds_range,
-  {q('abs(home_odds_open - home_odds_close) - abs(away_odds_open - away_odds_close)')} as odds_range_diff,
-  {q('mh / 100')} as tipster_prob, {q('100 - mc')} as tipster_disagreement, {q('mh / 100 - alt_prob')} as tipster_vs_rating,
-  {q('rain_mm * (1 - is_roofed)')} as rain_x_open
-from market m join tp on tp.game_id = m.game_id join weathered w on w.game_id = m.game_id""")
-def market_crowd_features(t: Tables) -> DataFrame:
-    from tallyline.operators.metrics import crowd
-    sky = joins.join_weather(t.games, weather_table(t), t.venue_dim).select("game_id", "rain_mm", "is_roofed")
-    sure = F.greatest(F.col("hconfidence"), 100 - F.col("hconfidence"))  # confidence in the tipped side
-    rows = t.market.join(crowd(t.tips.withColumn("confidence", sure)), "game_id").join(sky, "game_id")
-
-    def spread(side: str):
-        a, b = F.col(f"{side}_odds_open"), F.col(f"{side}_odds_close")
-        return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b) - F.least(a, b))
-
-    tip = F.col("mean_hconfidence")
-    return rounded(rows.select(
-        "game_id", spread("home").alias("home_odds_range"), spread("away").alias("away_odds_range"),
-        (spread("home") - spread("away")).alias("odds_range_diff"), (tip / 100).alias("tipster_prob"),
-        (100 - F.col("mean_confidence")).alias("tipster_disagreement"), (tip / 100 - F.col("alt_prob")).alias("tipster_vs_rating"),
-        (F.col("rain_mm") * (1 - F.col("is_roofed"))).alias("rain_x_open")))
-
-
 _SORT_KEY = """case when n is null or n = '' then 999 when lower(n) like 'opening%' then 0
   when regexp_matches(n, '\\d') then cast(regexp_extract(n, '(\\d+)', 1) as int) when lower(n) like '%final%' then 900 else 500 end"""
 

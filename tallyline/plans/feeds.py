@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.plans.columns import candidates
+from tallyline.plans.columns import candidates, price_ranges
 from tallyline.plans.ctes import define, r6 as q
 from tallyline.plans.registry import Tables, query, rounded
 from tallyline.sources import ingest, pages
@@ -31,18 +31,21 @@ def optional_scan(t: Tables) -> DataFrame:
     return there.unionByName(missing).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@query("s3_price_sheet", "contests prices", f"""select strftime(c.date, '%Y-%m-%d') as day, case when home_team = 'NATION_3' then 'Third Nation' else home_team end as home_team, case when away_team = 'NATION_3' then 'Third Nation' else away_team end as away_team,
-  {q('home_odds_open')} as home_odds_open, case when p.game_id % 10 <> 0 then {q('away_odds_open')} end as away_odds_open, {q('home_line_close')} as home_line_close
-from contests c join prices p on p.game_id = c.game_id""")
+@query("s3_price_sheet", "contests prices price_ranges", f"""select strftime(c.date, '%Y-%m-%d') as day, case when home_team = 'NATION_3' then 'Third Nation' else home_team end as home_team, case when away_team = 'NATION_3' then 'Third Nation' else away_team end as away_team,
+  {q('home_odds_open')} as home_odds_open, case when p.game_id % 10 <> 0 then {q('away_odds_open')} end as away_odds_open, {q('home_line_close')} as home_line_close,
+  venue as venue_odds, round >= 11 as is_final_odds, {q('home_odds_min')} as home_odds_min, {q('home_odds_max')} as home_odds_max
+from contests c join prices p on p.game_id = c.game_id join price_ranges r on r.game_id = c.game_id""")
 def price_sheet(t: Tables) -> DataFrame:
-    text = t.games.join(t.prices, "game_id").select(
+    text = t.games.join(t.prices, "game_id").join(price_ranges(t), "game_id").select(
         F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("home_team").alias("Home Team"), F.col("away_team").alias("Away Team"),
         F.col("home_odds_open").cast("string").alias("Home Odds Open"),
         F.when(F.col("game_id") % 10 == 0, "n/a").otherwise(F.col("away_odds_open").cast("string")).alias("Away Odds Open"),
-        F.col("home_line_close").cast("string").alias("Home Line Close"), F.lit("x").alias("Notes"))
+        F.col("home_line_close").cast("string").alias("Home Line Close"), F.lit("x").alias("Notes"),
+        F.concat(F.lit(" "), "venue").alias("Venue"), F.when(F.col("round") >= 11, "Y").alias("Play Off Game?"),
+        F.col("home_odds_min").cast("string").alias("Home Odds Min"), F.col("home_odds_max").cast("string").alias("Home Odds Max"))
     sheet = ingest.normalise_price_sheet(text, {"NATION_3": "Third Nation"})
     return rounded(sheet.select(F.date_format("date", "yyyy-MM-dd").alias("day"), "home_team", "away_team",
-                                "home_odds_open", "away_odds_open", "home_line_close"))
+                                "home_odds_open", "away_odds_open", "home_line_close", "venue_odds", "is_final_odds", "home_odds_min", "home_odds_max"))
 
 
 # two bookmakers per snapshot; the second knows no line for some, and names a stranger

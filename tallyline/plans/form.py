@@ -161,7 +161,7 @@ def rolling_ratios(t: Tables) -> DataFrame:
 define("rated_games", "contests", """select c.*, h.n_nationkey + 1 as hi, a.n_nationkey + 1 as ai,
     row_number() over (partition by league order by date, game_id) as rn
   from contests c join nation h on h.n_name = home_team join nation a on a.n_name = away_team""")
-_ELO = """with recursive walk as (
+ELO = """with recursive walk as (
   select league, cast(0 as bigint) as rn, cast(null as int) as season,
     list_transform(range((select max(n_nationkey) + 1 from nation)), lambda x: 1500e0) as r, cast(null as bigint) as game_id,
     cast(null as double) as h, cast(null as double) as a
@@ -179,7 +179,7 @@ _ELO = """with recursive walk as (
 elo as (select game_id, h as home_elo, a as away_elo from walk where game_id is not null)"""
 
 
-@query("w14_elo_ratings", "rated_games", f"""{_ELO}
+@query("w14_elo_ratings", "rated_games", f"""{ELO}
 select game_id, {q('home_elo')} as home_elo, {q('away_elo')} as away_elo, {q('home_elo - away_elo')} as elo_diff,
   {q('1e0 / (1e0 + power(10e0, (away_elo - home_elo - 30e0) / 400e0))')} as elo_expected from elo""")
 def elo_ratings(t: Tables) -> DataFrame:
@@ -196,7 +196,7 @@ _RATED_ROWS = """, tr as (select t.*, case when side = 'home' then home_elo else
     case when side = 'home' then away_elo else home_elo end as opp from tg t join elo using (game_id))"""
 
 
-@query("w10_rating_velocity", "rated_games tg", f"""{_ELO}{_RATED_ROWS},
+@query("w10_rating_velocity", "rated_games tg", f"""{ELO}{_RATED_ROWS},
 f as (select game_id, side, rating - list_filter(coalesce(list(case when done then rating end) over (partition by league, team
     order by date, game_id rows between unbounded preceding and 1 preceding), []), lambda x: x is not null)[-5] as v from tr),
 w as (select game_id, {_sides(['v'])} from f group by game_id)
@@ -206,7 +206,7 @@ def rating_velocity(t: Tables) -> DataFrame:
     return rounded(history.rating_velocity(_rated(t)))
 
 
-@query("w11_schedule_strength", "rated_games tg", f"""{_ELO}{_RATED_ROWS},
+@query("w11_schedule_strength", "rated_games tg", f"""{ELO}{_RATED_ROWS},
 f as (select game_id, side, avg(opp) over (partition by league, team order by date, game_id
     rows between 5 preceding and 1 preceding) as v from tr), w as (select game_id, {_sides(['v'])} from f group by game_id)
 select game_id, {q('home_v')} as home_sos_5, {q('away_v')} as away_sos_5, {q('home_v - away_v')} as sos_diff_5 from w""")

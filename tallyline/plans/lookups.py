@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as s
-from tallyline.operators import joins, markets, rosters
-from tallyline.plans.columns import candidates, weather_table
+from tallyline.operators import joins, markets, ratings, rosters
+from tallyline.operators.metrics import crowd
+from tallyline.plans.columns import candidates, price_ranges, weather_table
 from tallyline.plans.ctes import define, r6 as q
+from tallyline.plans.form import ELO
 from tallyline.plans.registry import Tables, query, rounded
 from tallyline.sources import ingest
 from tallyline.sources.tables import KeyedTable
@@ -92,11 +94,36 @@ def ladder_features(t: Tables) -> DataFrame:
         "game_id", "ladder_rank_diff", "percentage_diff", "home_top4", "away_top4", "home_top8", "away_top8"))
 
 
+@query("p29_market_crowd_features", "rated_games price_ranges weathered tips", f"""{ELO},
+tp as (select game_id, avg(hconfidence) as mh, avg(greatest(hconfidence, 100 - hconfidence)) as mc, avg((hconfidence - 50) / 2) as mm from tips group by 1)
+select c.game_id, {q('home_odds_max - home_odds_min')} as home_odds_range, {q('away_odds_max - away_odds_min')} as away_odds_range,
+  {q('(home_odds_max - home_odds_min) - (away_odds_max - away_odds_min)')} as odds_range_diff,
+  {q('mh / 100')} as tipster_prob, {q('100 - mc')} as tipster_disagreement,
+  {q('mh / 100 - 1e0 / (1e0 + power(10e0, (away_elo - home_elo - 30e0) / 400e0))')} as tipster_vs_elo, {q('mm')} as tipster_margin,
+  {q('rain_mm * (1 - is_roofed)')} as rain_x_open
+from contests c join tp on tp.game_id = c.game_id join weathered w on w.game_id = c.game_id join elo e on e.game_id = c.game_id
+  left join price_ranges r on r.game_id = c.game_id""")
+def market_crowd_features(t: Tables) -> DataFrame:
+    """The spread of prices over bookmakers, the crowd against the rating, rain where there is no roof."""
+    sky = joins.join_weather(t.games, weather_table(t), t.venue_dim).select("game_id", "rain_mm", "is_roofed")
+    h = F.col("hconfidence")
+    tips = t.tips.withColumns({"confidence": F.greatest(h, 100 - h), "hmargin": (h - 50) / 2})  # confidence in the tipped side
+    rows = (t.games.select("game_id").join(price_ranges(t), "game_id", "left").join(crowd(tips), "game_id").join(sky, "game_id")
+            .join(ratings.elo(t.games).select("game_id", "elo_expected"), "game_id"))
+    spread = lambda side: F.col(f"{side}_odds_max") - F.col(f"{side}_odds_min")
+    tip = F.col("mean_hconfidence")
+    return rounded(rows.select(
+        "game_id", spread("home").alias("home_odds_range"), spread("away").alias("away_odds_range"),
+        (spread("home") - spread("away")).alias("odds_range_diff"), (tip / 100).alias("tipster_prob"),
+        (100 - F.col("mean_confidence")).alias("tipster_disagreement"), (tip / 100 - F.col("elo_expected")).alias("tipster_vs_elo"),
+        F.col("mean_hmargin").alias("tipster_margin"), (F.col("rain_mm") * (1 - F.col("is_roofed"))).alias("rain_x_open")))
+
+
 @query("j7_weather_join", "weathered", f"""select game_id, {q('temp_c')} as temp_c, {q('rain_mm')} as rain_mm, {q('wind_kmh')} as wind_kmh,
-  is_roofed, is_wet, wind_strong from weathered""")
+  {q('wind_gust_kmh')} as wind_gust_kmh, {q('humidity')} as humidity, is_roofed, is_wet, wind_strong from weathered""")
 def weather_join(t: Tables) -> DataFrame:
     return rounded(joins.join_weather(t.games, weather_table(t), t.venue_dim).select(
-        "game_id", "temp_c", "rain_mm", "wind_kmh", "is_roofed", "is_wet", "wind_strong"))
+        "game_id", "temp_c", "rain_mm", "wind_kmh", "wind_gust_kmh", "humidity", "is_roofed", "is_wet", "wind_strong"))
 
 
 @query("j8_dimension_lookup", "contests team_dim venue_dim", """select c.game_id, h.state as home_state, a.state as away_state, v.state as venue_state

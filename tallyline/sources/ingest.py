@@ -62,10 +62,15 @@ PRICE_SHEET = {
     "Home Line Close": "home_line_close", "Away Line Close": "away_line_close",
     "Home Line Odds Close": "home_line_odds_close", "Away Line Odds Close": "away_line_odds_close",
 }
+PRICE_SHEET_TEXT = {"Venue": "venue_odds"}
+PRICE_SHEET_FLAGS = {"Play Off Game?": "is_final_odds"}
 
 
 def normalise_price_sheet(raw: DataFrame, team_names: dict[str, str] | None = None) -> DataFrame:
-    """Headings to column names, unknown ones dropped, prices to numbers (bad cells null)."""
+    """Headings to column names, unknown ones dropped, prices to numbers (bad cells null).
+
+    The venue stays text without outer blanks; the finals cell is a flag, true for a Y.
+    """
     def team(heading: str) -> Column:
         name = F.col(f"`{heading}`")
         for old, new in (team_names or {}).items():
@@ -76,7 +81,10 @@ def normalise_price_sheet(raw: DataFrame, team_names: dict[str, str] | None = No
     return raw.select(
         F.to_date(date).alias("date"), F.year(date).alias("year"),
         team("Home Team").alias("home_team"), team("Away Team").alias("away_team"),
-        *[s.number(F.col(f"`{old}`")).alias(new) for old, new in PRICE_SHEET.items() if old in raw.columns])
+        *[F.nullif(F.trim(F.col(f"`{old}`")), F.lit("")).alias(new) for old, new in PRICE_SHEET_TEXT.items() if old in raw.columns],
+        *[s.number(F.col(f"`{old}`")).alias(new) for old, new in PRICE_SHEET.items() if old in raw.columns],
+        *[F.coalesce(F.upper(F.trim(F.col(f"`{old}`"))).startswith("Y"), F.lit(False)).alias(new)
+          for old, new in PRICE_SHEET_FLAGS.items() if old in raw.columns])
 
 
 _OUTCOMES = "array<struct<name:string,price:double,point:double>>"
