@@ -156,7 +156,7 @@ def rolling_stats(games: DataFrame, team_stats: DataFrame, stats: Sequence[str],
     ).select("game_id", "league", "date", "side", "team", "v.*")
     known = F.col("value").isNotNull()
     keys = ("league", "team", "stat")
-    long = running(stage(long, "team-stats"), keys, ORDER, {"k": ("count", F.when(known, 1))})
+    long = stage(running(stage(long, "team-stats"), keys, ORDER, {"k": ("count", F.when(known, 1))}), "counted")
     long = last_n(long, keys, "k", known, n, lambda frame: {"mean": F.avg("value").over(frame(n))})
     wide = long.groupBy("game_id").agg(*[
         F.max(F.when((F.col("side") == side) & (F.col("stat") == s), F.col("mean"))).alias(f"{side}_avg_{s}_{n}")

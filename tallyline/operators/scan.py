@@ -63,14 +63,17 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
+def larger_than(df: DataFrame, n: int) -> bool:
+    """Whether there are more rows; of a stored table, also behind windows over it, a count reads no column."""
+    return df.count() > n
+
+
 def in_pieces(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add ``__piece``: ranges over ``by`` of about ``PIECE`` rows, numbered in order.
 
     Written once, because two evaluations of a range partitioning may cut differently.
     """
     pieces = -(-df.count() // PIECE)
-    if pieces <= 1:
-        return df.withColumn("__piece", F.lit(0))
     return stage(df.repartitionByRange(pieces, *by).withColumn("__piece", F.spark_partition_id()), "pieces")
 
 
@@ -81,6 +84,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``order`` must be total within a key.
     """
     unit_names = ["__piece"]
+    if not larger_than(df, PIECE):  # one piece has nothing to carry
+        rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.select("*", *[_over_rows(kind, value, rows).alias(name) for name, (kind, value) in aggregates.items()])
     cut = in_pieces(df, [*keys, *order])
     rows = (Window.partitionBy(*keys, *unit_names).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
@@ -116,7 +122,7 @@ def last_n(df: DataFrame, keys: Sequence[str], ordinal: str, valid: Column, n: i
     # rows that are not valid share an ordinal, so their number in a block has no bound of its own
     crowds = (df.where(~valid).groupBy(*keys, home.alias("__block")).agg(F.count(F.lit(1)).alias("__n"))
               .where(F.col("__n") > PIECE).withColumn("__parts", F.ceil(F.col("__n") / PIECE).cast("int")).drop("__n"))
-    crowded = not crowds.isEmpty()
+    crowded = larger_than(df, PIECE) and not crowds.isEmpty()  # else no crowd can exceed a piece
     blocked = df.select("*", F.explode(F.when(spills, F.array(home, home + 1)).otherwise(F.array(home)))
                         .alias("__block"))
     part: list[str] = []

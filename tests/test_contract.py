@@ -6,7 +6,7 @@ from tallyline.plans.registry import ORACLES, QUERIES
 from tools import check
 
 ROWS_ONLY = {"m2_feature_matrix", "m3_classifier_early_stop", "m4_margin_regressor", "m5_walk_forward", "m6_seed_ensemble",
-             "m7_isotonic_calibration", "m8_grid_search", "m9_feature_ablation", "m10_stacking", "m11_two_stage_margin",
+             "m8_grid_search", "m9_feature_ablation", "m10_stacking", "m11_two_stage_margin",
              "m12_conditioned_margin", "m13_loss_comparison", "m14_market_variants", "m15_feature_importance", "m16_contributions",
              "m17_score_upcoming", "m18_model_comparison", "m19_backfill_scores", "m20_walk_forward_betting"}
 
@@ -18,7 +18,8 @@ def test_every_query_has_sql_unless_it_trains_a_model():
 
 
 @pytest.mark.parametrize("name", ["w1_rolling_form", "w14_elo_ratings", "w19_absence_quality", "j4_ordinal_pairing", "a3_quote_consensus",
-                                  "w21_staking_ledger", "p25_change_key", "s6_link_ids", "t2_price_movement_stream"])
+                                  "w21_staking_ledger", "p25_change_key", "s6_link_ids", "t2_price_movement_stream",
+                                  "s7_nested_tables", "s11_keyed_upsert", "t4_stateful_ema", "m7_isotonic_calibration"])
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
     for t in check.TABLES:
