@@ -209,3 +209,38 @@ def test_recurrence_that_never_forgets_runs_each_chunk_a_few_times(spark):
         balance[key] = max(1.0, balance[key] * gain)
         assert got[i] == pytest.approx(balance[key])
     assert seen.value <= 4 * len(rows)
+
+
+def test_recurrence_hands_a_chunk_to_its_step_in_pieces(spark):
+    """A worker never holds a whole chunk, and pieces carry the state; rows without order value come last."""
+    from pyspark.sql import types as T
+
+    from tallyline.operators.recurrence import chunked_recurrence
+
+    largest = spark.sparkContext.accumulator(0)
+
+    def step(key, rows, state):
+        if len(rows) > 50:
+            largest.add(1)
+        total, out = state.get("total", 0.0), []
+        for x in rows["x"]:
+            total = 0.5 * total + x
+            out.append(total)
+        return pd.DataFrame({"id": rows["id"].to_numpy(), "total": out}), {"total": total}
+
+    rows = [("ab"[i % 2], i if i < 398 else None, i, float(i % 7)) for i in range(400)]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("total", T.DoubleType())])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50")
+    try:
+        got = {r["id"]: r["total"] for r in chunked_recurrence(
+            spark.createDataFrame(rows, "key string, at int, id bigint, x double"), ["key"], ["at", "id"], step, schema).collect()}
+    finally:
+        spark.conf.set(size, before)
+    want, total = {}, {"a": 0.0, "b": 0.0}
+    for key, _, i, x in rows:
+        total[key] = 0.5 * total[key] + x
+        want[i] = total[key]
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert largest.value == 0
