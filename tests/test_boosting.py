@@ -70,6 +70,18 @@ def test_the_bound_on_learnt_rows_leaves_every_row_scored(table, monkeypatch):
     assert len(predictions(table, seeds=(1,))) == sum(r[1] > 2000 for r in rows())
 
 
+def test_fits_receive_no_rows_beyond_the_bound(table, monkeypatch):
+    """Rows are picked before they are dealt to the fits, whose memory does not grow with the table."""
+    everything = b.Binned(table, ["x", "z"], ["home_win"])
+    width = lambda df, part: sum(len(r[part]) for r in df.select(part).collect())
+    assert width(everything.picked(), "bins") == 2 * len(rows()) and width(everything.picked(), "labels") == 8 * len(rows())
+    monkeypatch.setattr(b, "FIT_ROWS", 100)
+    assert 100 < width(everything.picked(), "bins") < 400
+    monkeypatch.setattr(b, "FIT_ROWS", 0)
+    task = {"label": "home_win", "fold": 2005, "seed": 1, "spec": b.Spec()}
+    assert everything.fits([task])[0]["trees"] == []
+
+
 def test_rows_without_label_are_scored_and_empty_tables_are_empty(spark, table):
     binned = b.Binned(table.withColumn("home_win", F.when(F.col("year") < 2005, F.col("home_win"))), ["x", "z"], ["home_win"])
     models = binned.fits([{"label": "home_win", "fold": 2005, "seed": 1, "spec": b.Spec()}])
