@@ -2,15 +2,21 @@
 
 Pages are cut into tokens (tags, comments, scripts, text) once.  Nesting is a running
 sum over a page's tokens, and what a token lies in is the last thing opened at its depth,
-so tags may have any attributes, may lack their end tag and may be nested.
+so tags may have any attributes, may lack their end tag and may be nested.  Pages are dealt
+to tasks whole; their tokens stay in the task, as Arrow arrays of many pages, and only the
+rows found leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.functions.scalars import points
 
@@ -89,35 +95,88 @@ def tokens(pages: DataFrame, tags: Sequence[str], text: str = "html") -> DataFra
         "page_id", "page", "at", "tag", F.col("token").startswith("</").alias("closes"), F.when(is_text, F.col("token")).alias("text"))
 
 
-def placed(pages: DataFrame, containers: Sequence[str], cells: Sequence[str], rows: Sequence[str] = (), text: str = "html") -> DataFrame:
-    """Tokens with the innermost open ``container`` they lie in, and the open ``row`` and ``cell`` of that container.
+#: Tokens of one go of a task, more only for a single page.
+AT_ONCE = 1 << 19
 
-    Each is the place of its opening tag.  A row or cell ends at its end tag, at the
-    next one, or with its container; what lies in a nested container belongs to that
-    one alone.  One shuffle by page; a page's tokens are a task's smallest unit.
-    """
-    all_tokens = tokens(pages, [*containers, *rows, *cells], text)
-    tag, closes = F.col("tag"), F.col("closes")
-    at = F.col("at")
 
-    def latest(event: Column, *by: str) -> Column:
-        return F.last(event, ignorenulls=True).over(
-            Window.partitionBy("page", *by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+def _latest(groups: np.ndarray, event: np.ndarray, none: int) -> np.ndarray:
+    """The latest ``event`` up to each token among the tokens of its group; ``none`` marks tokens without one."""
+    order = np.argsort(groups, kind="stable")
+    sorted_groups, along = groups[order], np.arange(len(order))
+    first = np.maximum.accumulate(np.where(np.append(True, sorted_groups[1:] != sorted_groups[:-1])[: len(order)], along, 0))
+    last = np.maximum.accumulate(np.where(event[order] != none, along, -1))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(last >= first, event[order][last], none)
+    return out
 
-    holds = tag.isin(*containers)
-    step = F.when(holds & ~closes, 1).when(holds, -1).otherwise(0)
-    deep = all_tokens.withColumn("depth", F.sum(step).over(Window.partitionBy("page").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = deep.withColumn("container", F.coalesce(latest(F.when(holds & ~closes, at), "depth"), F.lit(-1)))
-    row, cell = tag.isin(*rows) if rows else F.lit(False), tag.isin(*cells)
-    starts = lambda x: F.when(x & ~closes, at)
-    return inside.select(
-        "*", latest(starts(row).when(row, -1), "container").alias("row"),
-        latest(starts(cell).when(cell | row, -1), "container").alias("cell"))
 
+class Placed:
+    """Tokens of some pages in order, with the innermost open ``container`` they lie in, and the open ``row`` and ``cell`` of that container.
 
-def _joined_text() -> Column:
-    pieces = F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda p: p["text"])
-    return F.trim(F.array_join(pieces, ""))
+    Each is the place of its opening tag, negative for none.  A row or cell ends at its
+    end tag, at the next one, or with its container; what lies in a nested container
+    belongs to that one alone.
+    """
+
+    def __init__(self, pages: pa.Array, containers: Sequence[str], cells: Sequence[str], rows: Sequence[str] = ()):
+        token = pages.flatten()
+        self.page = pc.list_parent_indices(pages).to_numpy(zero_copy_only=False).astype(np.int64)
+        tag = pc.ascii_lower(pc.struct_field(pc.extract_regex(token, r"^</?(?P<tag>[A-Za-z][A-Za-z0-9]*)"), "tag"))
+        flag = lambda x: pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+        of = lambda names: flag(pc.is_in(tag, pa.array(list(names), pa.string())))
+        closes, at, none = flag(pc.starts_with(token, "</")), np.arange(len(token)), -2
+        holds, cell, row = of(containers), of(cells), of(rows)
+        is_text = flag(pc.is_null(tag)) & ~flag(pc.starts_with(token, "<!")) & ~flag(pc.starts_with(token, "<?"))
+        self.text = pc.if_else(pa.array(is_text), token, "")
+        if not len(token):
+            self.container = self.row = self.cell = at
+            return
+        total = np.cumsum(np.where(holds, np.where(closes, -1, 1), 0))
+        first = np.searchsorted(self.page, self.page)  # a page's depth begins at its own first token
+        depth = total - np.where(first > 0, total[first - 1], 0)
+        depth -= depth.min()
+        self.container = _latest(self.page * (depth.max() + 1) + depth, np.where(holds & ~closes, at, none), none)
+        within = np.where(self.container >= 0, self.container, -1 - self.page)
+        self.row = _latest(within, np.where(row, np.where(closes, -1, at), none), none)
+        self.cell = _latest(within, np.where(cell & ~closes, at, np.where(cell | row, -1, none)), none)
+
+    def cells(self, kept: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """The place of each cell of the kept tokens, in order, and its own text."""
+        chosen = np.flatnonzero(kept)
+        chosen = chosen[np.argsort(self.cell[chosen], kind="stable")]
+        places, starts = np.unique(self.cell[chosen], return_index=True)
+        pieces = pa.ListArray.from_arrays(pa.array(np.append(starts, len(chosen)), pa.int32()), self.text.take(pa.array(chosen)))
+        return places, pc.utf8_trim(pc.binary_join(pieces, ""), " ")
+
+
+def _within(groups: np.ndarray) -> np.ndarray:
+    """The number of each entry among its group, from 0; groups are sorted."""
+    return np.arange(len(groups)) - np.searchsorted(groups, groups)
+
+
+def _in_tasks(pages: DataFrame, text: str, found: Callable[[pa.Array], tuple[np.ndarray, list[pa.Array]]], columns: list[T.StructField]) -> DataFrame:
+    """``page_id, page`` and the columns that ``found`` makes of the tokens of some pages: the page of each row, and its values.
+
+    ``page`` tells rows with one page id apart.  One shuffle, of whole pages; a page's tokens are a task's smallest unit.
+    """
+    numbered = pages.select("page_id", F.monotonically_increasing_id().alias("page"), text).repartition("page")
+    cut = numbered.select("page_id", "page", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    schema = T.StructType([cut.schema["page_id"], T.StructField("page", T.LongType()), *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+                some = batch.slice(low, high - low)
+                page, values = found(some.column("tokens"))
+                at = pa.array(page)
+                yield pa.RecordBatch.from_arrays([some.column("page_id").take(at), some.column("page").take(at), *values], schema.names)
+                low = high
+
+    return cut.mapInArrow(run, schema)
 
 
 def item_rows(pages: DataFrame, tag: str = "li", text: str = "html") -> DataFrame:
@@ -125,25 +184,36 @@ def item_rows(pages: DataFrame, tag: str = "li", text: str = "html") -> DataFram
 
     An item's text is its own, not that of lists inside it.  ``pos`` counts all items of a page.
     """
-    inside = placed(pages, ["ul", "ol"], [tag], text=text).where("cell >= 0")
-    items = inside.groupBy("page", "page_id", "cell").agg(_joined_text().alias("item"))
-    counted = items.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("cell")) - 1)
+    def found(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        inside = Placed(tokens, ["ul", "ol"], [tag])
+        places, texts = inside.cells(inside.cell >= 0)
+        page = inside.page[places]
+        return page, [pa.array(_within(page), pa.int32()), texts]
+
+    items = _in_tasks(pages, text, found, [T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())])
     own = F.trim(F.regexp_replace("item", ARROWS, ""))
-    return (counted.select("page_id", "pos", own.alias("item"))
+    return (items.select("page_id", "pos", own.alias("item"))
             .where((F.col("item") != "") & ~F.upper("item").isin("TOTAL", "TOTALS")))
 
 
 def page_tables(pages: DataFrame, text: str = "html") -> DataFrame:
-    """``page_id, table, pos, cells``: the rows of a page's tables, also of nested ones, with their cells' texts in order.
+    """``page_id, page, table, pos, cells``: the rows of a page's tables, also of nested ones, with their cells' texts in order.
 
     ``table`` and ``pos`` count from 0 over the whole page; rows without cells are no rows.
     """
-    inside = placed(pages, ["table"], ["td", "th"], ["tr"], text).where("row >= 0 and cell >= 0")
-    cells = inside.groupBy("page", "page_id", "container", "row", "cell").agg(_joined_text().alias("text"))
-    rows = cells.groupBy("page", "page_id", "container", "row").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"]).alias("cells"))
-    number = lambda by: (F.dense_rank().over(Window.partitionBy("page").orderBy(by)) - 1)
-    return rows.select("page_id", "page", number("container").alias("table"), number("row").alias("pos"), "cells")
+    def found(tokens: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        inside = Placed(tokens, ["table"], ["td", "th"], ["tr"])
+        places, texts = inside.cells((inside.row >= 0) & (inside.cell >= 0))
+        order = np.lexsort((places, inside.row[places]))
+        rows, starts = np.unique(inside.row[places][order], return_index=True)
+        cells = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), texts.take(pa.array(order)))
+        page = inside.page[rows]
+        # tables by the place of their tag; on a page, rows outside of any table come first
+        tables, table = np.unique(np.column_stack([page, inside.container[rows]]), axis=0, return_inverse=True)
+        return page, [pa.array(_within(tables[:, 0])[table.reshape(-1)], pa.int32()), pa.array(_within(page), pa.int32()), cells]
+
+    return _in_tasks(pages, text, found, [T.StructField("table", T.IntegerType()), T.StructField("pos", T.IntegerType()),
+                                          T.StructField("cells", T.ArrayType(T.StringType()))]).select("page_id", "page", "table", "pos", "cells")
 
 
 def _usable(cells: str, n: Column | int) -> Column:

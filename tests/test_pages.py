@@ -64,3 +64,14 @@ def test_a_long_page_and_one_shuffle(spark):
     assert df.count() == 20_000
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_tokens_stay_in_their_task(spark, monkeypatch):
+    """The shuffle moves whole pages, not their tokens, and a task takes a few pages at a time."""
+    monkeypatch.setattr(pages, "AT_ONCE", 5)
+    html = ["</table></ul><tr><td>x<td>y</tr>late<td>z", None, "<table><tr><td> a <table><tr><td>in</table> b<tr><td></table>", "", "<ul><li>q<ul><li>r</ul>s"]
+    df = page(spark, *html)
+    assert tables(df) == [(0, 0, 0, ["x", "y"]), (2, 0, 0, ["a  b"]), (2, 0, 2, [""]), (2, 1, 1, ["in"])]
+    assert items(df) == [(4, 0, "qs"), (4, 1, "r")]
+    plan = pages.page_tables(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Window" not in plan, plan
