@@ -40,9 +40,25 @@ def _form_sql() -> str:
     select game_id, {sides}, {diffs} from w"""
 
 
+def _numbered(t: Tables) -> DataFrame:
+    return t.step("numbered", lambda: history.numbered(t.games), stored=True)
+
+
+def _form(t: Tables) -> DataFrame:
+    return t.step("form", lambda: history.rolling_form(_numbered(t)))
+
+
+def _rest(t: Tables) -> DataFrame:
+    return t.step("rest", lambda: history.rest_days(_numbered(t)))
+
+
+def _elo(t: Tables) -> DataFrame:
+    return t.step("elo", lambda: ratings.elo(t.games))
+
+
 @query("w1_rolling_form", "past", _form_sql())
 def rolling_form(t: Tables) -> DataFrame:
-    df = history.rolling_form(history.numbered(t.games))
+    df = _form(t)
     return rounded(df.drop("home_margin_volatility", "away_margin_volatility", "margin_volatility_diff_5"))
 
 
@@ -52,7 +68,7 @@ with f as (select game_id, side, case when len(p) >= 2 then list_stddev_samp(lis
 select game_id, {q('home_v')} as home_margin_volatility, {q('away_v')} as away_margin_volatility,
   {q('home_v - away_v')} as margin_volatility_diff_5 from w""")
 def margin_volatility(t: Tables) -> DataFrame:
-    return rounded(history.rolling_form(history.numbered(t.games)).select(
+    return rounded(_form(t).select(
         "game_id", "home_margin_volatility", "away_margin_volatility", "margin_volatility_diff_5"))
 
 
@@ -70,7 +86,7 @@ w as (select game_id, {_sides(['form_streak'])} from f group by game_id)
 select game_id, cast(home_form_streak as bigint) as home_form_streak, cast(away_form_streak as bigint) as away_form_streak,
   cast(home_form_streak - away_form_streak as bigint) as form_streak_diff from w""")
 def form_streak(t: Tables) -> DataFrame:
-    return history.form_streak(history.numbered(t.games))
+    return history.form_streak(_numbered(t))
 
 
 @query("w4_head_to_head", "contests", f"""
@@ -103,7 +119,7 @@ w as (select game_id, {_sides(['d'])} from f group by game_id)"""
 select game_id, cast(home_d as bigint) as home_rest_days, cast(away_d as bigint) as away_rest_days,
   cast(home_d - away_d as bigint) as rest_diff from w""")
 def rest_days(t: Tables) -> DataFrame:
-    return history.rest_days(history.numbered(t.games)).select(
+    return _rest(t).select(
         "game_id", "home_rest_days", "away_rest_days", "rest_diff")
 
 
@@ -112,7 +128,7 @@ select game_id, home_had_bye, away_had_bye, home_had_bye - away_had_bye as bye_a
   coalesce(cast(home_d > 11 and home_d <= 20 as int), 0) as home_had_bye,
   coalesce(cast(away_d > 11 and away_d <= 20 as int), 0) as away_had_bye from w)""")
 def bye_flags(t: Tables) -> DataFrame:
-    return history.rest_days(history.numbered(t.games)).select(
+    return _rest(t).select(
         "game_id", "home_had_bye", "away_had_bye", "bye_advantage")
 
 
@@ -124,7 +140,7 @@ define("tgs", "tg team_stats", "select t.*, " + ", ".join(f"s.{c}" for c in STAT
 
 
 def _stats(t: Tables) -> DataFrame:
-    return rosters.team_totals(t.player_stats, STATS).withColumnRenamed("mid", "game_id")
+    return t.step("team-stats", lambda: rosters.team_totals(t.player_stats, STATS).withColumnRenamed("mid", "game_id"))
 
 
 def _rolling_stats_sql() -> str:
@@ -183,13 +199,13 @@ elo as (select game_id, h as home_elo, a as away_elo from walk where game_id is
 select game_id, {q('home_elo')} as home_elo, {q('away_elo')} as away_elo, {q('home_elo - away_elo')} as elo_diff,
   {q('1e0 / (1e0 + power(10e0, (away_elo - home_elo - 30e0) / 400e0))')} as elo_expected from elo""")
 def elo_ratings(t: Tables) -> DataFrame:
-    return rounded(ratings.elo(t.games))
+    return rounded(_elo(t))
 
 
 def _rated(t: Tables) -> DataFrame:
-    rated = t.games.join(ratings.elo(t.games).select(
+    rated = lambda: t.games.join(_elo(t).select(
         "game_id", F.col("home_elo").alias("home_rating"), F.col("away_elo").alias("away_rating")), "game_id")
-    return history.numbered(rated, per_side=["rating"])
+    return t.step("rated", lambda: history.numbered(rated(), per_side=["rating"]), stored=True)
 
 
 _RATED_ROWS = """, tr as (select t.*, case when side = 'home' then home_elo else away_elo end as rating,
@@ -248,7 +264,7 @@ w as (select game_id, {_sides(['v'])} from f group by game_id)
 select game_id, home_v as home_consecutive_away, away_v as away_consecutive_away,
   home_v - away_v as consecutive_away_diff from w""")
 def consecutive_away(t: Tables) -> DataFrame:
-    return history.consecutive_away(history.numbered(t.games))
+    return history.consecutive_away(_numbered(t))
 
 
 @query("a4_season_progress", "contests", f"""
@@ -337,7 +353,7 @@ define("roster_wide", "roster_sides", "select game_id, bool_and(has_prev) as has
 
 
 def _roster(t: Tables) -> DataFrame:
-    return rosters.roster_features(_states(t), PLAYER_STATS)
+    return t.step("roster", lambda: rosters.roster_features(_states(t), PLAYER_STATS))
 
 
 @query("w17_roster_changes", "roster_wide", """select game_id, case when has_both then h_outs end::int as home_lineup_changes,

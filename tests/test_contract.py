@@ -37,3 +37,21 @@ def test_history_splits_a_key_and_prunes_the_scan(spark, small):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "__block" in plan and "ReadSchema" in plan and "venue" not in plan.split("ReadSchema", 1)[1].split("\n")[0]
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_feature_table_makes_shared_steps_once(spark, monkeypatch):
+    from tallyline.operators import history, ratings
+    from tallyline.plans import features
+    from tallyline.plans.registry import Tables
+
+    made = []
+    for module, name in ((history, "rolling_form"), (history, "rest_days"), (ratings, "elo")):
+        def counted(*args, _own=getattr(module, name), _name=name, **kwargs):
+            made.append(_name)
+            return _own(*args, **kwargs)
+        monkeypatch.setattr(module, name, counted)
+    monkeypatch.setattr(features, "GROUPS", ("w1_rolling_form", "w2_margin_volatility", "w6_rest_days", "w7_bye_flags", "w10_rating_velocity",
+                                             "w11_schedule_strength", "w14_elo_ratings"))
+    table = features.feature_table(Tables(spark, "/root/testdata/sf0.001"))
+    assert sorted(made) == ["elo", "rest_days", "rolling_form"]
+    assert {"w1_game_id", "w2_margin_volatility_diff_5", "w7_bye_advantage", "w14_elo_expected"} <= set(table.columns)
