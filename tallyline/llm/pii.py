@@ -32,9 +32,9 @@ LOOSE = {
 #: Words that speak for a kind when they stand just before a span.
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|credit|pay", "phone": "phone|call|tel|fax|mobile"}
 CONTEXT = 24
-#: Training bound: documents of least hash that hold a digit or an at sign, and candidates of each kind from them.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 4000, 3000
 TREES, DEPTH, PRECISION = 12, 3, 0.99
+#: Scores are counted in steps of this size where a threshold is set.
+STEPS = 1 << 16
 _FILL = "\u0001"
 
 
@@ -161,48 +161,57 @@ class Chooser:
         return self.probability(lambda k: columns[k]) >= self.thresholds.get(kind, 2.0)
 
 
-def fit(docs: DataFrame) -> Chooser:
-    """Trees from ``doc_id, text``: candidates that overlap a valid base span are the positive ones.
+def _may_hold(kind: str, text: Column) -> Column:
+    """A cheap test that a text can hold a candidate of the kind."""
+    return text.rlike(r"@|\bat\b|\(at\)|\[at\]") if kind == "email" else text.rlike("[0-9]")
 
-    The sample is bounded by documents and by candidates of each kind. Two thirds of
-    it grow the trees; on the rest each kind's threshold is the least score above
-    which ``PRECISION`` of the candidates are positive.
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """``kind, label, calibration, x, n``: how many candidates of all texts have the features ``x``.
+
+    Candidates that overlap a valid base span have label 1. A third of all, by a hash, is for calibration.
     """
-    marked = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
-    # of a very large table only the hashes under a bound are ordered, a small multiple of what is taken
-    bound = -(1 << 63) + int((1 << 64) * min(1.0, 64 * SAMPLE_DOCS / max(1, docs.count())))
-    some = marked.where(F.col("mark") < F.lit(min(bound, (1 << 63) - 1))).where(F.col("text").rlike("[0-9@]"))
-    some = stage(some.select("mark").orderBy("mark").limit(SAMPLE_DOCS).distinct(), "pii-sample")
-    sample = base_spans(marked.join(F.broadcast(some), "mark", "left_semi"))
+    marked = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("mark"))
+    spans = base_spans(marked)
     every = F.concat(*[F.col(f"base_{k}") for k in KINDS])
     arrays = []
     for kind in KINDS:
-        arrays.append(F.transform(F.concat(matches(F.col("text"), LOOSE[kind]), F.col(f"base_{kind}")), lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+        found = F.when(_may_hold(kind, F.col("text")), matches(F.col("text"), LOOSE[kind])).otherwise(_none())
+        arrays.append(F.transform(F.array_distinct(F.concat(found, F.col(f"base_{kind}"))), lambda s: F.struct(
+            F.lit(kind).alias("kind"),
             F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).cast("double").alias("label"),
+            (F.pmod(F.xxhash64("mark", F.lit(kind), s["start"], s["end"]), F.lit(3)) == 0).alias("calibration"),
             F.array(*_features(kind, s, F.col("text")).values()).alias("x"))))
-    rows = sample.select("mark", F.explode(F.concat(*arrays)).alias("c")).select("mark", "c.*").distinct()
-    order = F.xxhash64("mark", "kind", "start", "end")
-    picked = None
-    for kind in KINDS:
-        part = rows.where(F.col("kind") == kind).withColumn("order", order).orderBy("order").limit(SAMPLE_CANDIDATES)
-        picked = part if picked is None else picked.union(part)
+    rows = spans.select(F.explode(F.concat(*arrays)).alias("c")).select("c.*")
+    return rows.groupBy("kind", "label", "calibration", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(docs: DataFrame) -> Chooser:
+    """Trees from all candidates of ``doc_id, text``; those that overlap a valid base span are the positive ones.
+
+    Equal candidates are one row with their number as weight. Two thirds grow the
+    trees; on the rest each kind's threshold is the least score, in ``STEPS``, above
+    which ``PRECISION`` of the candidates are positive.
+    """
     names = _names()
-    picked = stage(picked.select("kind", "label", (F.pmod("order", F.lit(3)) == 0).alias("calibration"),
-                                 *[F.col("x")[k].alias(n) for k, n in enumerate(names)]), "pii-candidates")
-    seen = {r["label"] for r in picked.where("not calibration").select("label").distinct().collect()}
+    counted = stage(candidates(docs).select("kind", "label", "calibration", F.col("n").cast("double").alias("n"),
+                                            *[F.col("x")[k].alias(name) for k, name in enumerate(names)]), "pii-candidates")
+    learn = counted.where("not calibration")
+    seen = {r["label"] for r in learn.select("label").distinct().collect()}
     if len(seen) < 2:
         return Chooser([], [], {})
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(picked.where("not calibration"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, labelCol="label", featuresCol="features").fit(assembled)
+    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(learn)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, labelCol="label", featuresCol="features", weightCol="n").fit(assembled)
     chooser = Chooser([t.toDebugString for t in model.trees], list(model.treeWeights), {})
-    scored = picked.where("calibration").select("kind", "label", chooser.probability(lambda k: F.col(names[k])).alias("p")).collect()
+    step = F.floor(chooser.probability(lambda k: F.col(names[k])) * STEPS).cast("int")
+    scored = (counted.where("calibration").withColumn("step", step).where(F.col("step") > STEPS // 2)
+              .groupBy("kind", "step").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect())
     for kind in KINDS:
-        right = total = 0
-        for r in sorted((r for r in scored if r["kind"] == kind), key=lambda r: (-r["p"], r["label"])):
-            right, total = right + r["label"], total + 1
-            if right / total >= PRECISION and r["p"] > 0.5:
-                chooser.thresholds[kind] = r["p"]
+        right = total = 0.0
+        for r in sorted((r for r in scored if r["kind"] == kind), key=lambda r: -r["step"]):
+            right, total = right + r["right"], total + r["n"]
+            if right / total >= PRECISION:
+                chooser.thresholds[kind] = r["step"] / STEPS
     return chooser
 
 
@@ -223,12 +232,11 @@ def find(docs: DataFrame, chooser: Chooser | None = None) -> DataFrame:
         for kind in KINDS:
             if kind not in chooser.thresholds:
                 continue
-            worth = F.col("__blank").rlike(r"[0-9]") if kind != "email" else F.col("__blank").rlike(r"@|\bat\b|\(at\)|\[at\]")
             found = F.filter(matches(F.col("__blank"), LOOSE[kind]), lambda s: chooser.wanted(kind, s, F.col("__blank")))
             free = F.filter(found, lambda s: ~F.contains(s["text"], F.lit(_FILL)))
             for other in added:
                 free = F.filter(free, lambda s: ~F.exists(F.col(other), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-            df = df.withColumn(f"added_{kind}", F.when(worth, free).otherwise(_none()))
+            df = df.withColumn(f"added_{kind}", F.when(_may_hold(kind, F.col("__blank")), free).otherwise(_none()))
             added.append(f"added_{kind}")
     numbered = [F.transform(F.col(f"{how}_{kind}"), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
                 for how in ("base", "added") for k, kind in enumerate(KINDS) if how == "base" or f"added_{kind}" in added]

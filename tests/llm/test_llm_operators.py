@@ -266,6 +266,13 @@ def test_personal_data_base_spans(spark, messy):
         assert [got[i][f"n_{k}"] for k in plain.PATTERNS] == [sum(s.startswith(k) for s in want) for k in plain.PATTERNS]
 
 
+def test_personal_data_learns_from_every_candidate(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(
+        F.lit("write to me"), F.col("id").cast("string"), F.lit(" at host dot org"))).otherwise(F.lit("call +44 20 7946 0958")).alias("text"))
+    got = {(r["kind"], r["label"]): r["n"] for r in pii.candidates(docs).groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    assert got["email", 0.0] == 3000 and got["phone", 1.0] == 12000  # the loose match has no plus sign
+
+
 def test_redaction_leaves_no_base_span_and_keeps_columns(messy):
     got = pii.redact(messy)
     assert got.columns == messy.columns
