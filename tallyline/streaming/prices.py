@@ -63,7 +63,9 @@ def _price_stats(grouped) -> DataFrame:
 
 #: A match of unknown end is over when it had no price for so long (milliseconds of event time).
 IDLE_MS = 30 * 24 * 3600 * 1000
-#: Prices that wait for the watermark are kept by spans of event time of this length.
+#: Prices of a match that wait for the watermark: up to so many are one value with the average, more are kept by spans.
+HELD = 4096
+#: Length of such a span of event time.
 SPAN_MS = 24 * 3600 * 1000
 
 _END = "a_us long, a_tie long, a_home double, a_away double"
@@ -141,10 +143,12 @@ def movement(stream: DataFrame) -> DataFrame:
 class PriceEma(_PerMatch):
     """Moving average of the home price per match in event-time order, whatever order rows arrive in.
 
-    Prices wait in spans of event time.  When the watermark has passed a span, no more
-    can come for it: its rows are ordered, folded into the average and dropped.  What a
-    batch gives out is the average over all prices so far, folded spans first.  At most
-    one span of a match is in memory at a time.
+    Prices that the watermark has not passed wait beside the average in one value, so a
+    batch reads and writes a match's state once. Where more than ``HELD`` wait they are
+    put down by spans of event time, and at most one span of a match is in memory at a
+    time. When the watermark has passed prices, no more can come before them: the next
+    batch folds them into the average. What a batch gives out is the average over all
+    prices so far, folded ones first.
     """
 
     def __init__(self, alpha: float = 0.3):
@@ -152,60 +156,69 @@ class PriceEma(_PerMatch):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", "n long, ema double, until_ms long")
+        self.folded = handle.getValueState(
+            "folded", "n long, ema double, until_ms long, spread boolean, us array<long>, ties array<long>, prices array<double>")
         self.waiting = handle.getMapState("waiting", "span long, part long", "us array<long>, ties array<long>, prices array<double>")
 
-    def _spans(self) -> dict[int, list[int]]:
-        parts: dict[int, list[int]] = {}
-        for span, part in self.waiting.keys():
-            parts.setdefault(span, []).append(part)
-        return parts
-
-    def _fold(self, span: int, parts: list[int], n: int, ema: float) -> tuple[int, float]:
-        us, ties, prices = (np.concatenate(x) for x in zip(*(self.waiting.getValue((span, p)) for p in parts)))
-        for price in prices[np.lexsort((ties, us))]:
-            ema = float(price) if n == 0 else self.alpha * float(price) + (1 - self.alpha) * ema
+    def _fold(self, rows: tuple[np.ndarray, ...], n: int, ema: float) -> tuple[int, float]:
+        us, ties, prices = rows
+        for price in prices[np.lexsort((ties, us))].tolist():
+            ema = price if n == 0 else self.alpha * price + (1 - self.alpha) * ema
             n += 1
         return n, ema
 
+    def _spread(self, rows: tuple[np.ndarray, ...], parts: dict[int, list[int]]) -> None:
+        """Puts rows down by spans; ``parts`` are the ones that wait there."""
+        spans = rows[0] // (1000 * SPAN_MS)
+        for span in np.unique(spans).tolist():
+            part = max(parts.get(span, [-1])) + 1
+            self.waiting.updateValue((span, part), tuple(x[spans == span].tolist() for x in rows))
+            parts.setdefault(span, []).append(part)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, ema, until = self.folded.get() if self.folded.exists() else (0, 0.0, 0)
-        parts, before = self._spans(), until
+        n, ema, until, spread, *held = self.folded.get() or (0, 0.0, 0, False, [], [], [])
+        kinds = (np.int64, np.int64, float)
+        held, parts, before = tuple(np.asarray(x, k) for x, k in zip(held, kinds)), {}, until
+        if spread:
+            for span, part in self.waiting.keys():
+                parts.setdefault(span, []).append(part)
         for some in rows:
             us = _micros(some["fetched_at"])
-            ties, prices, spans = some["event_id"].to_numpy(), some["home_odds"].to_numpy(float), us // (1000 * SPAN_MS)
             until = max(until, self._until(some, us))
-            for span in np.unique(spans).tolist():
-                at = np.flatnonzero(spans == span)
-                part = max(parts.get(span, [-1])) + 1
-                self.waiting.updateValue((span, part), (us[at].tolist(), ties[at].tolist(), prices[at].tolist()))
-                if span not in parts:
-                    self.handle.registerTimer((span + 1) * SPAN_MS)
-                parts.setdefault(span, []).append(part)
+            held = tuple(np.append(x, y) for x, y in zip(held, (us, some["event_id"].to_numpy(np.int64), some["home_odds"].to_numpy(float))))
+            if len(held[0]) > HELD:
+                self._spread(held, parts)
+                held = tuple(x[:0] for x in held)
+        passed = 1000 * (timerValues.getCurrentWatermarkInMs() or 0)
+        if parts and len(held[0]):
+            self._spread(held, parts)
+            held = tuple(x[:0] for x in held)
+        if parts:
+            kept, now = (n, ema), (n, ema)
+            for span in sorted(parts):
+                now = self._fold(tuple(np.concatenate([np.asarray(y, k) for y in x]) for x, k in zip(
+                    zip(*(self.waiting.getValue((span, p)) for p in parts[span])), kinds)), *now)
+                if (span + 1) * 1000 * SPAN_MS <= passed:
+                    kept = now
+                    for part in parts.pop(span):
+                        self.waiting.removeKey((span, part))
+        else:
+            old = held[0] < passed
+            kept = self._fold(tuple(x[old] for x in held), n, ema)
+            held = tuple(x[~old] for x in held)
+            now = self._fold(held, *kept)
+        self.folded.update((*kept, until, bool(parts), *(x.tolist() for x in held)))
         if until != before:
             self.handle.registerTimer(until)
-            self.folded.update((n, ema, until))
-        for span in sorted(parts):
-            n, ema = self._fold(span, parts[span], n, ema)
-        yield pd.DataFrame({"match_id": [key[0]], "n": [n], "ema": [ema]})
+        yield pd.DataFrame({"match_id": [key[0]], "n": [now[0]], "ema": [now[1]]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.folded.exists():
-            return iter(())
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        n, ema, until = self.folded.get()
-        if until <= now:  # over: what a batch gave out last was the whole average
+        state = self.folded.get()
+        if state is not None and state[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            # over: what a batch gave out last was the whole average
             self.folded.clear()
-            self.waiting.clear()
-            return iter(())
-        parts = self._spans()
-        closed = [s for s in sorted(parts) if (s + 1) * SPAN_MS <= now]
-        for span in closed:
-            n, ema = self._fold(span, parts[span], n, ema)
-            for part in parts[span]:
-                self.waiting.removeKey((span, part))
-        if closed:
-            self.folded.update((n, ema, until))
+            if state[3]:
+                self.waiting.clear()
         return iter(())
 
 

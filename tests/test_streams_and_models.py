@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,81 @@ def test_contributions_add_up_to_the_log_odds(table):
     assert total.where("n <> 2").count() == 0
     order = table.join(total, "game_id").select(F.corr("x", "t")).first()[0]
     assert order > 0.8
+
+
+class FakeState:
+    """One state of a match, with the number of calls to it."""
+
+    def __init__(self):
+        self.map, self.calls = {}, 0
+
+    def _do(self, what):
+        self.calls += 1
+        return what()
+
+    def exists(self):
+        return self._do(lambda: None in self.map)
+
+    def get(self):
+        return self._do(lambda: self.map.get(None))
+
+    def update(self, value):
+        self._do(lambda: self.map.update({None: value}))
+
+    def clear(self):
+        self._do(self.map.clear)
+
+    def keys(self):
+        return self._do(lambda: list(self.map))
+
+    def getValue(self, key):
+        return self._do(lambda: self.map[key])
+
+    def updateValue(self, key, value):
+        self._do(lambda: self.map.update({key: value}))
+
+    def removeKey(self, key):
+        self._do(lambda: self.map.pop(key))
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = [], []
+
+    def getValueState(self, *_):
+        self.states.append(FakeState())
+        return self.states[-1]
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("many", [300, 3 * 4096 + 5])
+def test_average_of_a_match_takes_few_state_calls_and_folds_any_number_of_prices(many):
+    rng = np.random.default_rng(many)
+    start, hour = datetime(2024, 1, 1), 3600.0
+    rows = pd.DataFrame({"fetched_at": [start + timedelta(seconds=float(x)) for x in rng.uniform(0, 30 * 24 * hour, many)],
+                         "event_id": rng.permutation(many), "home_odds": rng.uniform(1, 5, many)}).assign(ends_at=pd.NaT)
+    rows["day"] = rows["fetched_at"].dt.day // 8
+    handle, ema = FakeHandle(), prices.PriceEma()
+    ema.init(handle)
+    for day, batch in sorted(rows.groupby("day"), key=lambda x: x[0]):
+        slices = [batch.iloc[i:i + 1000] for i in range(0, len(batch), 1000)]
+        passed = (batch["fetched_at"].min().to_pydatetime() - datetime(1970, 1, 1)) / timedelta(milliseconds=1)
+        out = next(iter(ema.handleInputRows((1,), iter(slices), Watermark(int(passed) - 1))))
+    want = rows.sort_values(["fetched_at", "event_id"])["home_odds"].ewm(alpha=0.3, adjust=False).mean().iloc[-1]
+    assert out["n"][0] == many and out["ema"][0] == pytest.approx(want)
+    batches = rows["day"].nunique()
+    if many < prices.HELD:
+        assert sum(s.calls for s in handle.states) + len(handle.timers) <= 3 * batches
+    waiting = sum(len(v[-1]) for s in handle.states for v in s.map.values())
+    assert waiting < many  # the watermark has passed the batches before the last
+    list(ema.handleExpiredTimer((1,), None, Watermark(max(handle.timers))))
+    assert not any(s.map for s in handle.states)
