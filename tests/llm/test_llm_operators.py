@@ -354,6 +354,26 @@ def test_passages_made_of_frequent_lines_are_linked(spark):
     assert {r["doc_id"]: (r["start_word"], r["end_word"], r["first_id"]) for r in got} == want
 
 
+def test_edited_passages_made_of_frequent_lines_are_linked(spark):
+    random.seed(15)
+
+    def text(n):
+        return [f"x{random.randrange(10 ** 9)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for trial in range(6):
+        base, lines = 1000 * (trial + 1), [text(20) for _ in range(3)]
+        for k, line in enumerate(lines):  # smaller and larger ids hold each line, never two of them
+            rows += [(base + 10 * k + m + far, text(30) + line + text(30)) for m in range(4) for far in (0, 900)]
+        for k in (500, 600, 700):  # nor do they agree between the lines
+            rows.append((base + k, text(50) + lines[0] + text(2) + lines[1] + text(2) + lines[2] + text(50)))
+            want[base + k] = (50, 114, base + 500)
+        rows += [(base + 800 + k, text(50) + lines[0] + ["same"] + lines[1] + ["same"] + lines[2] + text(50)) for k in range(3)]  # copies
+        want |= {base + 800 + k: (50, 112, base + 500) for k in range(3)}
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["start_word"], r["end_word"], r["first_id"]) for r in got} == want
+
+
 def test_edited_passages_are_found(spark):
     random.seed(14)
 
