@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,6 +375,29 @@ def test_edited_passages_made_of_frequent_lines_are_linked(spark):
     assert {r["doc_id"]: (r["start_word"], r["end_word"], r["first_id"]) for r in got} == want
 
 
+def test_texts_of_several_pairs_are_cut_into_seeds_once(monkeypatch):
+    draw, cut, real = np.random.default_rng(5), [], passages.seeds
+    hub = draw.integers(0, 1 << 32, 300, dtype=np.uint32)
+    texts = {0: hub, **{i: np.concatenate([hub[20 * i: 20 * i + 80], draw.integers(0, 1 << 32, 40, dtype=np.uint32), hub[:9 * i]]) for i in range(1, 8)}}
+    pairs = [(i, j) for j in range(8) for i in range(j)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]),
+                                        *[pa.array([texts[p[k]].tobytes() for p in pairs], pa.binary()) for k in (0, 1)]],
+                                       ["doc_id", "other_id", "words", "other_words"])
+    monkeypatch.setattr(passages, "seeds", lambda words, *rest: cut.append(len(words)) or real(words, *rest))
+    together = pa.Table.from_batches(passages._aligned(50, 0.75)(iter([batch])))
+    assert len(cut) == len(texts)
+    alone = pa.concat_tables([pa.Table.from_batches(passages._aligned(50, 0.75)(iter([batch.slice(i, 1)]))) for i in range(len(pairs))])
+    assert together.num_rows >= 7 and together.to_pylist() == alone.to_pylist()
+
+
+def test_few_texts_are_known_at_once():
+    words = {i: np.arange(i, i + 60, dtype=np.uint32) for i in range(6)}
+    known = passages._Known(most=2 * len(passages._ordered(words[0])[0]) + 20)
+    for i in (0, 1, 2, 0, 3, 4, 0, 5):
+        assert all((a == b).all() for a, b in zip(known(i, words[i]), passages._ordered(words[i])))
+        assert known.size == sum(len(t[0]) for t in known.texts.values()) and (known.size <= known.most or len(known.texts) == 1)
+
+
 def test_edited_passages_are_found(spark):
     random.seed(14)
 
