@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.learning import boosting as b
-from tallyline.learning import isotonic
+from tallyline.learning import isotonic, passes
 
 SCHEMA = "game_id long, year int, x double, z double, noise double, home_win int, margin double"
 
@@ -82,6 +82,45 @@ def test_fits_receive_no_rows_beyond_the_bound(table, monkeypatch):
     assert everything.fits([task])[0]["trees"] == []
 
 
+def by_passes(binned, tasks, monkeypatch):
+    """Models that passes over the blocks grow, with scores stored on the way, and those of a task each."""
+    in_tasks = binned.fits(tasks)
+    monkeypatch.setattr(b, "TASK_ROWS", 100)
+    monkeypatch.setattr(passes, "KEPT", 2)
+    return binned.fits(tasks), in_tasks
+
+
+@pytest.mark.parametrize("loss, label", [("logistic", "home_win"), ("squared", "margin"), ("absolute", "margin"), ("huber", "margin")])
+def test_passes_over_all_rows_grow_the_trees_of_one_task(table, monkeypatch, loss, label):
+    monkeypatch.setattr(b, "BLOCK", 100)
+    some = table.withColumn("margin", F.when(F.col("game_id") % 7 > 0, F.col("margin")))
+    binned = b.Binned(some, ["x", "z", "noise"], ["home_win", "margin"])
+    tasks = [{"label": label, "fold": f, "seed": 1, "spec": b.Spec(loss=loss, trees=4, without_stop=3, sample=1.0, depth=d)}
+             for f, d in ((2000, 3), (2001, 2), (2002, 3), (2005, 3), (2006, 1))]
+    got, want = by_passes(binned, tasks, monkeypatch)
+    assert [len(m["trees"]) for m in got] == [len(m["trees"]) for m in want] and len(got[3]["trees"]) == 4
+    for mine, theirs in zip(got, want):
+        assert mine["base"] == pytest.approx(theirs["base"], abs=1e-5)
+        for (f, high, value), (g, cut, leaf) in zip(mine["trees"], theirs["trees"]):
+            assert (f, high) == (g, cut) and value == pytest.approx(leaf, abs=1e-5)
+
+
+def test_passes_stop_early_and_reruns_agree(table, monkeypatch):
+    tasks = [{"label": "home_win", "fold": 2004, "seed": seed, "spec": b.Spec(rate=0.5, depth=2, patience=3)} for seed in (1, 2)]
+    got, want = by_passes(b.Binned(table, ["x", "z", "noise"], ["home_win"]), tasks, monkeypatch)
+    assert all(0 < len(m["trees"]) < 40 for m in got) and got[0]["trees"] != got[1]["trees"]
+    monkeypatch.setattr(passes, "KEPT", 50)
+    assert b.Binned(table.repartition(5), ["x", "z", "noise"], ["home_win"]).fits(tasks) == got
+    assert all(abs(len(m["trees"]) - len(w["trees"])) < 20 for m, w in zip(got, want))
+
+
+def test_fits_learn_from_every_row(spark):
+    """One late row in 300,000 moves the mean; a bound on learnt rows loses it or its weight."""
+    df = spark.range(300_000).selectExpr("id as game_id", "cast(2000 + id % 2 as int) as year", "1d as x", "if(id = 77776, 3e6, 0) as margin")
+    model = b.Binned(df, ["x"], ["margin"]).fits([{"label": "margin", "fold": 2001, "seed": 1, "spec": b.Spec(loss="squared", without_stop=1)}])[0]
+    assert model["base"] == pytest.approx(20.0)
+
+
 def test_rows_without_label_are_scored_and_empty_tables_are_empty(spark, table):
     binned = b.Binned(table.withColumn("home_win", F.when(F.col("year") < 2005, F.col("home_win"))), ["x", "z"], ["home_win"])
     models = binned.fits([{"label": "home_win", "fold": 2005, "seed": 1, "spec": b.Spec()}])
