@@ -1,3 +1,6 @@
+import threading
+from types import SimpleNamespace
+
 import duckdb
 import pytest
 
@@ -55,3 +58,25 @@ def test_feature_table_makes_shared_steps_once(spark, monkeypatch):
     table = features.feature_table(Tables(spark, "/root/testdata/sf0.001"))
     assert sorted(made) == ["elo", "rest_days", "rolling_form"]
     assert {"w1_game_id", "w2_margin_volatility_diff_5", "w7_bye_advantage", "w14_elo_expected"} <= set(table.columns)
+
+
+def test_feature_groups_are_made_side_by_side_and_share_steps(spark, monkeypatch):
+    """Two groups that wait for each other, and a step that both read and only one makes."""
+    from tallyline.plans import features
+    from tallyline.plans.registry import Tables
+
+    meet, made = threading.Barrier(2, timeout=60), []
+
+    def group(name):
+        def run(t):
+            meet.wait()
+            rows = t.step("shared", lambda: made.append(name) or spark.range(3).withColumnRenamed("id", "game_id"))
+            return rows.selectExpr("game_id", f"game_id * 2 as {name}")
+        return run
+
+    monkeypatch.setattr(features, "GROUPS", ("w1_one", "w2_two"))
+    monkeypatch.setattr(features, "OVER_TABLES", {"w1_one": group("a"), "w2_two": group("b")})
+    t = Tables(spark, "")
+    t.games = SimpleNamespace()
+    rows = features.feature_table(t).collect()
+    assert sorted(tuple(r) for r in rows) == [(0, 0, 0), (1, 2, 2), (2, 4, 4)] and len(made) == 1
